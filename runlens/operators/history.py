@@ -28,17 +28,18 @@ DURATION_FIELDS = ("totalDuration", "averageDuration")
 ISSUE_TYPE = "array<struct<code:string,field:string,detail:string>>"
 
 
-def _kind(doc: Column, path: str) -> Column:
-    """JSON type at a path: number, string, boolean, object, array or null; null when missing."""
-    schema = F.schema_of_variant(F.try_variant_get(doc, f"$.{path}", "variant"))
-    return (
-        F.when(schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "VOID", "null")
-    )
+# JSON kind of each type word a variant schema starts with.
+KINDS = {
+    "TINYINT": "number", "SMALLINT": "number", "INT": "number", "BIGINT": "number", "DECIMAL": "number", "FLOAT": "number", "DOUBLE": "number",
+    "STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": "null",
+}
+
+
+def _kind(doc: Column, path: str | None = None) -> Column:
+    """JSON kind at a path, or of the whole value: number, string, boolean, object, array or null; null when missing."""
+    value = doc if path is None else F.try_variant_get(doc, f"$.{path}", "variant")
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair]), word)
 
 
 def _number(doc: Column, path: str) -> Column:
@@ -58,22 +59,22 @@ def read_fields(files: DataFrame) -> DataFrame:
     doc = F.col("doc")
     counts = F.try_variant_get(doc, "$.failureCategoryCounts", "map<string,variant>")
     parsed = files.withColumn("doc", F.try_parse_json("content")).select(
-        "run_dir", "content", "read_error", "doc",
-        F.schema_of_variant("doc").startswith("OBJECT").alias("is_object"),
+        "run_dir", "read_error", F.col("content").isNotNull().alias("has_content"),
+        (_kind(doc) == "object").alias("is_object"),
         *[_number(doc, f).alias(f) for f in (*COUNT_FIELDS, *DURATION_FIELDS, "passRate")],
         *[_text(doc, f).alias(f) for f in ("runId", "schemaVersion", *TIMESTAMP_FIELDS, *METADATA_FIELDS)],
         *[_kind(doc, f).alias(f"{f}_kind") for f in METADATA_FIELDS],
         (_kind(doc, "failureCategoryCounts") == "object").alias("counts_are_object"),
         F.transform_values(
             counts,
-            lambda _, v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|INT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double")),
+            lambda _, v: F.when(_kind(v) == "number", F.try_variant_get(v, "$", "double")),
         ).alias("categoryCounts"),
         *[F.when(_kind(doc, f"reportAvailability.{f}") == "boolean", F.try_variant_get(doc, f"$.reportAvailability.{f}", "boolean")).alias(f"has_{f}")
           for f in AVAILABILITY_FIELDS],
         _kind(doc, "migration").alias("migration_kind"),
         *[_text(doc, f"migration.{f}").alias(f"migration_{f}") for f in ("identity", "source", "sourceChecksum")],
     )
-    return parsed.drop("doc")
+    return parsed
 
 
 def summary_rules() -> dict[str, Column]:
@@ -113,11 +114,12 @@ def scan_history(files: DataFrame) -> DataFrame:
     ``files`` has run_dir, content (null when the file is missing) and read_error.
     """
     c = F.col
-    fields = read_fields(files).withColumn(
+    # The texts are parsed once, into a typed table; the rules then read plain columns.
+    fields = written(read_fields(files)).withColumn(
         "violations", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in summary_rules().items()]))
     )
     bad_dir = ~F.coalesce(is_run_id(c("run_dir")), F.lit(False))
-    missing = (c("read_error") == "ENOENT") | (c("content").isNull() & c("read_error").isNull())
+    missing = (c("read_error") == "ENOENT") | (~c("has_content") & c("read_error").isNull())
     unsupported = c("schemaVersion").isNotNull() & (c("schemaVersion") != HISTORY_SCHEMA_VERSION)
     code = (
         F.when(bad_dir, "INVALID_SUMMARY")
@@ -231,7 +233,7 @@ def history_warnings(files: DataFrame, query: RunQuery | None = None) -> DataFra
     """
     query = query or RunQuery()
     c, none = F.col, F.lit(None).cast("string")
-    scanned = written(scan_history(files).drop("content"))
+    scanned = scan_history(files)
     runs = written(normalize_history(scanned))
     matched = runs.filter(c("usable")).filter(query.condition())
     if query.limit is None:
@@ -333,8 +335,7 @@ def legacy_sources(files: DataFrame) -> DataFrame:
     A file holds an array of records, or an object with ``execution`` and ``metadata``.
     """
     doc = F.col("doc")
-    schema = F.schema_of_variant(doc)
-    is_list = F.coalesce(schema.startswith("ARRAY"), F.lit(False))
+    is_list = F.coalesce(_kind(doc) == "array", F.lit(False))
     records = F.when(is_list, F.try_variant_get(doc, "$", "array<variant>")).otherwise(
         F.when(_kind(doc, "execution") == "array", F.try_variant_get(doc, "$.execution", "array<variant>"))
     )
@@ -433,3 +434,27 @@ def latest_evidence(files: DataFrame) -> DataFrame:
     shot = F.lower(F.col("file")).endswith(".png") & F.contains("file", F.lit("FAILED"))
     return files.filter(shot).groupBy("run_key", "test_case").agg(F.max("file").alias("file"))
 
+
+
+def legacy_executions(outcomes: DataFrame) -> DataFrame:
+    """Test records of the legacy files to migrate."""
+    record = F.col("record")
+    exploded = outcomes.filter(F.col("outcome") == "migrated").select(
+        "run_key", F.posexplode("records").alias("ordinal", "record")
+    )
+    return exploded.select(
+        F.col("run_key").alias("run_id"),
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        *[F.try_variant_get(record, f"$.{a}", t).alias(b)
+          for a, b, t in (("testCase", "test_case", "string"), ("status", "status", "string"), ("duration", "duration", "double"),
+                          ("feature", "feature", "string"), ("errorMessage", "error_message", "string"),
+                          ("failureCategory", "stored_category", "string"), ("traceAvailable", "trace_available", "boolean"))],
+    )
+
+
+def legacy_durations(outcomes: DataFrame) -> DataFrame:
+    """Total duration of migrated files: their records added up as doubles in file order."""
+    total = F.aggregate(
+        "records", F.lit(0.0), lambda acc, r: acc + F.coalesce(F.try_variant_get(r, "$.duration", "double"), F.lit(0.0))
+    )
+    return outcomes.filter(F.col("outcome") == "migrated").select("run_key", total.alias("total_duration"))

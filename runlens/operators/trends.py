@@ -58,13 +58,14 @@ def _moving_rate(size: int, partition: tuple[str, ...] = ()) -> Column:
     return F.when(F.count("*").over(last) == size, rate(passed, total))
 
 
-def moving_rate_by_slice(points: DataFrame, size: int, slices: int = 200) -> DataFrame:
+def moving_rate_by_slice(points: DataFrame, size: int, slices: int | None = None) -> DataFrame:
     """The moving rate over any number of points without one global window.
 
     Points are range-partitioned in time order and written with their slice number. A slice also gets the
     last ``size - 1`` points before it, however many slices they lie in; these context rows are dropped
     after the window of each slice.
     """
+    slices = slices or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = written(points.repartitionByRange(slices, "start", "key").withColumn("slice", F.spark_partition_id()))
     back = Window.partitionBy("slice").orderBy(F.desc("start"), F.desc("key"))
     tails = sliced.withColumn("from_end", F.row_number().over(back)).filter(F.col("from_end") < size)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.functions.times import run_id_prefix
+from runlens.functions.numbers import mean, rate
+from runlens.functions.times import iso_text, run_id_prefix
 
 # Error texts as a browser test would report them; each rule family occurs.
 MESSAGES = (
@@ -225,3 +226,123 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
             "screenshot"
         ),
     )
+
+
+SUMMARY_VARIANTS = 40
+
+
+def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored summary texts (run_dir, content, read_error), one per order; the key decides what is wrong with each."""
+    c = F.col
+    r = c("run_id") % SUMMARY_VARIANTS
+    base = runs(spark, sf_dir).join(table(spark, sf_dir, "orders").select(c("o_orderkey").alias("run_id"), "o_custkey"), "run_id")
+    base = (
+        base.withColumn("passed", c("o_custkey") % 7)
+        .withColumn("failed", c("run_id") % 3)
+        .withColumn("skipped", c("o_custkey") % 2)
+        .withColumn("timed_out", F.floor(c("run_id") / 3).cast("bigint") % 2)
+        .withColumn("interrupted", F.when(c("o_custkey") % 3 == 0, 1).otherwise(0).cast("bigint"))
+        .withColumn("total", c("passed") + c("failed") + c("skipped") + c("timed_out") + c("interrupted"))
+        .withColumn("rate", F.coalesce(rate(c("passed"), c("total")), F.lit(0.0)))
+    )
+    has_tests = c("total") > 0
+
+    def at(number: int, value, otherwise) -> Column:
+        return F.when(r == number, value).otherwise(otherwise)
+
+    started, ended = iso_text(c("started_at")), iso_text(c("ended_at"))
+    duration = F.when(r == 12, 0.0001).when(r == 13, 0.30000000000000004).otherwise(c("total") * 125.5)
+    average = F.when(~has_tests, 0.0).when(r == 13, mean(F.lit(0.3), c("total"))).otherwise(125.5)
+    migration = F.when(
+        r.isin(11, 19),
+        F.struct(
+            F.concat(F.lit("sha256:"), at(11, F.lit("bad"), F.sha2(c("run_key"), 256))).alias("identity"),
+            F.lit("legacy.json").alias("source"),
+            F.concat(F.lit("sha256:"), F.sha2(F.lit("x"), 256)).alias("sourceChecksum"),
+        ),
+    )
+    summary = F.struct(
+        at(5, F.concat(c("run_key"), F.lit("x")), c("run_key")).alias("runId"),
+        F.when(r == 2, "2.0.0").when(r == 20, "2.x; drop").otherwise("1.0.0").alias("schemaVersion"),
+        at(23, F.lit("2024-01-01T00:00:00+00:00"), started).alias("createdAt"),
+        at(22, F.lit("2024-02-30T00:00:00Z"), started).alias("timestamp"),
+        started.alias("startTime"),
+        at(6, F.lit("1990-01-01T00:00:00.000Z"), ended).alias("endTime"),
+        (c("total") + at(3, F.lit(1), F.lit(0))).alias("total"),
+        c("passed"), c("failed"),
+        at(8, F.lit(-1).cast("bigint"), c("skipped")).alias("skipped"),
+        c("timed_out").alias("timedOut"), c("interrupted"),
+        (c("failed") + c("timed_out") + c("interrupted") + at(27, F.lit(1), F.lit(0))).alias("unsuccessful"),
+        F.when(r == 7, 101.0).when(r == 14, c("rate") / 2 + 1).otherwise(c("rate")).alias("passRate"),
+        duration.alias("totalDuration"), average.alias("averageDuration"),
+        F.when(r != 15, F.coalesce(c("project"), F.lit("none"))).alias("project"),
+        c("feature"), c("environment"),
+        at(17, F.lit("  "), F.coalesce(c("browser"), F.lit("none"))).alias("browser"),
+        c("executed_by").alias("executedBy"),
+        F.create_map(at(26, F.lit("__proto__"), F.lit("UNKNOWN_FAILURE")), at(25, F.lit(1.5), c("failed").cast("double"))).alias("failureCategoryCounts"),
+        at(21, F.lit(9007199254740992), c("trace_preserved")).alias("traceReportedCount"),
+        c("trace_preserved").alias("tracePreservedCount"),
+        (c("trace_preserved") + at(28, F.lit(1), F.lit(0))).alias("traceAvailableCount"),
+        F.struct(c("has_pdf").alias("pdf"), c("has_dashboard").alias("dashboard"), c("has_evidence").alias("evidence"), c("has_traces").alias("traces")).alias(
+            "reportAvailability"
+        ),
+        migration.alias("migration"),
+    )
+    base, text = base.withColumn("text", F.to_json(summary)), c("text")
+    content = (
+        F.when(r.isin(0, 10), None)
+        .when(r == 1, "{ broken")
+        .when(r == 9, F.regexp_replace(text, r'"passed":(\d+)', '"passed":"$1"'))
+        .when(r == 16, F.regexp_replace(text, r'"project":"[^"]*"', '"project":5'))
+        .when(r == 24, F.regexp_replace(text, r'"project":"[^"]*"', '"project":null'))
+        .when(r == 18, F.regexp_replace(text, r'"pdf":\w+', '"pdf":"yes"'))
+        .when(r == 29, F.regexp_replace(text, r'"total":(\d+)', '"total":$1.0'))
+        .when(r == 30, "[]")
+        .when(r == 31, F.regexp_replace(text, r'"schemaVersion":"1.0.0"', '"schemaVersion":5'))
+        .otherwise(text)
+    )
+    run_dir = at(4, F.concat(F.lit("bad "), c("run_key")), c("run_key"))
+    error = F.when(r == 10, F.when(c("run_id") % 80 == 10, "EACCES").otherwise("ESTRANGE"))
+    return base.select(run_dir.alias("run_dir"), content.alias("content"), error.alias("read_error"), "run_id")
+
+
+def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy execution files (name, content, modified_at): bare arrays, wrapped objects and broken texts."""
+    c = F.col
+    key = c("o_orderkey").cast("string")
+    records = F.concat(
+        F.lit('[{"testCase":"TC'), key, F.lit('","status":"passed","duration":1.5},{"testCase":"TC2","status":"timedOut","duration":'),
+        (c("o_custkey") % 100).cast("string"), F.lit("}]"),
+    )
+    r = c("o_orderkey") % 6
+    content = (
+        F.when(r == 0, records)
+        .when(r == 1, F.concat(F.lit('{"execution":'), records, F.lit(',"metadata":{"executionStartTime":"2024-03-01T10:00:00+02:00"}}')))
+        .when(r == 2, F.concat(F.lit('{"execution":'), records, F.lit("}")))
+        .when(r == 3, F.lit("{ broken"))
+        .when(r == 4, F.lit('{"metadata":{}}'))
+        .otherwise(F.concat(F.lit('{"execution":'), records, F.lit(',"metadata":{"executionStartTime":"yesterday"}}')))
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("legacy-"), key, F.lit(".json")).alias("name"), content.alias("content"), c("o_orderdate").cast("timestamp").alias("modified_at"),
+        c("o_orderkey").alias("key"),
+    )
+
+
+def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files kept with each run: run_key, path, size, sha256; line items stand for files."""
+    c = F.col
+    kind = c("l_linenumber") % 4
+    name = F.concat_ws("-", c("l_partkey").cast("string"), c("l_suppkey").cast("string"))
+    path = (
+        F.when(kind == 0, F.concat(F.lit("artifacts/evidence/TC"), (c("l_partkey") % 60).cast("string"), F.lit("/"), c("l_quantity").cast("int").cast("string"),
+                                   F.when(c("l_suppkey") % 2 == 0, "_FAILED_").otherwise("_"), name, F.lit(".png")))
+        .when(kind == 1, F.concat(F.lit("artifacts/traces/"), name, F.lit(".zip")))
+        .when(kind == 2, F.concat(F.lit("artifacts/dashboard/"), name, F.lit(".html")))
+        .otherwise(F.concat(F.lit("artifacts/reports/"), name, F.lit(".pdf")))
+    )
+    size = F.round(c("l_extendedprice") * 100).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("run_key"), path.alias("path"), size.alias("size"), F.sha2(F.concat(path, size.cast("string")), 256).alias("sha256"),
+        c("l_linenumber").alias("line"), c("l_partkey").alias("part"),
+    )
