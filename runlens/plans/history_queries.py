@@ -258,7 +258,7 @@ _ERROR = "CASE WHEN r = 0 THEN 'ENOENT' WHEN r = 10 THEN CASE WHEN o_orderkey %
 _VERSION = "CASE WHEN r = 2 THEN '2.0.0' WHEN r = 20 THEN 'invalid-version-token' END"
 _MATCHED = "SELECT * FROM stored_runs WHERE ts >= TIMESTAMP '1996-01-01'"
 _SELECTED = f"{_MATCHED} ORDER BY ts DESC, run_key DESC LIMIT 300"
-_LEGACY = """
+LEGACY_SQL = """
     SELECT *, sha256(content) AS content_hash, 'sha256:' || sha256(name || chr(0) || sha256(content)) AS identity,
            CASE r WHEN 3 THEN 'corrupt' WHEN 4 THEN 'no records' WHEN 5 THEN 'bad start time' END AS error,
            CASE WHEN r IN (0, 2) THEN o_orderdate WHEN r = 1 THEN TIMESTAMP '2024-03-01 08:00:00' END AS created_at
@@ -337,11 +337,11 @@ ORACLES = {
     "legacy_ingest": S.with_ctes((), f"""
         SELECT name, CASE WHEN error IS NOT NULL THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'reconciled' ELSE 'migrated' END AS outcome, identity,
                CASE WHEN error IS NULL THEN CASE WHEN o_orderkey % 4 = 1 THEN 'stored-run' ELSE {_LEGACY_KEY} END END AS run_key, error
-        FROM legacy WHERE o_orderkey % 4 <> 0""", legacy=_LEGACY),
+        FROM legacy WHERE o_orderkey % 4 <> 0""", legacy=LEGACY_SQL),
     "legacy_summaries": S.with_ctes((), f"""
         SELECT {_LEGACY_KEY} AS run_key, CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS timed_out,
                1.5::DOUBLE + o_custkey % 100 AS total_duration
-        FROM legacy WHERE o_orderkey % 4 NOT IN (0, 1) AND error IS NULL""", legacy=_LEGACY),
+        FROM legacy WHERE o_orderkey % 4 NOT IN (0, 1) AND error IS NULL""", legacy=LEGACY_SQL),
     "migration_ids": """
         SELECT name, identity, strftime(o_orderdate, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) AS run_key
         FROM (SELECT *, 'sha256:' || sha256(name || chr(0) || sha256(o_orderpriority)) AS identity FROM (SELECT *, 'f-' || o_orderkey AS name FROM orders))""",
@@ -351,7 +351,7 @@ ORACLES = {
               FROM (SELECT p_partkey, p_size || '.' || (p_partkey % 7) || '.' || CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE '0-' || p_brand END AS raw FROM part))""",
     "parsed_times": f"""
         SELECT o_orderkey, given, CASE WHEN zone IN ('Z', '+02:00', '-05:30') AND fraction <> '.1234' THEN
-                 {S.iso("TRY_CAST(day || ' 10:30:00' || fraction AS TIMESTAMP) - CASE zone WHEN '+02:00' THEN INTERVAL 120 MINUTE WHEN '-05:30' THEN INTERVAL -330 MINUTE ELSE INTERVAL 0 MINUTE END")} END AS parsed,
+                 {S.iso("TRY_CAST(day || ' 10:30:00' || fraction AS TIMESTAMP) - to_minutes(CASE zone WHEN '+02:00' THEN 120 WHEN '-05:30' THEN -330 ELSE 0 END)")} END AS parsed,
                zone = 'Z' AND fraction IN ('', '.123') AND TRY_CAST(day AS DATE) IS NOT NULL AS is_stored_form
         FROM (SELECT *, day || 'T10:30:00' || fraction || zone AS given
               FROM (SELECT o_orderkey, '2024-' || lpad(CAST(o_custkey % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0') AS day,
@@ -368,10 +368,10 @@ ORACLES = {
           FROM (SELECT *, string_split(path, '/') AS parts FROM files)) GROUP BY ALL""", files=_FILES),
     "artifact_manifest": S.with_ctes((), """
         SELECT run_key, type, entry AS path, CAST(sum(size) AS BIGINT) AS size, count(*) AS files,
-               CASE WHEN type IN ('trace', 'pdf') THEN 'sha256:' || max(sha256) END AS checksum
+               max(CASE WHEN type IN ('trace', 'pdf') THEN 'sha256:' || sha256 END) AS checksum
         FROM (SELECT *, CASE WHEN path LIKE '%/traces/%' THEN 'trace' WHEN path LIKE '%/evidence/%' THEN 'evidence' WHEN path LIKE '%/reports/%' THEN 'pdf' ELSE 'dashboard' END AS type,
                      CASE WHEN path LIKE '%/traces/%' OR path LIKE '%/reports/%' THEN path ELSE 'artifacts/' || split_part(path, '/', 2) END AS entry FROM files)
-        GROUP BY ALL""", files=_FILES),
+        GROUP BY run_key, type, entry""", files=_FILES),
     "manifest_audit": S.with_ctes((), """
         SELECT run_key, CASE WHEN r = 0 THEN 'video' ELSE 'evidence' END AS type,
                CASE r WHEN 1 THEN '../' || path WHEN 3 THEN path || '.gone' ELSE path END AS path,

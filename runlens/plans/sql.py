@@ -140,8 +140,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN l_returnflag = 'R' AND l_suppkey % 7 = 0 THEN 'EXTERNAL_FAILURE' END AS stored_category,
                CAST(l_partkey % 3 AS BIGINT) AS retry_count,
                CASE WHEN l_linenumber % 3 = 0 THEN TRUE WHEN l_linenumber % 3 = 1 THEN FALSE END AS trace_available,
-               CASE WHEN l_suppkey % 10 = 0 THEN {CENTS} % 1024 ELSE {CENTS} END AS trace_size
+               CASE WHEN l_suppkey % 10 = 0 THEN {CENTS} % 1024 ELSE {CENTS} END AS trace_size,
+               l_partkey || '-' || l_suppkey AS output_dir
         FROM lineitem"""),
+    "lifecycle": ((), f"""
+        SELECT *, CASE WHEN kind = 'complete' AND n % 6 IN (1, 2, 3) AND n % 4 <> 0 THEN {pick(MESSAGES, f'n % {len(MESSAGES)}')} END AS error_message,
+               CASE WHEN kind = 'step' THEN {pick(AUTO_ACTIONS, f'n % {len(AUTO_ACTIONS)}')} END AS action,
+               CASE WHEN kind = 'step' THEN CASE WHEN n % 5 = 0 THEN 'detected' ELSE 'captured' END END AS phase,
+               CASE WHEN kind = 'complete' THEN {pick(('passed', 'FAIL', 'timedOut', 'interrupted', 'skipped', 'PASS'), 'n % 6')}
+                    WHEN kind = 'step' THEN CASE WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END END AS status,
+               CASE WHEN kind = 'run_update' AND n % 4 = 0 THEN 'Project ' || (n % 7) END AS project,
+               CASE WHEN kind = 'run_update' AND n % 3 = 0 THEN {pick(BROWSERS, 'n % 3')} END AS browser,
+               kind = 'run_update' AND n % 25 = 0 AS reset
+        FROM (SELECT 'run-' || strftime(ts, '%Y%m%d') AS run_id, 'T' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS test_case, ts AS event_time,
+                     event_id AS seq, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS n, event_type, value,
+                     CASE event_type WHEN 'signup' THEN 'test_start' WHEN 'purchase' THEN 'complete' WHEN 'view' THEN 'run_update' ELSE 'step' END AS kind
+              FROM events)"""),
     "runs": ((), f"""
         SELECT o_orderkey AS run_id,
                strftime(o_orderdate + to_milliseconds(o_orderkey % 86400000), '%Y%m%d-%H%M%S-%g') || '-' ||

@@ -119,6 +119,7 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (c("l_partkey") % 3).cast("bigint").alias("retry_count"),
         F.when(c("l_linenumber") % 3 == 0, True).when(c("l_linenumber") % 3 == 1, False).alias("trace_available"),
         F.when(c("l_suppkey") % 10 == 0, cents % 1024).otherwise(cents).alias("trace_size"),
+        F.concat_ws("-", c("l_partkey").cast("string"), c("l_suppkey").cast("string")).alias("output_dir"),
     )
 
 
