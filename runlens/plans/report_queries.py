@@ -169,7 +169,7 @@ _RECORDS = f"""
           FROM folded GROUP BY run_id, test_case) USING (run_id, test_case) WHERE back = 1"""
 
 
-def _lifecycle(body):
+def lifecycle_sql(body):
     return S.with_ctes("lifecycle", body, numbered=_EVENTS, folded=_FOLDED, records=_RECORDS)
 
 
@@ -243,19 +243,19 @@ _READABLE = f"""CASE WHEN factory = 'getByRole' THEN CASE WHEN p_partkey % 2 = 0
     WHEN factory = 'locator' THEN {_selector_sql('selector')} ELSE {_title_sql('selector')} END"""
 
 ORACLES = {
-    "lifecycle_attempts": _lifecycle(f"""
+    "lifecycle_attempts": lifecycle_sql(f"""
         SELECT run_id, test_case, attempt, retry + 1 AS attempt_number, retry, steps, failed_steps, coalesce(status, 'RUNNING') AS status,
                coalesce(duration, 0.0) AS duration, error_message, {S.iso('f.started_at')} AS started_at, {S.iso('f.finished_at')} AS finished_at
         FROM folded f WHERE attempt > 0"""),
-    "lifecycle_records": _lifecycle(f"""
+    "lifecycle_records": lifecycle_sql(f"""
         SELECT run_id, test_case, status, duration, error_message, failure_category, attempts, retry_count, steps, {S.iso('executed_at')} AS execution_date
         FROM records"""),
-    "lifecycle_open_records": _lifecycle("""
+    "lifecycle_open_records": lifecycle_sql("""
         SELECT CASE WHEN was_running THEN 'RUNNING' ELSE status END AS status, count(*) AS records FROM records GROUP BY ALL"""),
     "lifecycle_steps": S.with_ctes("lifecycle", """
         SELECT run_id, test_case, row_number() OVER (PARTITION BY run_id, test_case ORDER BY event_time, seq) AS step_no, seq, action, status, value AS duration
         FROM lifecycle WHERE kind = 'step'"""),
-    "completion_categories": _lifecycle(f"""
+    "completion_categories": lifecycle_sql(f"""
         SELECT run_id, category, count(*) AS failures FROM (
           SELECT run_id, {S.category('message')} AS category FROM numbered WHERE kind = 'complete' AND canonical IN {S.FAILING}
           UNION ALL SELECT run_id, 'TIMEOUT_FAILURE' FROM records WHERE was_running) GROUP BY ALL"""),
@@ -273,7 +273,7 @@ ORACLES = {
           SELECT run_id, arg_max(project, seq) FILTER (project IS NOT NULL) AS project, arg_max(browser, seq) FILTER (browser IS NOT NULL) AS browser,
                  coalesce(max(event_time) FILTER (reset), min(event_time)) AS start, count(*) AS updates
           FROM lifecycle WHERE kind = 'run_update' GROUP BY run_id)"""),
-    "automation_health": _lifecycle(f"""
+    "automation_health": lifecycle_sql(f"""
         SELECT run_id, CASE WHEN failed > passed THEN 'critical' WHEN ok THEN 'healthy' ELSE 'attention' END AS health,
                CASE WHEN failed > passed THEN 'Critical Issues Detected' WHEN ok THEN 'Healthy Run' ELSE 'Attention Required' END AS heading,
                CASE WHEN failed > passed THEN 'Multiple failures require investigation.' WHEN ok THEN 'All tests passed. | Auto-capture coverage is excellent.'

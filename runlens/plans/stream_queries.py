@@ -6,6 +6,7 @@ import uuid
 
 from runlens.plans import sql as S
 from runlens.plans.history_queries import LEGACY_SQL
+from runlens.plans.report_queries import lifecycle_sql
 from runlens.session import shared_dir
 from runlens.sources import tables
 from runlens.streaming import ingest
@@ -33,7 +34,7 @@ def stream_failure_counts(spark, sf_dir):
 
 
 def stream_test_records(spark, sf_dir):
-    return stream.run_to_table(stream.stream_test_records(_events(spark, sf_dir)), _folder(spark))
+    return stream.stream_test_records(_events(spark, sf_dir), _folder(spark)).drop("last_event")
 
 
 def stream_legacy_ingest(spark, sf_dir):
@@ -58,6 +59,12 @@ ORACLES = {
     "stream_failure_counts": S.with_ctes("lifecycle", f"""
         SELECT run_id, {S.category('c')} AS category, count(*) AS failures FROM (
           SELECT run_id, {S.clean('error_message')} AS c FROM lifecycle WHERE kind = 'complete' AND {S.canonical('status')} IN {S.FAILING}) GROUP BY ALL"""),
+    "stream_test_records": lifecycle_sql("""
+        SELECT run_id, test_case, attempts AS attempt, status, duration, error_message, failure_category, steps,
+               CASE WHEN was_running THEN 'expired' ELSE 'completed' END AS closed
+        FROM records JOIN (SELECT run_id, test_case, max(epoch_ms(event_time)) AS last_ms, max(max(epoch_ms(event_time))) OVER () AS newest
+                           FROM numbered GROUP BY run_id, test_case) USING (run_id, test_case)
+        WHERE last_ms + 6 * 3600000 < newest - 3600000"""),
     "stream_legacy_ingest": S.with_ctes((), """
         SELECT name, CASE WHEN error IS NOT NULL THEN 'failed' ELSE 'migrated' END AS outcome, identity,
                CASE WHEN error IS NULL THEN strftime(created_at, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) END AS run_key FROM legacy""",

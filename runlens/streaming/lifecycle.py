@@ -1,85 +1,89 @@
-"""Recorder events as a stream: test records by state, coverage and failure counters by aggregation."""
+"""Recorder events as a stream: test records with kept state, coverage and failure counters by aggregation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.fixed_values import UNFINISHED_MESSAGE
 from runlens.functions import failures as rules
 from runlens.functions.text import clean_message
-from runlens.operators.lifecycle import TEST_EVENTS, TEST_KEY
+from runlens.operators.lifecycle import TEST_KEY, fold_attempts
 
-RECORD_SCHEMA = (
+STATE_SCHEMA = (
     "run_id string, test_case string, attempt bigint, status string, duration double, error_message string, failure_category string, "
-    "steps bigint, closed string"
+    "steps bigint, last_event timestamp"
 )
-STATE_SCHEMA = "attempt bigint, status string, duration double, error_message string, failure_category string, steps bigint, last_event bigint"
-
-
-def _fold(events: pd.DataFrame, state: tuple) -> tuple:
-    """Apply ordered events to the compact state of one test."""
-    attempt, status, duration, error, category, steps, last = state
-    for e in events.sort_values(["event_time", "seq"]).itertuples(index=False):
-        if e.kind == "test_start":
-            attempt, status, duration, error, steps = attempt + 1, "RUNNING", 0.0, None, 0
-        elif e.kind == "step":
-            steps += 1
-        else:
-            status = e.status
-            duration = 0.0 if pd.isna(e.duration) else float(e.duration)
-            error = e.error_message if isinstance(e.error_message, str) else error
-            category = e.category if isinstance(e.category, str) else category
-        last = max(last, int(e.event_time.value // 1_000_000))
-    return attempt, status, duration, error, category, steps, last
-
-
-def _update(idle_ms: int):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else (0, "RUNNING", 0.0, None, None, 0, 0)
-        if state.hasTimedOut:
-            attempt, status, duration, error, category, steps, _ = current
-            closed = "completed"
-            if status == "RUNNING":
-                status, error, category, closed = "FAILED", error or UNFINISHED_MESSAGE, "TIMEOUT_FAILURE", "expired"
-            state.remove()
-            columns = ["run_id", "test_case", *[c.split(" ")[0] for c in RECORD_SCHEMA.split(", ")[2:]]]
-            yield pd.DataFrame([[*key, attempt, status, duration, error, category, steps, closed]], columns=columns)
-            return
-        events = pd.concat(list(batches), ignore_index=True)
-        current = _fold(events, current)
-        state.update(current)
-        state.setTimeoutTimestamp(max(current[6], state.getCurrentWatermarkMs()) + idle_ms)
-
-    return update
-
-
-def stream_test_records(events: DataFrame, late: str = "1 hour", idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """Final record of each test once it was idle for ``idle_ms`` of event time.
-
-    State per test is one small tuple; steps are counted, not kept. A test that was still running when it
-    expires is a failure by timeout.
+RECORD_SCHEMA = STATE_SCHEMA + ", closed string"
+HOUR_MS = 3600 * 1000
+
+
+def merge_state(state: DataFrame, events: DataFrame) -> DataFrame:
+    """State of each test after a micro-batch.
+
+    The events of the batch are folded as in a batch query, spread over many tasks however many of them
+    belong to one test; only one compact row per test meets the kept state.
     """
-    done = F.col("kind") == "complete"
-    read = (
-        events.filter(F.col("kind").isin(*TEST_EVENTS))
-        .withColumn("error_message", F.when(done, clean_message(F.col("error_message"))))
-        .withColumn("folded", rules.folded(F.col("error_message")))
-        .withColumn("category", F.when(done & rules.is_failing(F.col("status")), rules.failure_category(F.col("error_message"), F.col("folded"))))
-        .withColumn("status", F.when(done, rules.canonical_status(F.col("status"))))
-        .select(*TEST_KEY, "event_time", "seq", "kind", "status", "duration", "error_message", "category")
-    )
-    return (
-        read.withWatermark("event_time", late)
-        .groupBy(*TEST_KEY)
-        .applyInPandasWithState(_update(idle_ms), RECORD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    c = F.col
+    folded = fold_attempts(events)
+    last_seen = events.groupBy(*TEST_KEY).agg(F.max("event_time").alias("seen"))
+    news = folded.groupBy(*TEST_KEY).agg(
+        F.max("attempt").alias("starts"),
+        F.max_by(F.struct("status", "duration", "error_message", "steps"), "attempt").alias("last"),
+        F.max_by("category", F.when(c("category").isNotNull(), c("attempt"))).alias("category"),
+    ).join(last_seen, list(TEST_KEY))
+    started = F.coalesce(c("starts") > 0, F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    return state.join(news, list(TEST_KEY), "full").select(
+        *TEST_KEY,
+        (F.coalesce("attempt", zero) + F.coalesce("starts", zero)).alias("attempt"),
+        F.coalesce(c("last.status"), F.when(~started, c("status")), F.lit("RUNNING")).alias("status"),
+        F.coalesce(c("last.duration"), F.when(~started, c("duration")), F.lit(0.0)).alias("duration"),
+        F.coalesce(c("last.error_message"), F.when(~started, c("error_message"))).alias("error_message"),
+        F.coalesce("category", "failure_category").alias("failure_category"),
+        (F.coalesce(c("last.steps"), zero) + F.when(started, zero).otherwise(F.coalesce("steps", zero))).alias("steps"),
+        F.greatest("last_event", "seen").alias("last_event"),
     )
 
 
+def _folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def stream_test_records(events: DataFrame, folder: str, late_ms: int = HOUR_MS, idle_ms: int = 6 * HOUR_MS) -> DataFrame:
+    """Process the available events; returns the records of the tests that ended.
+
+    A test ends once it was idle for ``idle_ms`` of event time, judged ``late_ms`` behind the newest event.
+    One that is still running then is a failure by timeout. Open tests stay in a state table, which each
+    micro-batch rewrites under its own number, so that a repeated batch starts from the same state.
+    """
+    spark = events.sparkSession
+    c = F.col
+
+    def advance(batch: DataFrame, number: int) -> None:
+        before = f"{folder}/state/batch={number - 1}"
+        state = spark.read.schema(STATE_SCHEMA).parquet(before) if _folder_exists(spark, before) else spark.createDataFrame([], STATE_SCHEMA)
+        merged_path = f"{folder}/merged/batch={number}"
+        merge_state(state, batch.filter(c("kind") != "run_update")).write.mode("overwrite").parquet(merged_path)
+        merged = spark.read.schema(STATE_SCHEMA).parquet(merged_path)
+        newest = merged.agg(F.unix_millis(F.max("last_event"))).scalar()
+        ended = F.unix_millis("last_event") + idle_ms < newest - late_ms
+        running = c("status") == "RUNNING"
+        records = merged.filter(ended).withColumns({
+            "closed": F.when(running, "expired").otherwise("completed"),
+            "error_message": F.when(running, F.coalesce("error_message", F.lit(UNFINISHED_MESSAGE))).otherwise(c("error_message")),
+            "failure_category": F.when(running, "TIMEOUT_FAILURE").otherwise(c("failure_category")),
+            "status": F.when(running, "FAILED").otherwise(c("status")),
+        })
+        records.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        merged.filter(~ended).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    query = events.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(RECORD_SCHEMA).parquet(f"{folder}/rows/batch=*")
+
+
 def stream_coverage(events: DataFrame) -> DataFrame:
     """Running capture counts per run and action."""
     steps = events.filter(F.col("action").isNotNull())
