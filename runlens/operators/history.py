@@ -42,39 +42,42 @@ def _kind(doc: Column, path: str | None = None) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair]), word)
 
 
-def _number(doc: Column, path: str) -> Column:
-    return F.when(_kind(doc, path) == "number", F.try_variant_get(doc, f"$.{path}", "double"))
-
-
-def _text(doc: Column, path: str) -> Column:
-    return F.when(_kind(doc, path) == "string", F.try_variant_get(doc, f"$.{path}", "string"))
+def _text(doc: Column, path: str | None = None) -> Column:
+    """A string value; null for any other JSON kind."""
+    return F.when(_kind(doc, path) == "string", F.try_variant_get(doc, "$" if path is None else f"$.{path}", "string"))
 
 
 def _is_count(value: Column) -> Column:
     return F.coalesce((value >= 0) & (value == F.floor(value)) & (value < float("inf")), F.lit(False))
 
 
+# Numbers and flags of another JSON type read as null. Where a text must be told from other kinds, it is read as a variant.
+SUMMARY_SCHEMA = ", ".join(
+    [f"{f} double" for f in (*COUNT_FIELDS, *DURATION_FIELDS, "passRate")]
+    + [f"{f} string" for f in ("runId", *TIMESTAMP_FIELDS)]
+    + [f"{f} variant" for f in ("schemaVersion", *METADATA_FIELDS, "migration")]
+    + ["failureCategoryCounts map<string,double>", "reportAvailability struct<" + ",".join(f"{f}:boolean" for f in AVAILABILITY_FIELDS) + ">"]
+    + ["_corrupt_record string"]
+)
+
+
 def read_fields(files: DataFrame) -> DataFrame:
-    """Typed fields of each summary text; a field of another JSON type reads as null."""
-    doc = F.col("doc")
-    counts = F.try_variant_get(doc, "$.failureCategoryCounts", "map<string,variant>")
-    parsed = files.withColumn("doc", F.try_parse_json("content")).select(
-        "run_dir", "read_error", F.col("content").isNotNull().alias("has_content"),
-        (_kind(doc) == "object").alias("is_object"),
-        *[_number(doc, f).alias(f) for f in (*COUNT_FIELDS, *DURATION_FIELDS, "passRate")],
-        *[_text(doc, f).alias(f) for f in ("runId", "schemaVersion", *TIMESTAMP_FIELDS, *METADATA_FIELDS)],
-        *[_kind(doc, f).alias(f"{f}_kind") for f in METADATA_FIELDS],
-        (_kind(doc, "failureCategoryCounts") == "object").alias("counts_are_object"),
-        F.transform_values(
-            counts,
-            lambda _, v: F.when(_kind(v) == "number", F.try_variant_get(v, "$", "double")),
-        ).alias("categoryCounts"),
-        *[F.when(_kind(doc, f"reportAvailability.{f}") == "boolean", F.try_variant_get(doc, f"$.reportAvailability.{f}", "boolean")).alias(f"has_{f}")
-          for f in AVAILABILITY_FIELDS],
-        _kind(doc, "migration").alias("migration_kind"),
-        *[_text(doc, f"migration.{f}").alias(f"migration_{f}") for f in ("identity", "source", "sourceChecksum")],
+    """Typed fields of each summary text, parsed once."""
+    c = F.col
+    parsed = files.withColumn("s", F.from_json("content", SUMMARY_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    braced = F.startswith(F.ltrim(c("content"), F.lit(" \t\r\n")), F.lit("{"))
+    # Only texts the typed reader objects to are parsed again, to tell broken JSON from wrong types.
+    doubtful = ~braced | c("s._corrupt_record").isNotNull() | c("s").isNull()
+    is_object = F.when(doubtful, F.when(F.try_parse_json("content").isNotNull(), braced)).otherwise(F.lit(True))
+    return parsed.select(
+        "run_dir", "read_error", c("content").isNotNull().alias("has_content"), F.when(c("content").isNotNull(), is_object).alias("is_object"),
+        *[c(f"s.{f}") for f in (*COUNT_FIELDS, *DURATION_FIELDS, "passRate", "runId", *TIMESTAMP_FIELDS)],
+        *[_text(c(f"s.{f}")).alias(f) for f in ("schemaVersion", *METADATA_FIELDS)],
+        *[_kind(c(f"s.{f}")).alias(f"{f}_kind") for f in (*METADATA_FIELDS, "migration")],
+        c("s.failureCategoryCounts").alias("categoryCounts"),
+        *[c(f"s.reportAvailability.{f}").alias(f"has_{f}") for f in AVAILABILITY_FIELDS],
+        *[_text(c("s.migration"), f).alias(f"migration_{f}") for f in ("identity", "source", "sourceChecksum")],
     )
-    return parsed
 
 
 def summary_rules() -> dict[str, Column]:
@@ -97,7 +100,7 @@ def summary_rules() -> dict[str, Column]:
         **{f"COUNT_{f}": ~_is_count(c(f)) for f in COUNT_FIELDS},
         **{f"DURATION_{f}": fails((c(f) >= 0) & (c(f) < float("inf"))) for f in DURATION_FIELDS},
         "PASS_RATE": fails(c("passRate").between(0, 100)),
-        "CATEGORY_COUNTS": fails(c("counts_are_object")) | F.exists(counts, lambda v: ~_is_count(v)),
+        "CATEGORY_COUNTS": c("categoryCounts").isNull() | F.exists(counts, lambda v: ~_is_count(v)),
         "STATUS_SUM": fails(c("total") == c("passed") + c("failed") + c("skipped") + c("timedOut") + c("interrupted")),
         "UNSUCCESSFUL_SUM": fails(c("unsuccessful") == c("failed") + c("timedOut") + c("interrupted")),
         "TRACE_COUNTS": fails(c("traceAvailableCount") == c("tracePreservedCount")),
