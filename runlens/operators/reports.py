@@ -67,7 +67,7 @@ def trace_overview(executions: DataFrame) -> DataFrame:
 
 def detect_traces(executions: DataFrame, files: DataFrame) -> DataFrame:
     """Trace archive of each record by its output folder; ``files``: run_id, output_dir, path, size."""
-    found = files.groupBy("run_id", "output_dir").agg(F.max_by(F.struct("path", "size"), "path").alias("trace"))
+    found = files.groupBy("run_id", "output_dir").agg(F.max(F.struct("path", "size")).alias("trace"))
     return executions.select("run_id", "ordinal", "test_case", "output_dir").join(found, ["run_id", "output_dir"], "left").select(
         "run_id", "ordinal", "test_case", F.col("trace").isNotNull().alias("trace_available"),
         F.col("trace.path").alias("trace_file"), F.col("trace.size").alias("trace_size"),
@@ -121,6 +121,3 @@ def with_existing_file(rows: DataFrame, listing: DataFrame, column: str) -> Data
     """Rows whose file reference is present in a file listing (path)."""
     return rows.join(listing.select(F.col("path").alias(column)).distinct(), column, "left_semi")
 
-
-def is_described(name: Column) -> Column:
-    return name.isin(*[r[0] for r in STEP_DESCRIPTIONS])

@@ -125,7 +125,7 @@ _MESSAGE = f"({pick(MESSAGES, f'l_suppkey % {len(MESSAGES)}')} || {pick(ORIGINS,
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "executions": ((), f"""
         SELECT l_orderkey AS run_id,
-               l_linenumber * 10000000000000000 + l_partkey * 1000003 + l_suppkey * 10007 + {CENTS} * 101 AS ordinal,
+               l_linenumber * 1000000000000000000 + (l_partkey % 1000000) * 1000000000000 + (l_suppkey % 10000) * 100000000 + {CENTS} % 100000000 AS ordinal,
                'TC' || lpad(CAST(l_partkey % 60 AS VARCHAR), 3, '0') AS test_case,
                CASE WHEN l_returnflag = 'R' THEN {pick(STATUS_SPELLINGS, 'l_linenumber % 4')}
                     WHEN l_returnflag = 'A' AND l_linenumber % 3 = 0 THEN 'skipped'

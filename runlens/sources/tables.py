@@ -97,7 +97,7 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         c("l_orderkey").alias("run_id"),
         (
-            c("l_linenumber") * F.lit(10**16) + c("l_partkey") * 1000003 + c("l_suppkey") * 10007 + cents * 101
+            c("l_linenumber") * F.lit(10**18) + (c("l_partkey") % 1000000) * F.lit(10**12) + (c("l_suppkey") % 10000) * F.lit(10**8) + cents % F.lit(10**8)
         ).alias("ordinal"),
         F.concat(F.lit("TC"), F.lpad((c("l_partkey") % 60).cast("string"), 3, "0")).alias("test_case"),
         F.when(failing, pick(STATUS_SPELLINGS, c("l_linenumber") % len(STATUS_SPELLINGS)))
