@@ -229,6 +229,14 @@ def source_counters(files: DataFrame, query: RunQuery | None = None) -> DataFram
     return both.agg(*[F.max(n).alias(n) for n in names]).withColumn("selected", selected.cast("bigint"))
 
 
+def selection_flags(files: DataFrame, query: RunQuery | None = None) -> DataFrame:
+    """Whether metrics of a query are partial, as runs were excluded, or limited, as matching runs were cut off."""
+    c = F.col
+    return source_counters(files, query).select(
+        ((c("excluded") > 0) | (c("aggregation_excluded") > 0)).alias("partial"), (c("selected") < c("matched")).alias("limited")
+    )
+
+
 def history_warnings(files: DataFrame, query: RunQuery | None = None) -> DataFrame:
     """All warnings of a history query: (seq, code, run_key, field, detail); ``seq`` orders the kinds.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runlens import fixed_values as V
@@ -10,7 +12,9 @@ from runlens.functions.text import version_token
 from runlens.operators import history, metrics, summaries
 from runlens.operators.metrics import RunQuery
 from runlens.plans import sql as S
-from runlens.sources import tables
+from runlens.plans.api_sql import CALLS_SQL, KEPT_SQL
+from runlens.session import shared_dir
+from runlens.sources import store, tables
 
 QUERY = RunQuery(start="1996-01-01T00:00:00Z", limit=300)
 
@@ -87,6 +91,31 @@ def new_run_summaries(spark, sf_dir):
     return summaries.run_summaries(tables.executions(spark, sf_dir), candidates).select("run_key", "total", "passed", "pass_rate")
 
 
+def run_lookup(spark, sf_dir):
+    records = tables.executions(spark, sf_dir).filter(F.col("run_id") == 7)
+    runs = tables.runs(spark, sf_dir).filter(F.col("run_id") == 7)
+    return summaries.run_summaries(records, runs).select("run_key", "total", "passed", "total_duration", "project")
+
+
+def appended_runs(spark, sf_dir):
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
+    records = records.withColumn("status", F.when(F.col("ordinal") % 1009 == 0, "running").otherwise(F.col("status")))
+    store.append_runs(records, runs.filter(F.col("run_id") % 2 == 0), path)
+    store.append_runs(records, runs, path)
+    return spark.read.parquet(path).select("run_key", "total", "passed", "pass_rate", F.col("run_month").cast("string").alias("run_month"))
+
+
+def saved_api_log(spark, sf_dir):
+    path = f"{shared_dir(spark)}/api-{uuid.uuid4().hex}"
+    store.save_api_logs(tables.api_calls(spark, sf_dir), path)
+    return spark.read.schema("seq bigint, url string, test_case string").json(path)
+
+
+def history_flags(spark, sf_dir):
+    return history.selection_flags(_files(spark, sf_dir), QUERY)
+
+
 def _legacy(spark, sf_dir):
     files = tables.legacy_files(spark, sf_dir)
     sources = history.legacy_sources(files)
@@ -203,6 +232,10 @@ QUERIES = {
     "retention_plan": retention_plan,
     "retention_kept": retention_kept,
     "new_run_summaries": new_run_summaries,
+    "run_lookup": run_lookup,
+    "appended_runs": appended_runs,
+    "saved_api_log": saved_api_log,
+    "history_flags": history_flags,
     "legacy_ingest": legacy_ingest,
     "legacy_summaries": legacy_summaries,
     "migration_ids": migration_ids,
@@ -334,6 +367,15 @@ ORACLES = {
     "retention_kept": S.with_ctes("runs", "SELECT run_key FROM runs WHERE started_at >= TIMESTAMP '2001-08-01' - to_hours(CAST(730.5 * 24 AS BIGINT))"),
     "new_run_summaries": S.with_ctes("summaries", f"""
         SELECT run_key, total, passed, coalesce({S.rate('passed', 'total')}, 0.0) AS pass_rate FROM summaries WHERE run_id % 3 <> 0"""),
+    "run_lookup": S.with_ctes("summaries", """
+        SELECT run_key, total, passed, CAST(total_duration AS DOUBLE) AS total_duration, project FROM summaries WHERE run_id = 7"""),
+    "appended_runs": S.with_ctes("summaries", f"""
+        SELECT run_key, total, passed, coalesce({S.rate('passed', 'total')}, 0.0) AS pass_rate, strftime(started_at, '%Y-%m') AS run_month FROM summaries
+        WHERE run_id NOT IN (SELECT run_id FROM executions WHERE ordinal % 1009 = 0)"""),
+    "saved_api_log": S.with_ctes((), f"SELECT seq, url, test_case FROM calls WHERE {KEPT_SQL}", calls=CALLS_SQL),
+    "history_flags": _history(f"""
+        SELECT (SELECT count(*) FROM stored WHERE code IS NOT NULL OR NOT usable) > 0 AS partial, (SELECT count(*) FROM ({_MATCHED})) > 300 AS limited""",
+        stored_runs=_STORED_RUNS),
     "legacy_ingest": S.with_ctes((), f"""
         SELECT name, CASE WHEN error IS NOT NULL THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'reconciled' ELSE 'migrated' END AS outcome, identity,
                CASE WHEN error IS NULL THEN CASE WHEN o_orderkey % 4 = 1 THEN 'stored-run' ELSE {_LEGACY_KEY} END END AS run_key, error

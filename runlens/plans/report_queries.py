@@ -9,6 +9,7 @@ from runlens.functions import text as T
 from runlens.functions.times import iso_text
 from runlens.operators import failures, lifecycle, reports, summaries
 from runlens.plans import sql as S
+from runlens.plans.api_sql import CALLS_SQL, KEPT_SQL, STATIC_SQL
 from runlens.plans.metric_queries import duration_text
 from runlens.sources import tables
 
@@ -174,17 +175,6 @@ def lifecycle_sql(body):
 
 
 _MISSED = "greatest(0, detected - captured) AS missed, " + f"coalesce({S.rate('captured', 'detected')}, 0.0) AS capture_rate"
-_CALLS = f"""
-    SELECT page_id % 40 AS run_id, 'TC' || lpad(CAST(page_id % 60 AS VARCHAR), 3, '0') AS test_case, page_id AS seq,
-           {S.pick(('GET', 'POST', 'PUT'), 'page_id % 3')} AS method, CAST({S.pick((200, 201, 404, 500), 'page_id % 4')} AS BIGINT) AS status,
-           CAST(length(html) * 3 AS BIGINT) AS duration,
-           CASE page_id % 12 WHEN 0 THEN url || '/app.CSS?v=1' WHEN 1 THEN url || '/static/logo' WHEN 2 THEN 'https://www.google-analytics.com/collect?u=' || url
-                WHEN 3 THEN 'not a url ' || url WHEN 4 THEN 'https://api.example.com/api/v1/items/' || page_id || '?from=' || split_part(url, '//', 2)
-                WHEN 5 THEN 'https://www.saucedemo.com' WHEN 6 THEN url || '/Sentry/x' ELSE url END AS url
-    FROM pages"""
-_PATH = "split_part(lower(url), '?', 1)"
-_STATIC = "(" + " OR ".join([f"ends_with({_PATH}, '{e}')" for e in V.STATIC_EXTENSIONS] + [f"contains({_PATH}, '{p}')" for p in V.STATIC_PATHS]) + ")"
-_KEPT = f"NOT {_STATIC} AND NOT (" + " OR ".join(f"contains(lower(url), '{v}')" for v in V.TELEMETRY_VENDORS) + ")"
 _REST = "regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1)"
 _ENDPOINT = f"""CASE WHEN regexp_matches(url, '^[a-z]+://[^ ]+$') THEN left(CASE WHEN {_REST} = '' THEN '/' ELSE {_REST} END, 90) ELSE left(url, 90) END"""
 _SIZE = f"""CASE WHEN trace_size < 1024 THEN trace_size || ' B' WHEN trace_size < 1048576 THEN {S.fixed_text('CAST(trace_size AS DOUBLE) / 1024', 1)} || ' KB'
@@ -283,13 +273,13 @@ ORACLES = {
           SELECT run_id, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'PASSED') AS passed,
                  {S.rate("count(*) FILTER (status = 'PASSED')", 'count(*)')} AS pass_rate FROM records GROUP BY run_id)
           JOIN (SELECT run_id, {S.rate("count(*) FILTER (phase = 'captured')", 'count(*)')} AS capture_rate FROM lifecycle WHERE action IS NOT NULL GROUP BY run_id) USING (run_id))"""),
-    "api_log": S.with_ctes((), f"SELECT * FROM calls WHERE {_KEPT}", calls=_CALLS),
+    "api_log": S.with_ctes((), f"SELECT * FROM calls WHERE {KEPT_SQL}", calls=CALLS_SQL),
     "api_recorded": S.with_ctes((), f"""
-        SELECT seq, url FROM calls WHERE ({' OR '.join(f"contains(url, '{p}')" for p in V.API_INCLUDE)}) AND NOT {_STATIC}""", calls=_CALLS),
+        SELECT seq, url FROM calls WHERE ({' OR '.join(f"contains(url, '{p}')" for p in V.API_INCLUDE)}) AND NOT {STATIC_SQL}""", calls=CALLS_SQL),
     "api_activity": S.with_ctes("executions", f"""
         SELECT e.run_id, e.test_case, e.ordinal, k.seq, k.method, k.endpoint, k.http_status, k.time FROM executions e
         LEFT JOIN (SELECT run_id, test_case, seq, method, {_ENDPOINT} AS endpoint, CAST(status AS VARCHAR) AS http_status,
-                          {duration_text('CAST(duration AS DOUBLE)')} AS time FROM calls WHERE {_KEPT}) k USING (run_id, test_case)""", calls=_CALLS),
+                          {duration_text('CAST(duration AS DOUBLE)')} AS time FROM calls WHERE {KEPT_SQL}) k USING (run_id, test_case)""", calls=CALLS_SQL),
     "test_case_table": S.with_ctes("executions", f"""
         SELECT run_id, ordinal, test_case, coalesce(nullif(feature, ''), '-') AS feature, {S.canonical('status')} AS status,
                {duration_text('e.duration')} AS duration, retry_count AS retries FROM executions e"""),
