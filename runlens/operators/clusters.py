@@ -45,9 +45,11 @@ def group_tokens(classified: DataFrame) -> DataFrame:
 
     A test name stands for the first record of that name in the run, whatever its status.
     """
-    first = classified.groupBy("run_id", "test_case").agg(
+    first = classified.groupBy(F.col("run_id").alias("first_run"), F.col("test_case").alias("first_test")).agg(
         F.min_by(F.struct("feature", "message"), F.col("ordinal")).alias("record")
     )
+    # A plain equality on the name would filter only this copy of the tests, and Spark could not share their exchange.
+    same_test = (F.col("run_id") == F.col("first_run")) & F.col("test_case").eqNullSafe(F.col("first_test"))
     members = group_tests(classified)
     message, lower = F.col("record.message"), F.col("folded")
 
@@ -62,7 +64,7 @@ def group_tokens(classified: DataFrame) -> DataFrame:
         token("url", F.when(rules.mentions_url_check(message, lower), "yes")),
     )
     return (
-        members.join(first, ["run_id", "test_case"])
+        members.join(first, same_test)
         .withColumn("folded", rules.folded(message))
         .select(*GROUP_KEY, "ordinal", "failures", F.explode(tokens).alias("t"))
         .filter(F.col("t.token").isNotNull())
