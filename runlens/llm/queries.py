@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from runlens.llm import pieces
+from pyspark.sql import DataFrame, SparkSession
 
+from runlens.llm import language, packing, pieces, pii, quality, sharding, simhash, winnowing
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
-def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(_table(spark, sf_dir, "documents"))
+    return query
 
 
 QUERIES = {
-    "op8_pieces": op8_pieces,
+    "op1_packing": _over("documents", packing.pack),
+    "op2_simhash": _over("documents", simhash.digests),
+    "op3_language": _over("documents", language.digests),
+    "op4_winnowing": _over("documents", winnowing.digests),
+    "op6_sharding": _over("documents", sharding.digests),
+    "op8_pieces": _over("documents", pieces.digests),
+    "op9_pii": _over("documents", pii.digests),
+    "op10_quality": _over("documents", quality.verdicts),
 }
 
 ORACLES: dict[str, str] = {}
