@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import language, packing, pieces, pii, quality, sharding, simhash, winnowing
+from runlens.llm import language, packing, pieces, pii, quality, recompression, sharding, simhash, winnowing
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ QUERIES = {
     "op2_simhash": _over("documents", simhash.digests),
     "op3_language": _over("documents", language.digests),
     "op4_winnowing": _over("documents", winnowing.digests),
+    "op5_recompression": _over("documents", recompression.digests),
     "op6_sharding": _over("documents", sharding.digests),
     "op8_pieces": _over("documents", pieces.digests),
     "op9_pii": _over("documents", pii.digests),
