@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import language, packing, pieces, pii, quality, recompression, sharding, simhash, winnowing
+from runlens.llm import language, packing, pieces, pii, quality, recompression, revisits, sharding, simhash, winnowing
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,9 +23,12 @@ QUERIES = {
     "op4_winnowing": _over("documents", winnowing.digests),
     "op5_recompression": _over("documents", recompression.digests),
     "op6_sharding": _over("documents", sharding.digests),
+    "op7_revisits": _over("pages", revisits.digests),
     "op8_pieces": _over("documents", pieces.digests),
     "op9_pii": _over("documents", pii.digests),
     "op10_quality": _over("documents", quality.verdicts),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_revisits": revisits.ORACLE,
+}

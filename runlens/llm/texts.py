@@ -53,3 +53,17 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def range_of(column: Column, bounds: list) -> Column:
+    """Number of sorted ``bounds`` below a value, by bisection; null counts as the smallest."""
+    points = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) < column, at + step).otherwise(at))
+
+
+def cuts(rows: DataFrame, column: str, number: int) -> list:
+    """Values that cut the rows into about ``number`` ranges of equal size: as many numbers as that, whatever the rows."""
+    shares = [k / number for k in range(1, number)]
+    found = rows.agg(F.percentile_approx(column, shares, F.lit(4 * number)).alias("c")).first()["c"] if shares else None
+    return sorted(set(found or []))
