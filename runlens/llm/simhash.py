@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.components import components
-from runlens.llm.texts import by_batch, utf8
+from runlens.llm.texts import by_batch, text_of, utf8
 from runlens.session import written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -61,16 +61,6 @@ def fingerprint(data: bytes) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` of each row; a null or wordless text has 0. Repeated rows stay, other columns go."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
-
-    return by_batch(docs.select("doc_id", utf8().alias("text")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
-
-
 def _near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Tally of shared positional bytes first, then the bits of those that reach the least number."""
     differ = np.bitwise_xor(one, other)
@@ -206,17 +196,42 @@ def links(distinct: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return total.select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``text_key`` and ``fp`` of each row; by ``fp`` the ``first`` row of its component, as (no id, doc_id, text_key)."""
+    keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), utf8().alias("text"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "text_key", "fp"])
+
+    fps = written(by_batch(keyed, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    distinct = fps.groupBy("fp").agg(first.alias("first"))
+    roots = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
+    rooted = written(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return fps, rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (smallest ``doc_id`` reachable over links) of each row.
 
-    Rows with equal texts, wordless ones among them, are linked. A component whose ids are all null has a null id.
+    Null and wordless texts have fingerprint 0 and are linked like any other equal ones. A component whose ids are all null has a
+    null id. Repeated rows stay, other columns go.
     """
-    fps = written(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
-    rooted = written(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps, named = _grouped(docs, limit)
+    return fps.join(named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """Of each component the row with the smallest id, with all its columns; rows without an id come last, then by text hash.
+
+    Rows that repeat id and text count once.
+    """
+    _, named = _grouped(docs, limit)
+    chosen = named.select(F.col("first.doc_id").alias("runlens_id"), F.col("first.text_key").alias("runlens_key")).distinct()
+    keyed = docs.withColumn("runlens_text", F.xxhash64(text_of()))
+    kept = keyed.join(chosen, (F.col("runlens_text") == F.col("runlens_key")) & F.col("doc_id").eqNullSafe(F.col("runlens_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "runlens_text"]).drop("runlens_text")
 
 
 def digests(docs: DataFrame) -> DataFrame:
