@@ -43,12 +43,21 @@ def classify_failures(executions: DataFrame) -> DataFrame:
     )
 
 
+def complete_categories(classified: DataFrame) -> DataFrame:
+    """What the completion of a test stores: a record without a category gets the one its error text is classified as."""
+    return classified.withColumn("stored_category", F.coalesce(none_if_empty(F.col("stored_category")), F.col("failure_category")))
+
+
+def recorded_category() -> Column:
+    """The category a record was stored with; groups and shares trust it and never classify anew."""
+    return F.coalesce(none_if_empty(F.col("stored_category")), F.lit(UNKNOWN_CATEGORY))
+
+
 def failed_records(classified: DataFrame) -> DataFrame:
     """One row per failed record with its group key."""
-    category = F.coalesce(none_if_empty(F.col("failure_category")), F.lit(UNKNOWN_CATEGORY))
     return (
         classified.filter(rules.is_failure(F.col("status")))
-        .withColumn("category", category)
+        .withColumn("category", recorded_category())
         .select(
             "run_id", "ordinal", "test_case", "feature", "message", "category",
             rules.failure_signature(F.col("message"), F.col("category"), F.col("folded")).alias("signature"),
@@ -80,7 +89,7 @@ def group_totals(groups: DataFrame) -> DataFrame:
 def _failure_counts(classified: DataFrame) -> DataFrame:
     """One row per run: totals and one count per fixed category, in one shuffle."""
     failed = rules.is_failure(F.col("status"))
-    category = F.coalesce(none_if_empty(F.col("failure_category")), F.lit(UNKNOWN_CATEGORY))
+    category = recorded_category()
     return classified.groupBy("run_id").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("canonical") == "PASSED").alias("passed"),

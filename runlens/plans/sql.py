@@ -174,12 +174,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                o_orderkey % 5 = 0 AS has_evidence, o_custkey % 4 > 0 AS has_traces
         FROM orders"""),
     "classified": (("executions",), f"""
-        SELECT *, CASE WHEN failing THEN {category('message')} END AS failure_category
-        FROM (SELECT *, {clean('error_message')} AS message, {canonical('status')} AS canonical,
-                     {canonical('status')} IN {FAILING} AS failing FROM executions)"""),
+        SELECT * REPLACE (CASE WHEN ordinal % 29 <> 0 THEN coalesce(nullif(stored_category, ''), failure_category) END AS stored_category)
+        FROM (SELECT *, CASE WHEN failing THEN {category('message')} END AS failure_category
+              FROM (SELECT *, {clean('error_message')} AS message, {canonical('status')} AS canonical,
+                           {canonical('status')} IN {FAILING} AS failing FROM executions))"""),
     "failures": (("classified",), f"""
-        SELECT run_id, ordinal, test_case, feature, message, coalesce(failure_category, 'UNKNOWN_FAILURE') AS category,
-               {signature('message', "coalesce(failure_category, 'UNKNOWN_FAILURE')")} AS signature
+        SELECT run_id, ordinal, test_case, feature, message, coalesce(stored_category, 'UNKNOWN_FAILURE') AS category,
+               {signature('message', "coalesce(stored_category, 'UNKNOWN_FAILURE')")} AS signature
         FROM classified WHERE upper(status) IN {FAILURE_SPELLINGS}"""),
     "groups": (("failures",), """
         SELECT run_id, category, signature, count(*) AS occurrences,

@@ -7,7 +7,19 @@ SCHEMA = "run_id string, ordinal bigint, test_case string, status string, featur
 
 def records(spark, rows):
     given = [("r", i, *row) for i, row in enumerate(rows)]
-    return failures.classify_failures(spark.createDataFrame(given, SCHEMA))
+    stored = spark.createDataFrame(given, SCHEMA).withColumn("stored_category", F.lit(None).cast("string"))
+    return failures.complete_categories(failures.classify_failures(stored))
+
+
+def test_groups_trust_the_stored_category(spark):
+    rows = [("r", i, f"t{i}", "FAILED", "A", "Timeout 1ms exceeded", c) for i, c in enumerate(["EXTERNAL_FAILURE", None, "", "TIMEOUT_FAILURE", "EXTERNAL_FAILURE"])]
+    data = failures.classify_failures(spark.createDataFrame(rows, SCHEMA + ", stored_category string"))
+    groups = {r.category: r.occurrences for r in failures.failure_groups(data).collect()}
+    assert groups == {"EXTERNAL_FAILURE": 2, "UNKNOWN_FAILURE": 2, "TIMEOUT_FAILURE": 1}
+    shares = {r.category: r.percentage for r in failures.failure_distribution(data).collect()}
+    assert shares == {"UNKNOWN_FAILURE": 40.0, "TIMEOUT_FAILURE": 20.0}
+    completed = {r.category for r in failures.failure_groups(failures.complete_categories(data)).collect()}
+    assert completed == {"EXTERNAL_FAILURE", "TIMEOUT_FAILURE"}
 
 
 def test_groups_count_and_order(spark):
