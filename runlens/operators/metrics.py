@@ -192,21 +192,22 @@ def check_dimension(dimension: str) -> str:
     return dimension
 
 
+def group_value(dimension: str) -> Column:
+    """What runs are grouped by: the start of their time bucket, or a text."""
+    if dimension in TIME_DIMENSIONS:
+        return bucket_start(dimension, F.col("started_at"))
+    if dimension == "migration":
+        return F.when(F.col("migrated"), "migrated").otherwise("native")
+    return F.col(COLUMNS[check_dimension(dimension)])
+
+
 def group_runs(runs: DataFrame, dimension: str, query: RunQuery | None = None, with_total: bool = True) -> DataFrame:
     """Metrics per group of a dimension and, marked ``is_total``, of the whole selection, in one pass.
 
     Runs without a value form the group without key, labelled Unknown.
     """
-    check_dimension(dimension)
-    selected = selected_runs(runs, query or RunQuery())
-    is_time = dimension in TIME_DIMENSIONS
-    if is_time:
-        value = bucket_start(dimension, F.col("started_at"))
-    elif dimension == "migration":
-        value = F.when(F.col("migrated"), "migrated").otherwise("native")
-    else:
-        value = F.col(COLUMNS[dimension])
-    keyed = selected.withColumn("group_value", value)
+    is_time = check_dimension(dimension) in TIME_DIMENSIONS
+    keyed = selected_runs(runs, query or RunQuery()).withColumn("group_value", group_value(dimension))
     if with_total:
         summed = keyed.rollup("group_value").agg(F.grouping_id().alias("level"), *_sums())
     else:
@@ -228,11 +229,23 @@ def group_runs(runs: DataFrame, dimension: str, query: RunQuery | None = None, w
     )
 
 
-def category_totals(counts: DataFrame, runs: DataFrame, dimension: str, query: RunQuery | None = None) -> DataFrame:
-    """Failures per group of a time dimension and category, summed over the selected runs."""
-    selected = selected_runs(runs, query or RunQuery()).select("run_id", bucket_start(dimension, F.col("started_at")).alias("bucket"))
-    summed = counts.join(selected, "run_id").groupBy("bucket", "category").agg(F.sum("failures").alias("failures"))
-    return summed.select(bucket_key(dimension, F.col("bucket")).alias("key"), "category", checked_total(F.col("failures"), "failures").alias("failures"))
+def category_totals(counts: DataFrame, runs: DataFrame, dimension: str | None, query: RunQuery | None = None) -> DataFrame:
+    """Failures per group and category and, marked ``is_total``, per category of the whole selection, in one pass.
+
+    ``counts``: run_id, category, failures. The groups are those of ``group_runs``; without a dimension only the totals come.
+    """
+    selected = selected_runs(runs, query or RunQuery())
+    value = F.lit(None).cast("string") if dimension is None else group_value(dimension)
+    joined = counts.join(selected.select("run_id", value.alias("group_value")), "run_id")
+    if dimension is None:
+        summed = joined.groupBy("category").agg(F.lit(1).alias("level"), F.lit(None).cast("string").alias("group_value"), F.sum("failures").alias("failures"))
+    else:
+        summed = joined.groupingSets([["category", "group_value"], ["category"]], "category", "group_value").agg(
+            F.grouping("group_value").alias("level"), F.sum("failures").alias("failures"))
+    key = bucket_key(dimension, F.col("group_value")) if dimension in TIME_DIMENSIONS else F.col("group_value")
+    return summed.select(
+        (F.col("level") == 1).alias("is_total"), key.alias("key"), "category", checked_total(F.col("failures"), "failures").alias("failures"),
+    )
 
 
 def date_range(runs: DataFrame, query: RunQuery | None = None) -> DataFrame:

@@ -78,8 +78,12 @@ def _metrics_by(dimension):
     return lambda spark, sf_dir: metrics.group_runs(_summaries(spark, sf_dir), dimension)
 
 
+def _categories_by(dimension):
+    return lambda spark, sf_dir: metrics.category_totals(run_failure_categories(spark, sf_dir), tables.runs(spark, sf_dir), dimension)
+
+
 def metrics_categories_by_month(spark, sf_dir):
-    return metrics.category_totals(run_failure_categories(spark, sf_dir), tables.runs(spark, sf_dir), "month")
+    return _categories_by("month")(spark, sf_dir).where("NOT is_total").drop("is_total")
 
 
 def available_date_range(spark, sf_dir):
@@ -134,6 +138,8 @@ QUERIES = {
     "metrics_filtered": metrics_filtered,
     **{f"metrics_by_{d.lower()}": _metrics_by(d) for d in V.GROUP_DIMENSIONS},
     "metrics_categories_by_month": metrics_categories_by_month,
+    **{f"metrics_categories_by_{d.lower()}": _categories_by(d) for d in V.GROUP_DIMENSIONS if d != "month"},
+    "metrics_categories_overall": _categories_by(None),
     "available_date_range": available_date_range,
     "trend_day": _trend("day", None),
     "trend_week": _trend("week", 4),
@@ -287,6 +293,13 @@ ORACLES = {
     "metrics_categories_by_month": S.with_ctes(("executions", "runs"), f"""
         SELECT strftime(started_at, '%Y-%m') AS key, category, CAST(sum(failures) AS BIGINT) AS failures
         FROM ({_CATEGORIES}) JOIN runs USING (run_id) GROUP BY ALL"""),
+    **{f"metrics_categories_by_{d.lower()}": S.with_ctes(("executions", "runs"), f"""
+        SELECT grouping(key_value) = 1 AS is_total, {_KEYS.get(d, 'key_value')} AS key, category, CAST(sum(failures) AS BIGINT) AS failures
+        FROM (SELECT category, failures, {_VALUES[d]} AS key_value FROM ({_CATEGORIES}) JOIN runs USING (run_id))
+        GROUP BY GROUPING SETS ((category, key_value), (category))""") for d in V.GROUP_DIMENSIONS if d != "month"},
+    "metrics_categories_overall": S.with_ctes(("executions", "runs"), f"""
+        SELECT TRUE AS is_total, CAST(NULL AS VARCHAR) AS key, category, CAST(sum(failures) AS BIGINT) AS failures
+        FROM ({_CATEGORIES}) JOIN runs USING (run_id) GROUP BY category"""),
     "available_date_range": S.with_ctes("runs", f"""
         SELECT {S.iso('min(started_at)')} AS first_start, {S.iso('max(started_at)')} AS last_start, count(*) AS runs FROM runs WHERE {FILTER_SQL}"""),
     "trend_day": _series_sql("day", None),

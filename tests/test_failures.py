@@ -90,7 +90,7 @@ def test_first_record_of_a_name_speaks_for_all(spark):
 
 def test_many_groups_use_several_mask_words(spark):
     rows = [("r", i, f"t{i}", "FAILED", "S" if i % 2 else "T", "x", f"CAT_{i:03}") for i in range(200)]
-    data = spark.createDataFrame(rows, SCHEMA + ", failure_category string").withColumn("message", F.col("error_message"))
+    data = spark.createDataFrame(rows, SCHEMA + ", stored_category string").withColumn("message", F.col("error_message"))
     data = data.withColumn("canonical", F.lit("FAILED")).withColumn("failing", F.lit(True)).withColumn("folded", F.col("message"))
     found = clusters.root_cause_clusters(data).collect()
     assert sorted(r.occurrences for r in found) == [100, 100]
