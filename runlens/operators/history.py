@@ -404,7 +404,8 @@ def normalized_path(path: Column) -> Column:
 def audit_manifests(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest entries that contradict the files beside them, with the first broken rule.
 
-    ``entries``: run_key, type, path, availability, size, checksum. ``files``: run_key, path, is_directory, size, sha256,
+    ``entries``: run_key, type, path, availability, size, checksum and, if there is one, why the manifest could not be read
+    (``manifest_error``). ``files``: run_key, path, is_directory, size, sha256,
     one row per file and per directory.
     """
     c = F.col
@@ -414,8 +415,10 @@ def audit_manifests(entries: DataFrame, files: DataFrame) -> DataFrame:
     )
     joined = entries.withColumn("target", target).join(listed, ["run_key", "target"], "left")
     known_type = F.coalesce(c("type").isin(*ARTIFACT_TYPES), F.lit(False))
+    unread = c("manifest_error") if "manifest_error" in entries.columns else F.lit(None).cast("string")
     broken = (
-        F.when(~known_type, "UNSUPPORTED_TYPE")
+        F.when(unread.isNotNull(), unread)
+        .when(~known_type, "UNSUPPORTED_TYPE")
         .when(c("availability").isNull(), "AVAILABILITY_NOT_BOOLEAN")
         .when(c("target").isNull(), "PATH_ESCAPES")
         .when(~c("availability"), None)

@@ -106,6 +106,17 @@ def appended_runs(spark, sf_dir):
     return spark.read.parquet(path).select("run_key", "total", "passed", "pass_rate", F.col("run_month").cast("string").alias("run_month"))
 
 
+def append_outcomes(spark, sf_dir):
+    """What becomes of runs of which some are stored, open, or share a key with another."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
+    records = records.withColumn("status", F.when(F.col("ordinal") % 1009 == 0, "running").otherwise(F.col("status")))
+    store.append_runs(records, runs.filter(F.col("run_id") % 2 == 0), path)
+    again = runs.filter(F.col("run_id") % 7 == 0).withColumn("run_id", -F.col("run_id"))
+    backwards = runs.withColumn("ended_at", F.when(F.col("run_id") % 11 == 0, F.col("started_at") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("ended_at")))
+    return store.append_runs(records, backwards.unionByName(again), path)
+
+
 def saved_api_log(spark, sf_dir):
     path = f"{shared_dir(spark)}/api-{uuid.uuid4().hex}"
     store.save_api_logs(tables.api_calls(spark, sf_dir), path)
@@ -234,6 +245,7 @@ QUERIES = {
     "new_run_summaries": new_run_summaries,
     "run_lookup": run_lookup,
     "appended_runs": appended_runs,
+    "append_outcomes": append_outcomes,
     "saved_api_log": saved_api_log,
     "history_flags": history_flags,
     "legacy_ingest": legacy_ingest,
@@ -372,6 +384,14 @@ ORACLES = {
     "appended_runs": S.with_ctes("summaries", f"""
         SELECT run_key, total, passed, coalesce({S.rate('passed', 'total')}, 0.0) AS pass_rate, strftime(started_at, '%Y-%m') AS run_month FROM summaries
         WHERE run_id NOT IN (SELECT run_id FROM executions WHERE ordinal % 1009 = 0)"""),
+    "append_outcomes": S.with_ctes(("executions", "runs"), """
+        SELECT run_id, run_key, CASE WHEN is_open THEN 'unfinished' WHEN run_id % 11 = 0 THEN 'invalid' WHEN stored OR run_id % 7 = 0 THEN 'duplicate'
+                 ELSE 'published' END AS outcome,
+               CASE WHEN is_open THEN 'RUNNING' WHEN run_id % 11 = 0 THEN 'END_BEFORE_START' END AS detail FROM known
+        UNION ALL
+        SELECT -run_id, run_key, CASE WHEN stored THEN 'duplicate' ELSE 'published' END, NULL FROM known WHERE run_id % 7 = 0""",
+        known="""SELECT r.run_id, run_key, o.run_id IS NOT NULL AS is_open, r.run_id % 2 = 0 AND o.run_id IS NULL AS stored
+                 FROM runs r LEFT JOIN (SELECT DISTINCT run_id FROM executions WHERE ordinal % 1009 = 0) o ON o.run_id = r.run_id"""),
     "saved_api_log": S.with_ctes((), f"SELECT seq, url, test_case FROM calls WHERE {KEPT_SQL}", calls=CALLS_SQL),
     "history_flags": _history(f"""
         SELECT (SELECT count(*) FROM stored WHERE code IS NOT NULL OR NOT usable) > 0 AS partial, (SELECT count(*) FROM ({_MATCHED})) > 300 AS limited""",

@@ -5,14 +5,16 @@ History layout: ``<root>/<run id>/{summary,execution,metadata,manifest}.json`` w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.fixed_values import HISTORY_SCHEMA_VERSION, METADATA_DEFAULTS
 from runlens.functions.text import none_if_empty
-from runlens.operators.history import new_runs
+from runlens.functions.times import is_run_id
+from runlens.operators.metrics import contract_violations
 from runlens.operators.reports import api_log
 from runlens.operators.summaries import category_maps, failure_category_counts, run_summaries, unfinished_runs
+from runlens.session import written
 
 STEP_SCHEMA = "name string, action string, target string, status string, duration double, timestamp string, mode string, screenshot string, errorMessage string"
 ATTEMPT_SCHEMA = (
@@ -37,8 +39,25 @@ def _path_part(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
-def _whole_texts(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(pattern)
+def _qualified(spark: SparkSession, root: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _below(spark: SparkSession, root: str, path: Column) -> Column:
+    """The part of a file's path below ``root``, wherever the root's own name occurs again."""
+    return F.substring(path, F.lit(len(_qualified(spark, root)) + 2), F.length(path))
+
+
+def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``folder`` and ``value`` of ``<root>/<folder>/<name>``; no root or no such file is an empty table."""
+    if _is_empty_store(spark, root):
+        return spark.createDataFrame([], "folder string, value string")
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).text(root)
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inside = F.replace(place, F.lit("file:///"), F.lit("file:/"))
+    parts = F.split(_below(spark, root, inside), "/")
+    return texts.select(parts.alias("parts"), "value").where(F.size("parts") == 2).select(F.col("parts")[0].alias("folder"), "value")
 
 
 def _parse_or_fail(column: Column, schema: str) -> Column:
@@ -47,7 +66,7 @@ def _parse_or_fail(column: Column, schema: str) -> Column:
 
 def read_executions(spark: SparkSession, root: str) -> DataFrame:
     """Test records of all runs with their array position; a corrupt file fails the query."""
-    texts = _whole_texts(spark, f"{root}/*/execution.json").select(_path_part(r"/([^/]+)/execution\.json$").alias("run_id"), "value")
+    texts = _texts(spark, root, "execution.json").withColumnRenamed("folder", "run_id")
     records = texts.select("run_id", F.posexplode(_parse_or_fail(F.col("value"), f"array<struct<{_struct(EXECUTION_SCHEMA)}>>")).alias("ordinal", "r"))
     return records.select(
         "run_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("r.testCase").alias("test_case"), "r.status", "r.duration", "r.feature",
@@ -79,7 +98,7 @@ def read_steps(executions: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of all runs; a missing or empty field gets its default."""
-    texts = _whole_texts(spark, f"{root}/*/metadata.json").select(_path_part(r"/([^/]+)/metadata\.json$").alias("run_id"), "value")
+    texts = _texts(spark, root, "metadata.json").withColumnRenamed("folder", "run_id")
     parsed = texts.select("run_id", _parse_or_fail(F.col("value"), METADATA_SCHEMA).alias("m"))
     fields = {"project": "project", "feature": "feature", "environment": "environment", "browser": "browser",
               "automation_tool": "automationTool", "executed_by": "executedBy"}
@@ -114,27 +133,40 @@ def read_summary_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_api_logs(spark: SparkSession, root: str) -> DataFrame:
     """API logs stored per test below ``<root>/<test>/api-log.json``, with their position."""
-    texts = _whole_texts(spark, f"{root}/*/api-log.json").select(_path_part(r"/([^/]+)/api-log\.json$").alias("test_case"), "value")
+    texts = _texts(spark, root, "api-log.json").withColumnRenamed("folder", "test_case")
     calls = texts.select("test_case", F.posexplode(_parse_or_fail(F.col("value"), f"array<struct<{_struct(API_SCHEMA)}>>")).alias("seq", "c"))
     return calls.select("test_case", F.col("seq").cast("bigint").alias("seq"), "c.*")
 
 
 def read_artifact_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below each run directory: run_key, path, size, sha256, modified_at."""
+    if _is_empty_store(spark, root):
+        return spark.createDataFrame([], "run_key string, path string, size bigint, sha256 string, modified_at timestamp")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = r"/" + root.rstrip("/").rsplit("/", 1)[-1] + r"/"
-    inside = F.substring_index(F.col("path"), base, -1)
-    return files.select(
-        F.substring_index(inside, "/", 1).alias("run_key"), F.expr(f"substring(substring_index(path, '{base}', -1), locate('/', substring_index(path, '{base}', -1)) + 1)").alias("path"),
+    inside = files.withColumn("inside", _below(spark, root, F.col("path")))
+    return inside.select(
+        F.substring_index("inside", "/", 1).alias("run_key"), F.substring(F.col("inside"), F.locate("/", F.col("inside")) + 1, F.length("inside")).alias("path"),
         F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"),
     )
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Manifest entries of all runs."""
-    schema = "artifacts array<struct<type:string,path:string,availability:boolean,size:bigint,checksum:string>>"
-    texts = _whole_texts(spark, f"{root}/*/manifest.json").select(_path_part(r"/([^/]+)/manifest\.json$").alias("run_key"), "value")
-    return texts.select("run_key", F.inline(F.from_json("value", schema)["artifacts"]))
+    """Manifest entries of all runs; a manifest that cannot be read gives one row without an entry, marked ``CORRUPT_MANIFEST``.
+
+    Run directories with files but without a manifest give one row marked ``MISSING_MANIFEST``.
+    """
+    entry = "struct<type:string,path:string,availability:boolean,size:bigint,checksum:string>"
+    texts = _texts(spark, root, "manifest.json").withColumnRenamed("folder", "run_key")
+    entries = F.from_json("value", f"artifacts array<{entry}>")["artifacts"]
+    read = texts.select("run_key", entries.alias("entries"))
+    none = F.lit(None).cast(entry)
+    rows = read.select(
+        "run_key", F.explode(F.when(F.col("entries").isNull(), F.array(none)).otherwise(F.col("entries"))).alias("entry"),
+        F.when(F.col("entries").isNull(), "CORRUPT_MANIFEST").alias("manifest_error"),
+    )
+    runs = read_artifact_files(spark, root).where("path != 'manifest.json' AND path != run_key").select("run_key").distinct()
+    missing = runs.join(texts, "run_key", "left_anti").select("run_key", none.alias("entry"), F.lit("MISSING_MANIFEST").alias("manifest_error"))
+    return rows.unionByName(missing).select("run_key", "entry.*", "manifest_error")
 
 
 def read_legacy_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,24 +190,58 @@ def read_summaries(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def append_runs(executions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
-    """Append the summaries of finished runs the table does not hold yet; returns the rows written.
-
-    Repeating the call adds nothing, so an interrupted append can be run again. A run with a record that is
-    still running or of unknown status stays out.
-    """
-    spark = executions.sparkSession
-    complete = runs.join(unfinished_runs(executions).select("run_id"), "run_id", "left_anti")
+def summary_rows(executions: DataFrame, runs: DataFrame) -> DataFrame:
+    """What the summary table holds of each run."""
     maps = category_maps(failure_category_counts(executions))
-    rows = (
-        run_summaries(executions, complete)
+    return (
+        run_summaries(executions, runs)
         .join(maps, "run_id", "left")
         .withColumn("schema_version", F.lit(HISTORY_SCHEMA_VERSION))
         .withColumn("run_month", F.date_format("started_at", "yyyy-MM"))
     )
-    fresh = new_runs(rows, read_summaries(spark, path, rows.schema))
+
+
+def append_outcomes(executions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+    """What becomes of each run that is to be appended: run_id, run_key, outcome, detail.
+
+    ``unfinished``: a record is still running or of unknown status. ``invalid``: no proper key, an end before the start, or counts
+    that contradict each other. ``duplicate``: the table, or a run with a smaller id of the same call, has the key.
+    Only the months of the call are looked up in the table.
+    """
+    c = F.col
+    rows = summary_rows(executions, runs)
+    stored = read_summaries(executions.sparkSession, path, rows.schema)
+    months = rows.select("run_month").distinct()
+    stored = stored.join(months, "run_month", "left_semi").select("run_key").distinct().withColumn("is_stored", F.lit(True))
+    bad = contract_violations(rows.withColumn("pass_rate", F.when(c("total") > 0, c("pass_rate")))).select("run_id", F.array_join("rules", ",").alias("broken"))
+    unfinished = unfinished_runs(executions).select("run_id", c("first_status"))
+    judged = rows.join(bad, "run_id", "left").join(unfinished, "run_id", "left").join(stored, "run_key", "left")
+    problem = (
+        F.when(~F.coalesce(is_run_id(c("run_key")), F.lit(False)), "RUN_ID")
+        .when(c("started_at").isNull() | c("ended_at").isNull(), "TIME")
+        .when(c("ended_at") < c("started_at"), "END_BEFORE_START")
+        .otherwise(c("broken"))
+    )
+    judged = judged.withColumn("problem", problem)
+    usable = c("problem").isNull() & c("first_status").isNull() & c("is_stored").isNull()
+    rank = F.row_number().over(Window.partitionBy("run_key", usable).orderBy("run_id"))
+    outcome = (
+        F.when(c("first_status").isNotNull(), "unfinished").when(c("problem").isNotNull(), "invalid")
+        .when(c("is_stored").isNotNull() | (rank > 1), "duplicate").otherwise("published")
+    )
+    return judged.withColumn("outcome", outcome).select("run_id", "run_key", "outcome", F.coalesce("first_status", "problem").alias("detail"))
+
+
+def append_runs(executions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+    """Append the summaries of new, finished and valid runs; returns the outcome of every run, none is left out silently.
+
+    Repeating the call adds nothing, so an interrupted append can be run again.
+    """
+    outcomes = written(append_outcomes(executions, runs, path))
+    published = outcomes.where("outcome = 'published'").select("run_id", "run_key")
+    fresh = summary_rows(executions, runs).join(published, ["run_id", "run_key"], "left_semi")
     fresh.write.partitionBy("run_month").mode("append").parquet(path)
-    return fresh
+    return outcomes
 
 
 def save_api_logs(calls: DataFrame, path: str) -> None:

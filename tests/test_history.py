@@ -99,7 +99,7 @@ def test_warnings_collapse_metadata(spark):
 def test_append_is_idempotent_and_refuses_open_runs(spark, tmp_path):
     records = spark.createDataFrame([(1, 0, "PASS", 0.1, None, True), (1, 1, "timedOut", 0.2, None, None), (2, 0, "RUNNING", 1.0, None, None)],
                                     "run_id bigint, ordinal bigint, status string, duration double, stored_category string, trace_available boolean")
-    runs = spark.sql("""SELECT id AS run_id, concat('k', id) AS run_key, timestamp'2024-01-01' AS started_at, timestamp'2024-01-01' AS ended_at
+    runs = spark.sql("""SELECT id AS run_id, concat('20240101-000000-000-0000000', id) AS run_key, timestamp'2024-01-01' AS started_at, timestamp'2024-01-01' AS ended_at
                         FROM VALUES (1L), (2L), (3L) AS t(id)""")
     path = str(tmp_path / "table")
     store.append_runs(records, runs, path)
@@ -183,6 +183,41 @@ def test_file_readers(spark, tmp_path):
         store.read_executions(spark, str(root)).collect()
 
 
+def test_unreadable_and_missing_manifests_are_reported(spark, tmp_path):
+    root = tmp_path / "runs"
+    write(root, "r1", "manifest.json", {"artifacts": []})
+    write(root, "r2", "manifest.json", "{ broken")
+    write(root, "r3", "summary.json", {})
+    (root / "r1" / "artifacts" / "runs").mkdir(parents=True)
+    (root / "r1" / "artifacts" / "runs" / "x.png").write_text("abc")
+    files = store.read_artifact_files(spark, str(root))
+    assert ("r1", "artifacts/runs/x.png", 3) in [(r.run_key, r.path, r.size) for r in files.collect()]
+    listing = files.select("run_key", "path", F.lit(False).alias("is_directory"), "size", "sha256")
+    got = history.audit_manifests(store.read_manifests(spark, str(root)), listing).collect()
+    assert sorted((r.run_key, r.violation) for r in got) == [("r2", "CORRUPT_MANIFEST"), ("r3", "MISSING_MANIFEST")]
+
+
+def test_absent_files_are_empty_tables(spark, tmp_path):
+    for root in (str(tmp_path / "none"), str(tmp_path)):
+        for reader in (store.read_executions, store.read_metadata, store.read_api_logs, store.read_artifact_files, store.read_manifests):
+            assert reader(spark, root).count() == 0
+
+
+def test_append_tells_what_becomes_of_each_run(spark, tmp_path):
+    start = "timestamp'2024-05-06 10:00:00'"
+    keys = {1: "20240506-100000-000-00000001", 2: "20240506-100000-000-00000001", 3: "20240506-100000-000-00000003", 4: "bad key", 5: "20240506-100000-000-00000005"}
+    runs = spark.createDataFrame(list(keys.items()), "run_id int, run_key string").selectExpr(
+        "run_id", "run_key", f"{start} AS started_at", f"{start} + make_dt_interval(0, 0, IF(run_id = 5, -1, 1)) AS ended_at")
+    records = spark.createDataFrame(
+        [(i, 0, "t", "running" if i == 3 else "passed", 1.0, None, True) for i in keys],
+        "run_id int, ordinal bigint, test_case string, status string, duration double, stored_category string, trace_available boolean")
+    path = str(tmp_path / "table")
+    expected = {1: "published", 2: "duplicate", 3: "unfinished", 4: "invalid", 5: "invalid"}
+    assert {r.run_id: r.outcome for r in store.append_runs(records, runs, path).collect()} == expected
+    assert {r.run_id: r.outcome for r in store.append_runs(records, runs, path).collect()} == {**expected, 1: "duplicate"}
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_numbers_json_cannot_carry(spark):
     assert store.as_json(spark.sql("SELECT 1L AS a, 0.5D AS b")).first().json == '{"a":1,"b":0.5}'
     with pytest.raises(Exception, match="Numeric range"):
