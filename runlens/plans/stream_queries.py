@@ -37,11 +37,22 @@ def stream_test_records(spark, sf_dir):
     return stream.stream_test_records(_events(spark, sf_dir), _folder(spark)).drop("last_event")
 
 
-def stream_legacy_ingest(spark, sf_dir):
+def _ingested(spark, sf_dir):
     folder = _folder(spark)
     tables.legacy_files(spark, sf_dir).drop("key").write.parquet(f"{folder}/files")
     files = spark.readStream.schema("name string, content string, modified_at timestamp").parquet(f"{folder}/files")
-    ingest.ingest_legacy(files, f"{folder}/ledger", f"{folder}/progress")
+    ingest.ingest_legacy(files, f"{folder}/ledger", f"{folder}/progress", folder)
+    return folder
+
+
+def stream_legacy_store(spark, sf_dir):
+    """The summaries that the ingest published, read back from their table."""
+    rows = spark.read.parquet(f"{_ingested(spark, sf_dir)}/summaries")
+    return rows.select("run_key", "migration_source", "migration_identity", "total", "passed", "timed_out", "unsuccessful")
+
+
+def stream_legacy_ingest(spark, sf_dir):
+    folder = _ingested(spark, sf_dir)
     return ingest.read_ledger(spark, f"{folder}/ledger").select("name", "outcome", "identity", "run_key")
 
 
@@ -50,6 +61,7 @@ QUERIES = {
     "stream_failure_counts": stream_failure_counts,
     "stream_test_records": stream_test_records,
     "stream_legacy_ingest": stream_legacy_ingest,
+    "stream_legacy_store": stream_legacy_store,
 }
 
 ORACLES = {
@@ -65,6 +77,10 @@ ORACLES = {
         FROM records JOIN (SELECT run_id, test_case, max(epoch_ms(event_time)) AS last_ms, max(max(epoch_ms(event_time))) OVER () AS newest
                            FROM numbered GROUP BY run_id, test_case) USING (run_id, test_case)
         WHERE last_ms + 6 * 3600000 < newest - 3600000"""),
+    "stream_legacy_store": S.with_ctes((), """
+        SELECT strftime(created_at, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) AS run_key, name AS migration_source, identity AS migration_identity,
+               CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS timed_out, CAST(1 AS BIGINT) AS unsuccessful
+        FROM legacy WHERE error IS NULL""", legacy=LEGACY_SQL),
     "stream_legacy_ingest": S.with_ctes((), """
         SELECT name, CASE WHEN error IS NOT NULL THEN 'failed' ELSE 'migrated' END AS outcome, identity,
                CASE WHEN error IS NULL THEN strftime(created_at, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) END AS run_key FROM legacy""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators.history import legacy_outcomes, legacy_sources
+from runlens.operators.history import legacy_executions, legacy_outcomes, legacy_sources
+from runlens.session import written
+from runlens.sources.store import append_runs
 
 LEDGER_SCHEMA = "name string, content_hash string, identity string, run_key string, outcome string, batch bigint"
 
@@ -17,8 +19,29 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).option("basePath", folder).parquet(f"{folder}/batch=*")
 
 
-def ingest_legacy(files: DataFrame, ledger: str, progress: str) -> None:
-    """Process the available files of a stream (name, content, modified_at) into the ledger table.
+def store_legacy(outcomes: DataFrame, folder: str, number: int) -> DataFrame:
+    """Publish the migrated files of a batch: their records first, then the summaries; returns the outcomes as they then are.
+
+    A file with a record of unknown status, or with counts that make no valid summary, fails. A batch that is repeated after a
+    lost ledger write finds its own runs in the table and changes nothing.
+    """
+    migrated = outcomes.filter(F.col("outcome") == "migrated")
+    records = legacy_executions(outcomes)
+    runs = migrated.select(
+        F.col("run_key").alias("run_id"), "run_key", F.col("created_at").alias("started_at"), F.col("created_at").alias("ended_at"), F.lit(True).alias("migrated"),
+        F.col("identity").alias("migration_identity"), F.col("name").alias("migration_source"), F.concat(F.lit("sha256:"), "content_hash").alias("migration_checksum"),
+    )
+    records.write.mode("overwrite").parquet(f"{folder}/executions/batch={number}")
+    told = append_runs(records, runs, f"{folder}/summaries").select("run_key", F.col("outcome").alias("told"), "detail")
+    lost = F.col("told").isin("unfinished", "invalid") & (F.col("outcome") == "migrated")
+    return outcomes.join(told, "run_key", "left").select(
+        "name", "content_hash", "identity", F.when(~F.coalesce(lost, F.lit(False)), F.col("run_key")).alias("run_key"),
+        F.when(lost, "failed").otherwise(F.col("outcome")).alias("outcome"),
+    )
+
+
+def ingest_legacy(files: DataFrame, ledger: str, progress: str, folder: str) -> None:
+    """Process the available files of a stream (name, content, modified_at) into the tables below ``folder`` and the ledger.
 
     A file is known by name and content hash, a stored run by its identity; both are looked up in the ledger,
     so a file delivered twice and a batch repeated after a failure add nothing.
@@ -27,12 +50,11 @@ def ingest_legacy(files: DataFrame, ledger: str, progress: str) -> None:
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         earlier = read_ledger(spark, ledger).filter(F.col("batch") != number)
-        sources = legacy_sources(batch.dropDuplicates(["name", "content"]))
+        hashed = batch.withColumn("body_hash", F.sha2("content", 256)).dropDuplicates(["name", "body_hash"]).drop("body_hash")
         finished = earlier.filter(F.col("outcome") != "failed")
         stored = finished.select(F.col("identity").alias("migration_identity"), "run_key")
-        outcomes = legacy_outcomes(sources, finished.select("name", "content_hash"), stored)
-        rows = outcomes.select("name", "content_hash", "identity", "run_key", "outcome")
-        rows.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        outcomes = written(legacy_outcomes(legacy_sources(hashed), finished.select("name", "content_hash"), stored))
+        store_legacy(outcomes, folder, number).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     query = files.writeStream.foreachBatch(take).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()

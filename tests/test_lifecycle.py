@@ -88,11 +88,28 @@ def test_stream_counts_update(spark, events, tmp_path):
     assert {r.action: (r.detected, r.captured) for r in rows} == {"click": (3, 3), "fill": (1, 0), "tap": (1, 1)}
 
 
-def test_ingest_takes_each_file_once(spark, tmp_path):
-    source, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
+def test_ingest_publishes_each_file_once(spark, tmp_path):
+    source, ledger, store = str(tmp_path / "in"), str(tmp_path / "ledger"), str(tmp_path / "store")
     schema = "name string, content string, modified_at timestamp"
-    rows = [("a.json", '[{"testCase":"a"}]', datetime(2024, 1, 1))]
+    rows = [
+        ("a.json", '[{"testCase":"a","status":"passed","duration":1.5},{"testCase":"b","status":"FAIL"}]', datetime(2024, 1, 1)),
+        ("odd.json", '[{"testCase":"a","status":"dancing"}]', datetime(2024, 1, 2)),
+    ]
+
+    def take(progress):
+        frame = spark.readStream.schema(schema).parquet(source)
+        ingest.ingest_legacy(frame, ledger, str(tmp_path / progress), store)
+
+    def outcomes():
+        return sorted((r.name, r.outcome) for r in ingest.read_ledger(spark, ledger).collect())
+
     for _ in range(2):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        ingest.ingest_legacy(spark.readStream.schema(schema).parquet(source), ledger, str(tmp_path / "progress"))
-    assert [(r.name, r.outcome) for r in ingest.read_ledger(spark, ledger).collect()] == [("a.json", "migrated")]
+        take("progress")
+    assert outcomes()[0] == ("a.json", "migrated") and {o for n, o in outcomes() if n == "odd.json"} == {"failed"}
+    (summary,) = spark.read.parquet(f"{store}/summaries").collect()
+    assert (summary.total, summary.passed, summary.failed, summary.migration_source) == (2, 1, 1, "a.json")
+    # The ledger write of the first batch is lost, and the batch is repeated.
+    ledger = str(tmp_path / "ledger2")
+    take("progress2")
+    assert outcomes()[0] == ("a.json", "migrated") and spark.read.parquet(f"{store}/summaries").count() == 1
