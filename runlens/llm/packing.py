@@ -30,16 +30,46 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
 #: Weight rounds in a phase, phases, and how far from the best a configuration may be to count as an answer of its round.
-ROUNDS, PHASES, SLACK = 8, 6, 0.005
+ROUNDS, PHASES, SLACK = 6, 4, 0.005
 
 Configuration = tuple[tuple[int, ...], int]
 
 
+class WordIds:
+    """Ids of texts, word by word: no token of this tokenizer crosses ASCII white space.
+
+    Words are remembered, and below them their cores - without last stops and, in ASCII, in lower case - as most new words are
+    new only in these. Both memories have a bound.
+    """
+
+    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 800_000):
+        encode = Tokenizer.from_file(path).encode
+        self.cores = Memo(lambda c: array("I", encode(c.decode(), add_special_tokens=False).ids).tobytes(), most_cores)
+        self.words = Memo(self._word, most_words)
+
+    @staticmethod
+    def core(word: bytes) -> tuple[bytes, bytes]:
+        """Core and stops. Stops are tokens of their own after an ASCII letter or digit; after others they may join it."""
+        if b"<|" in word:  # may hold a special token, which is read as it is written
+            return word, b""
+        core = word.rstrip(b".,;:!?")
+        if core[-1:].isalnum():
+            return (core.lower() if core.isascii() else core), word[len(core) :]
+        return word, b""
+
+    def _word(self, word: bytes) -> bytes:
+        core, stops = self.core(word)
+        return self.cores[core] + self.cores[stops] if stops else self.cores[core]
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        words = self.words
+        return b"".join([words[w] for w in text.split()])
+
+
 @cache
-def _word_ids(path: str) -> Memo:
-    """Ids of a word as little-endian 32-bit numbers. No token of this tokenizer crosses ASCII white space."""
-    encode = Tokenizer.from_file(path).encode
-    return Memo(lambda word: array("I", encode(word.decode(), add_special_tokens=False).ids).tobytes())
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -53,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         for batch in parts:
             rows, number, lengths, ranks, ids = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                data = b"".join([words[w] for w in text.split()]) + end
+                data = words.encode(text) + end
                 for at in range(0, len(data), 4 * capacity):
                     own = data[at : at + 4 * capacity]
                     size = len(own) // 4
@@ -164,12 +194,8 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[Configuration]:
     return [group for groups in open_.values() for group in groups]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Configuration]:
-    """Configurations (tuples of lengths) and how often each is used, holding each length exactly as often as it occurs."""
-    left = {int(s): int(n) for s, n in histogram.items() if n}
-    if any(not 0 < s <= capacity for s in left):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
-    used: list[Configuration] = [((capacity,), left.pop(capacity))] if capacity in left else []
+def _rounded(left: dict[int, int], capacity: int, up: bool) -> list[Configuration]:
+    used: list[Configuration] = []
     for _ in range(PHASES):
         if len(left) < 2:
             break
@@ -178,17 +204,30 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Configura
         plays, before = _weights(lengths, counts, capacity), counts.sum()
         for a, x in sorted(plays.items(), key=lambda p: (-p[1], p[0])):
             needs = Counter(a)
-            whole = min(int(np.ceil(x)), *(int(counts[i]) // n for i, n in needs.items()))
+            whole = min(int(np.ceil(x) if up else x), *(int(counts[i]) // n for i, n in needs.items()))
             if whole > 0:
                 used.append((tuple(int(lengths[i]) for i in a), whole))
                 for i, n in needs.items():
                     counts[i] -= whole * n
         left = {int(s): int(n) for s, n in zip(lengths, counts) if n}
-        if counts.sum() > 0.9 * before:
+        if counts.sum() > 0.8 * before:
             break
     return used + _best_fit(left, capacity)
 
 
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Configuration]:
+    """Configurations (tuples of lengths) and how often each is used, holding each length exactly as often as it occurs.
+
+    The fractional solution is rounded down and, where lengths are rare and most parts are below one, up; the fewer sequences count.
+    """
+    left = {int(s): int(n) for s, n in histogram.items() if n}
+    if any(not 0 < s <= capacity for s in left):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
+    full: list[Configuration] = [((capacity,), left.pop(capacity))] if capacity in left else []
+    plans = [_rounded(left, capacity, up) for up in (False, True)]
+    return full + min(plans, key=lambda plan: sum(number for _, number in plan))
+
+
 def _runs(plan: list[Configuration]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranks of each length from a first one on, the sequence of that first rank, and the offset in the sequence; sorted by key."""
     taken, rows, base = Counter(), [], 0
