@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
+from runlens.functions.times import iso_text
 from runlens.plans import sql as S
 from runlens.plans.history_queries import LEGACY_SQL
 from runlens.plans.report_queries import lifecycle_sql
@@ -34,7 +37,8 @@ def stream_failure_counts(spark, sf_dir):
 
 
 def stream_test_records(spark, sf_dir):
-    return stream.stream_test_records(_events(spark, sf_dir), _folder(spark)).drop("last_event")
+    records = stream.stream_test_records(_events(spark, sf_dir), _folder(spark))
+    return records.withColumn("execution_date", iso_text(F.col("execution_date")))
 
 
 def _ingested(spark, sf_dir):
@@ -71,12 +75,9 @@ ORACLES = {
     "stream_failure_counts": S.with_ctes("lifecycle", f"""
         SELECT run_id, {S.category('c')} AS category, count(*) AS failures FROM (
           SELECT run_id, {S.clean('error_message')} AS c FROM lifecycle WHERE kind = 'complete' AND {S.canonical('status')} IN {S.FAILING}) GROUP BY ALL"""),
-    "stream_test_records": lifecycle_sql("""
-        SELECT run_id, test_case, attempts AS attempt, status, duration, error_message, failure_category, steps,
-               CASE WHEN was_running THEN 'expired' ELSE 'completed' END AS closed
-        FROM records JOIN (SELECT run_id, test_case, max(epoch_ms(event_time)) AS last_ms, max(max(epoch_ms(event_time))) OVER () AS newest
-                           FROM numbered GROUP BY run_id, test_case) USING (run_id, test_case)
-        WHERE last_ms + 6 * 3600000 < newest - 3600000"""),
+    "stream_test_records": lifecycle_sql(f"""
+        SELECT run_id, test_case, attempts AS attempt, status, duration, error_message, failure_category, steps, retry_count,
+               {S.iso('executed_at')} AS execution_date, CASE WHEN was_running THEN 'expired' ELSE 'completed' END AS closed FROM records"""),
     "stream_legacy_store": S.with_ctes((), """
         SELECT strftime(created_at, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) AS run_key, name AS migration_source, identity AS migration_identity,
                CAST(2 AS BIGINT) AS total, CAST(1 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS timed_out, CAST(1 AS BIGINT) AS unsuccessful

@@ -2,47 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.fixed_values import UNFINISHED_MESSAGE
 from runlens.functions import failures as rules
 from runlens.functions.text import clean_message
-from runlens.operators.lifecycle import TEST_KEY, fold_attempts
+from runlens.operators.lifecycle import TEST_EVENTS, TEST_KEY
 
 STATE_SCHEMA = (
-    "run_id string, test_case string, attempt bigint, status string, duration double, error_message string, failure_category string, "
-    "steps bigint, last_event timestamp"
+    "run_id string, test_case string, attempt bigint, start struct<event_time:timestamp,seq:bigint,retry:bigint>, "
+    "done struct<event_time:timestamp,seq:bigint,status:string,duration:double>, error struct<event_time:timestamp,seq:bigint,message:string>, "
+    "failed struct<event_time:timestamp,seq:bigint,category:string>, steps bigint, first_event timestamp, last_event timestamp"
+)
+RECORD_SCHEMA = (
+    "run_id string, test_case string, attempt bigint, status string, duration double, error_message string, failure_category string, steps bigint, "
+    "retry_count bigint, execution_date timestamp, closed string"
 )
-RECORD_SCHEMA = STATE_SCHEMA + ", closed string"
 HOUR_MS = 3600 * 1000
 
 
 def merge_state(state: DataFrame, events: DataFrame) -> DataFrame:
     """State of each test after a micro-batch.
 
-    The events of the batch are folded as in a batch query, spread over many tasks however many of them
-    belong to one test; only one compact row per test meets the kept state.
+    The state holds the latest start, completion, error text and failure with their places in time, so it does not matter which
+    batch brings them, nor in which order. Of the steps those after the latest start count. One compact row per test meets the
+    kept state, however many events the batch has of it.
     """
     c = F.col
-    folded = fold_attempts(events)
-    last_seen = events.groupBy(*TEST_KEY).agg(F.max("event_time").alias("seen"))
-    news = folded.groupBy(*TEST_KEY).agg(
-        F.max("attempt").alias("starts"),
-        F.max_by(F.struct("status", "duration", "error_message", "steps"), "attempt").alias("last"),
-        F.max_by("category", F.when(c("category").isNotNull(), c("attempt"))).alias("category"),
-    ).join(last_seen, list(TEST_KEY))
-    started = F.coalesce(c("starts") > 0, F.lit(False))
+    kind = c("kind")
+    done, started = kind == "complete", kind == "test_start"
+    message = F.when(done, clean_message(c("error_message")))
+    read = events.withColumn("message", message).withColumn("folded", F.when(done, rules.folded(c("message"))))
+    category = F.when(done & rules.is_failing(c("status")), rules.failure_category(c("message"), c("folded")))
+    news = read.withColumn("category", category).groupBy(*TEST_KEY).agg(
+        F.count_if(started).alias("starts"),
+        F.max(F.when(started, F.struct("event_time", "seq", "retry"))).alias("new_start"),
+        F.max(F.when(done, F.struct("event_time", "seq", rules.canonical_status(c("status")).alias("status"), F.coalesce("duration", F.lit(0.0)).alias("duration")))).alias("new_done"),
+        F.max(F.when(c("message").isNotNull(), F.struct("event_time", "seq", "message"))).alias("new_error"),
+        F.max(F.when(c("category").isNotNull(), F.struct("event_time", "seq", "category"))).alias("new_failed"),
+        F.min("event_time").alias("new_first"), F.max("event_time").alias("new_last"),
+    )
     zero = F.lit(0).cast("bigint")
-    return state.join(news, list(TEST_KEY), "full").select(
+    merged = state.join(news, list(TEST_KEY), "full").select(
         *TEST_KEY,
         (F.coalesce("attempt", zero) + F.coalesce("starts", zero)).alias("attempt"),
-        F.coalesce(c("last.status"), F.when(~started, c("status")), F.lit("RUNNING")).alias("status"),
-        F.coalesce(c("last.duration"), F.when(~started, c("duration")), F.lit(0.0)).alias("duration"),
-        F.coalesce(c("last.error_message"), F.when(~started, c("error_message"))).alias("error_message"),
-        F.coalesce("category", "failure_category").alias("failure_category"),
-        (F.coalesce(c("last.steps"), zero) + F.when(started, zero).otherwise(F.coalesce("steps", zero))).alias("steps"),
-        F.greatest("last_event", "seen").alias("last_event"),
+        F.greatest("start", "new_start").alias("start"), F.greatest("done", "new_done").alias("done"),
+        F.greatest("error", "new_error").alias("error"), F.greatest("failed", "new_failed").alias("failed"),
+        # Steps counted so far belong to the attempt that was the latest until now.
+        F.when(c("start").eqNullSafe(F.greatest("start", "new_start")), F.coalesce("steps", zero)).otherwise(zero).alias("steps"),
+        F.least("first_event", "new_first").alias("first_event"), F.greatest("last_event", "new_last").alias("last_event"),
+    )
+    starts = merged.select(*TEST_KEY, c("start").alias("after"))
+    later = (c("event_time") > c("after.event_time")) | ((c("event_time") == c("after.event_time")) & (c("seq") > c("after.seq")))
+    counted = events.filter(kind == "step").join(starts, list(TEST_KEY)).filter(c("after").isNull() | later)
+    added = counted.groupBy(*TEST_KEY).agg(F.count("*").alias("added"))
+    return merged.join(added, list(TEST_KEY), "left").withColumn("steps", c("steps") + F.coalesce("added", zero)).drop("added")
+
+
+def _in_last_attempt(name: str) -> Column:
+    """An event's struct where it came after the latest start, else null."""
+    start, place = F.col("start"), F.col(name)
+    later = (place["event_time"] > start["event_time"]) | ((place["event_time"] == start["event_time"]) & (place["seq"] > start["seq"]))
+    return F.when(start.isNull() | later, place)
+
+
+def closed_records(state: DataFrame) -> DataFrame:
+    """Records of tests that ended; one that is still running is a failure by timeout."""
+    c = F.col
+    rows = state.withColumn("own_done", _in_last_attempt("done")).withColumn("own_error", _in_last_attempt("error"))
+    running = c("own_done").isNull()
+    return rows.select(
+        *TEST_KEY, "attempt", F.when(running, "FAILED").otherwise(c("own_done.status")).alias("status"),
+        F.coalesce("own_done.duration", F.lit(0.0)).alias("duration"),
+        F.when(running, F.coalesce("own_error.message", F.lit(UNFINISHED_MESSAGE))).otherwise(c("own_error.message")).alias("error_message"),
+        F.when(running, "TIMEOUT_FAILURE").otherwise(c("failed.category")).alias("failure_category"), "steps",
+        F.coalesce("start.retry", F.lit(0).cast("bigint")).alias("retry_count"), F.coalesce("start.event_time", "first_event").alias("execution_date"),
+        F.when(running, "expired").otherwise("completed").alias("closed"),
     )
 
 
@@ -51,37 +87,39 @@ def _folder_exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def stream_test_records(events: DataFrame, folder: str, late_ms: int = HOUR_MS, idle_ms: int = 6 * HOUR_MS) -> DataFrame:
+def stream_test_records(events: DataFrame, folder: str, late_ms: int = HOUR_MS, idle_ms: int = 6 * HOUR_MS, finish: bool = True) -> DataFrame:
     """Process the available events; returns the records of the tests that ended.
 
-    A test ends once it was idle for ``idle_ms`` of event time, judged ``late_ms`` behind the newest event.
-    One that is still running then is a failure by timeout. Open tests stay in a state table, which each
-    micro-batch rewrites under its own number, so that a repeated batch starts from the same state.
+    A test ends once it was idle for ``idle_ms`` of event time, judged ``late_ms`` behind the newest event. With ``finish`` the
+    run is over when no more events are available, and all tests end. Open tests stay in a state table, which each
+    micro-batch rewrites under its own number, so that a repeated batch starts from the same state; states before the last two
+    are emptied.
     """
     spark = events.sparkSession
-    c = F.col
+    last: list[int] = []
+
+    def state_of(number: int) -> DataFrame:
+        path = f"{folder}/state/batch={number}"
+        return spark.read.schema(STATE_SCHEMA).parquet(path) if _folder_exists(spark, path) else spark.createDataFrame([], STATE_SCHEMA)
 
     def advance(batch: DataFrame, number: int) -> None:
-        before = f"{folder}/state/batch={number - 1}"
-        state = spark.read.schema(STATE_SCHEMA).parquet(before) if _folder_exists(spark, before) else spark.createDataFrame([], STATE_SCHEMA)
         merged_path = f"{folder}/merged/batch={number}"
-        merge_state(state, batch.filter(c("kind") != "run_update")).write.mode("overwrite").parquet(merged_path)
+        own = batch.filter(F.col("kind").isin(*TEST_EVENTS))
+        merge_state(state_of(number - 1), own).write.mode("overwrite").parquet(merged_path)
         merged = spark.read.schema(STATE_SCHEMA).parquet(merged_path)
         newest = merged.agg(F.unix_millis(F.max("last_event"))).scalar()
         ended = F.unix_millis("last_event") + idle_ms < newest - late_ms
-        running = c("status") == "RUNNING"
-        records = merged.filter(ended).withColumns({
-            "closed": F.when(running, "expired").otherwise("completed"),
-            "error_message": F.when(running, F.coalesce("error_message", F.lit(UNFINISHED_MESSAGE))).otherwise(c("error_message")),
-            "failure_category": F.when(running, "TIMEOUT_FAILURE").otherwise(c("failure_category")),
-            "status": F.when(running, "FAILED").otherwise(c("status")),
-        })
-        records.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        closed_records(merged.filter(ended)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
         merged.filter(~ended).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        merged.limit(0).write.mode("overwrite").parquet(merged_path)
+        if number > 1:
+            merged.limit(0).write.mode("overwrite").parquet(f"{folder}/state/batch={number - 2}")
+        last[:] = [number]
 
     query = events.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(RECORD_SCHEMA).parquet(f"{folder}/rows/batch=*")
+    rows = spark.read.schema(RECORD_SCHEMA).parquet(f"{folder}/rows/batch=*") if last else spark.createDataFrame([], RECORD_SCHEMA)
+    return rows.unionByName(closed_records(state_of(last[0]))) if finish and last else rows
 
 
 def stream_coverage(events: DataFrame) -> DataFrame:

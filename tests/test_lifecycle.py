@@ -71,12 +71,23 @@ def test_stream_over_several_batches_equals_the_batch_fold(spark, events, tmp_pa
     frame = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     got = {r.test_case: r for r in stream.stream_test_records(frame, str(tmp_path / "out")).collect()}
     expected = {r.test_case: r for r in lifecycle.test_records(lifecycle.fold_attempts(events)).collect()}
-    assert set(got) == {"a", "b", "c"}
+    assert set(got) == {"a", "b", "c", "z"}
     for name, row in got.items():
         want = expected[name]
-        assert (row.status, row.duration, row.error_message, row.failure_category, row.attempt, row.steps) == (
-            want.status, want.duration, want.error_message, want.failure_category, want.attempts, want.steps), name
-        assert row.closed == ("expired" if name == "b" else "completed")
+        assert (row.status, row.duration, row.error_message, row.failure_category, row.attempt, row.steps, row.retry_count, row.execution_date) == (
+            want.status, want.duration, want.error_message, want.failure_category, want.attempts, want.steps, want.retry_count, want.execution_date), name
+        assert row.closed == ("expired" if name in "bz" else "completed")
+
+
+@pytest.mark.parametrize("order", [(1, 2, 3), (1, 3, 2), (3, 2, 1)])
+def test_stream_does_not_depend_on_the_order_of_batches(spark, order):
+    rows = {1: event(1, "a", "test_start", 0, retry=0), 2: event(2, "a", "complete", 5, status="FAIL", duration=1.0, error_message="Timeout"),
+            3: event(3, "a", "complete", 10, status="PASS", duration=2.0)}
+    state = spark.createDataFrame([], stream.STATE_SCHEMA)
+    for k in order:
+        state = stream.merge_state(state, spark.createDataFrame([rows[k]], SCHEMA))
+    (record,) = stream.closed_records(state).collect()
+    assert (record.status, record.duration, record.error_message, record.failure_category, record.attempt) == ("PASSED", 2.0, "Timeout", "TIMEOUT_FAILURE", 1)
 
 
 def test_stream_counts_update(spark, events, tmp_path):
