@@ -30,5 +30,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_recompression": recompression.ORACLE,
     "op7_revisits": revisits.ORACLE,
+    "op10_quality": quality.ORACLE,
 }

@@ -369,3 +369,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS)
 def digests(docs: DataFrame) -> DataFrame:
     rows = kept_words(docs)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH parts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i,
+    unnest(list_transform(generate_series(1, len(words)), lambda k: CASE WHEN k + {WINDOW - 1} <= len(words) THEN array_to_string(words[k : k + {WINDOW - 1}], ' ') END)) AS passage
+  FROM parts
+), seen AS (
+  SELECT doc_id, word, i, CAST(passage IS NOT NULL AND row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 AS INTEGER) AS later FROM placed
+), marked AS (
+  SELECT doc_id, word, i, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM seen
+), kept AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS rest FROM marked GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM parts LEFT JOIN kept USING (doc_id)
+"""
