@@ -114,3 +114,40 @@ def verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         "doc_id", *MEASURES, base_failed().alias("base_failed"),
         (~base_failed() & ~F.coalesce("condemned", F.lit(False))).alias("kept"),
     )
+
+
+ORACLE = rf"""
+WITH parts AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), grams AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 2)) AS i FROM parts)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS seen FROM grams) WHERE seen > 1)
+  GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM parts LEFT JOIN repeated USING (doc_id)
+), failed AS (
+  SELECT *, n_words < {MIN_WORDS} AS short, 100 * n_repeat_words > {MOST_REPEATED} * n_words AS repeats,
+    100 * n_symbols > {MOST_SYMBOLS} * n_words AS symbols, 100 * n_dup_lines > {MOST_DUPLICATE_LINES} * n_words AS dup_lines FROM measured
+), hosts AS (
+  SELECT source, rule, count(*) AS n, count(*) FILTER (bad) AS k
+  FROM (UNPIVOT (SELECT source, short, repeats, symbols, dup_lines FROM failed WHERE source IS NOT NULL) ON short, repeats, symbols, dup_lines INTO NAME rule VALUE bad)
+  GROUP BY source, rule
+), moments AS (
+  SELECT rule, sum(k) / sum(n) AS mean, var_samp(k / n) AS spread, avg(1 / n) AS size FROM hosts GROUP BY rule
+), priors AS (
+  SELECT rule, mean, CASE WHEN spread > size * mean * (1 - mean)
+    THEN greatest({PRIOR_WEIGHT[0]}, least({PRIOR_WEIGHT[1]}, mean * (1 - mean) / (spread - size * mean * (1 - mean)) - 1)) ELSE {PRIOR_WEIGHT[1]} END AS weight
+  FROM moments
+), condemned AS (
+  SELECT source, max((k + mean * weight) / (n + weight)) > {HOST_LIMIT} AS bad FROM hosts JOIN priors USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND NOT coalesce(bad, FALSE) AS kept FROM failed LEFT JOIN condemned USING (source)
+"""
