@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from runlens.fixed_values import (
     IO_ERROR_CODES,
     MAX_SAFE_INTEGER,
     METADATA_FIELDS,
+    RUN_ID_PATTERN,
     SAFE_RUN_ID_PATTERN,
     SHA256_PATTERN,
 )
@@ -309,7 +312,13 @@ def list_runs(runs: DataFrame, start=None, end=None, newest_first: bool = True,
 
 
 def get_run(runs: DataFrame, run_key: str) -> DataFrame:
-    return runs.filter(F.col("run_key") == run_key)
+    """The run of a key. Of a table partitioned by ``run_month`` only the month in the key and its neighbours are read, as a key may
+    have been given some time before or after the start."""
+    test = F.col("run_key") == run_key
+    if "run_month" in runs.columns and re.match(RUN_ID_PATTERN, run_key):
+        month = int(run_key[:4]) * 12 + int(run_key[4:6]) - 1
+        test = test & F.col("run_month").isin(*(f"{m // 12:04}-{m % 12 + 1:02}" for m in (month - 1, month, month + 1)))
+    return runs.filter(test)
 
 
 def retention_plan(runs: DataFrame, max_runs: int | None = None, max_age_days: float | None = None, as_of=None) -> DataFrame:

@@ -118,7 +118,14 @@ class RunQuery:
 
 
 def matched_runs(runs: DataFrame, query: RunQuery) -> DataFrame:
-    return runs.filter(query.condition())
+    """Runs that fulfil the query; of a table partitioned by ``run_month`` only the months of its time range are read."""
+    test = query.condition()
+    if "run_month" in runs.columns:
+        if query.start:
+            test = test & (F.col("run_month") >= query.start.astimezone(timezone.utc).strftime("%Y-%m"))
+        if query.end:
+            test = test & (F.col("run_month") <= query.end.astimezone(timezone.utc).strftime("%Y-%m"))
+    return runs.filter(test)
 
 
 def selected_runs(runs: DataFrame, query: RunQuery) -> DataFrame:

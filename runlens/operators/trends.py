@@ -51,34 +51,31 @@ def _points(runs: DataFrame, options: TrendOptions, query: RunQuery) -> DataFram
     )
 
 
-def _moving_rate(size: int, partition: tuple[str, ...] = ()) -> Column:
-    spec = Window.partitionBy(*partition).orderBy("start", "key")
-    last = spec.rowsBetween(1 - size, 0)
+def _moving_rate(size: int) -> Column:
+    last = Window.orderBy("start", "key").rowsBetween(1 - size, 0)
     passed, total = F.sum("passed").over(last), F.sum("total_tests").over(last)
     return F.when(F.count("*").over(last) == size, rate(passed, total))
 
 
 def moving_rate_by_slice(points: DataFrame, size: int, slices: int | None = None) -> DataFrame:
-    """The moving rate over any number of points without one global window.
+    """The moving rate over any number of points and for any window, without one global window.
 
-    Points are range-partitioned in time order and written with their slice number. A slice also gets the
-    last ``size - 1`` points before it, however many slices they lie in; these context rows are dropped
-    after the window of each slice.
+    Points are written in range-partitioned slices of time order. Each is numbered and summed within its slice, the few slice
+    totals give what lies before it, and a window's sum is the difference of two such running sums ``size`` points apart.
     """
     slices = slices or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = written(points.repartitionByRange(slices, "start", "key").withColumn("slice", F.spark_partition_id()))
-    back = Window.partitionBy("slice").orderBy(F.desc("start"), F.desc("key"))
-    tails = sliced.withColumn("from_end", F.row_number().over(back)).filter(F.col("from_end") < size)
-    # One small row per slice: how many tail points lie up to its end and before its start.
-    held = tails.groupBy("slice").agg(F.count("*").alias("held"))
-    bounds = held.withColumn("until", F.sum("held").over(Window.orderBy("slice"))).withColumn("before", F.col("until") - F.col("held"))
-    numbered = tails.join(bounds, "slice").withColumn("tail_no", F.col("until") - F.col("from_end") + 1)
-    wanted = bounds.filter(F.col("before") > 0).select(
-        F.col("slice").alias("target"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - size + 2), F.col("before"))).alias("tail_no")
-    )
-    context = numbered.join(wanted, "tail_no").select(*points.columns, F.col("target").alias("slice"), F.lit(True).alias("is_context"))
-    both = sliced.withColumn("is_context", F.lit(False)).unionByName(context)
-    return both.withColumn("moving_weighted_pass_rate", _moving_rate(size, ("slice",))).filter(~F.col("is_context")).drop("slice", "is_context")
+    sliced = written(written(points).repartitionByRange(slices, "start", "key").withColumn("slice", F.spark_partition_id()))
+    within = Window.partitionBy("slice").orderBy("start", "key").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy("slice").agg(F.count("*").alias("n"), F.sum("passed").alias("p"), F.sum("total_tests").alias("t"))
+    bases = totals.select("slice", *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"{x}_before") for x in "npt"])
+    run = sliced.select("*", F.row_number().over(Window.partitionBy("slice").orderBy("start", "key")).alias("n"),
+                        F.sum("passed").over(within).alias("p"), F.sum("total_tests").over(within).alias("t")).join(bases, "slice")
+    summed = run.select(*points.columns, *[(F.col(x) + F.col(f"{x}_before")).alias(f"sum_{x}") for x in "npt"])
+    back = summed.select((F.col("sum_n") + size).alias("sum_n"), F.col("sum_p").alias("old_p"), F.col("sum_t").alias("old_t"))
+    both = summed.join(back, "sum_n", "left")
+    passed, total = (F.col(f"sum_{x}") - F.coalesce(F.col(f"old_{x}"), F.lit(0)) for x in "pt")
+    return both.select(*points.columns, F.when(F.col("sum_n") >= size, rate(passed, total)).alias("moving_weighted_pass_rate"))
 
 
 def trend_series(runs: DataFrame, options: TrendOptions | None = None, query: RunQuery | None = None) -> DataFrame:
@@ -123,7 +120,7 @@ def trend_summary(series: DataFrame, options: TrendOptions | None = None, field:
         .when(change < -options.stable_threshold, "declining")
         .otherwise("stable")
     )
-    return compared_points(series, field).select(
+    return compared_points(written(series.select("start", "key", field)), field).select(
         "analyzable",
         c("first.key").alias("first_key"), c("first.rate").alias("first_rate"),
         c("previous.key").alias("previous_key"), c("previous.rate").alias("previous_rate"),
@@ -140,6 +137,8 @@ def trend_warnings(series: DataFrame, options: TrendOptions | None = None) -> Da
     """Warnings about too few points, points without tests and changes from zero, each once."""
     options = options or TrendOptions()
     c = F.col
+    # Compared in several ways, computed once.
+    series = written(series.select("start", "key", "total_tests", "weighted_pass_rate", "average_run_pass_rate"))
 
     def warning(code: str, field: str, detail: Column) -> list[Column]:
         return [F.lit(code).alias("code"), F.lit(field).alias("field"), detail.alias("detail")]

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from runlens.operators import history
+from runlens.operators import history, metrics
 from runlens.operators.metrics import RunQuery
 from runlens.sources import store
 
@@ -218,6 +218,22 @@ def test_append_tells_what_becomes_of_each_run(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_time_filters_and_keys_prune_the_summary_table(spark, tmp_path):
+    path, month = str(tmp_path / "table"), "2024-0{}-05T00:00:00Z"
+    rows = spark.sql("SELECT concat('20240', m, '05-000000-000-00000001') AS run_key, make_timestamp(2024, m, 5, 0, 0, 0) AS started_at, false AS migrated, '1.0.0' AS schema_version, "
+                     "concat('2024-0', m) AS run_month FROM VALUES (1), (2), (3), (4), (5), (6) AS t(m)")
+    rows.write.partitionBy("run_month").parquet(path)
+    table = store.read_summaries(spark, path, rows.schema)
+    plans = {
+        ("20240205-000000-000-00000001",): history.get_run(table, "20240205-000000-000-00000001"),
+        ("20240305-000000-000-00000001", "20240405-000000-000-00000001"): metrics.matched_runs(table, RunQuery(start=month.format(3), end=month.format(4))),
+    }
+    for expected, frame in plans.items():
+        assert tuple(sorted(r.run_key for r in frame.collect())) == expected
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(run_month" in plan or "PartitionFilters: [run_month" in plan
+
+
 def test_numbers_json_cannot_carry(spark):
     assert store.as_json(spark.sql("SELECT 1L AS a, 0.5D AS b")).first().json == '{"a":1,"b":0.5}'
     with pytest.raises(Exception, match="Numeric range"):

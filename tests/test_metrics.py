@@ -127,3 +127,12 @@ def test_contract_violations(runs):
     data = metrics.normalized_runs(runs(run(1, day(0), 1, 1), run(2, day(0), 1)).withColumn("ended_at", F.col("started_at")).withColumn("average_duration", F.lit(0.0)))
     broken = data.withColumn("passed", F.when(F.col("total") == 2, 2).otherwise(F.col("passed")).cast("bigint"))
     assert [list(r.rules) for r in metrics.contract_violations(broken).collect()] == [["STATUS_SUM", "RATE_CONTRADICTS_COUNTS"]]
+
+
+def test_trends_read_their_input_once(spark, tmp_path):
+    path = str(tmp_path / "points")
+    spark.sql("SELECT 'a' AS key, 'a' AS start, 1L AS total_tests, 0.0D AS weighted_pass_rate, 1.0D AS average_run_pass_rate").write.parquet(path)
+    series = spark.read.parquet(path)
+    for frame in (trends.trend_warnings(series), trends.trend_summary(series)):
+        assert path not in frame._jdf.queryExecution().optimizedPlan().toString()
+        assert str(tmp_path) not in "".join(frame.inputFiles())
