@@ -23,19 +23,38 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by the cluster; a temporary one only for a local session."""
+    """The folder all executors share, named by the cluster; where a local session names none, one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share.")
-        folder = tempfile.mkdtemp(prefix="runlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="runlens-")
+        _OWN[spark.sparkContext.applicationId] = folder
     return folder
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """``frame`` written once as a table in the shared folder and read back, which cuts its lineage."""
+    """``frame`` written once as a table in the shared folder and read back, which cuts its lineage.
+
+    The table stays until ``drop_written`` is called for its session, as results that are still to be computed may read it.
+    """
     path = f"{shared_dir(frame.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _WRITTEN.setdefault(frame.sparkSession.sparkContext.applicationId, []).append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove the intermediate tables of a session once all its results are stored; returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -238,3 +238,13 @@ def test_numbers_json_cannot_carry(spark):
     assert store.as_json(spark.sql("SELECT 1L AS a, 0.5D AS b")).first().json == '{"a":1,"b":0.5}'
     with pytest.raises(Exception, match="Numeric range"):
         store.as_json(spark.sql("SELECT 9007199254740993L AS a")).collect()
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from runlens.session import drop_written, written
+    drop_written(spark)
+    table = written(spark.range(3))
+    (file,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    assert table.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(file).count()
