@@ -58,16 +58,26 @@ def fold_attempts(events: DataFrame) -> DataFrame:
         _last(F.col("message"), done & F.col("message").isNotNull()).alias("error_message"),
         _last(F.col("category"), F.col("category").isNotNull()).alias("category"),
         F.max(F.when(done, F.col("event_time"))).alias("finished_at"),
-        F.min("event_time").alias("first_event"),
+        F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"),
     )
 
 
-def attempts(folded: DataFrame) -> DataFrame:
-    """Attempts with their public number; an attempt without completion is still running."""
-    return folded.filter(F.col("attempt") > 0).select(
-        *TEST_KEY, "attempt", (F.col("retry") + 1).alias("attempt_number"), "retry", "steps", "failed_steps",
-        F.coalesce("status", F.lit("RUNNING")).alias("status"), F.coalesce("duration", F.lit(0.0)).alias("duration"),
-        "error_message", "started_at", "finished_at",
+def attempts(folded: DataFrame, finished: bool = True) -> DataFrame:
+    """Attempts with their public number.
+
+    With ``finished`` the run is over: the last attempt of a test, if it has no completion, fails at the run's last event. Earlier
+    attempts without completion stay running, as nothing ever ended them.
+    """
+    c = F.col
+    own = folded.filter(c("attempt") > 0)
+    latest = own.groupBy(*TEST_KEY).agg(F.max("attempt").alias("latest"))
+    ends = folded.groupBy("run_id").agg(F.max("last_event").alias("run_end"))
+    ended = c("status").isNull() & (c("attempt") == c("latest")) & F.lit(finished)
+    return own.join(latest, list(TEST_KEY)).join(ends, "run_id").select(
+        *TEST_KEY, "attempt", (c("retry") + 1).alias("attempt_number"), "retry", "steps", "failed_steps",
+        F.when(ended, "FAILED").otherwise(F.coalesce("status", F.lit("RUNNING"))).alias("status"), F.coalesce("duration", F.lit(0.0)).alias("duration"),
+        F.when(ended, F.coalesce("error_message", F.lit(UNFINISHED_MESSAGE))).otherwise(c("error_message")).alias("error_message"),
+        "started_at", F.when(ended, c("run_end")).otherwise(c("finished_at")).alias("finished_at"),
     )
 
 

@@ -234,9 +234,13 @@ _READABLE = f"""CASE WHEN factory = 'getByRole' THEN CASE WHEN p_partkey % 2 = 0
 
 ORACLES = {
     "lifecycle_attempts": lifecycle_sql(f"""
-        SELECT run_id, test_case, attempt, retry + 1 AS attempt_number, retry, steps, failed_steps, coalesce(status, 'RUNNING') AS status,
-               coalesce(duration, 0.0) AS duration, error_message, {S.iso('f.started_at')} AS started_at, {S.iso('f.finished_at')} AS finished_at
-        FROM folded f WHERE attempt > 0"""),
+        SELECT run_id, test_case, attempt, retry + 1 AS attempt_number, retry, steps, failed_steps,
+               CASE WHEN ended THEN 'FAILED' ELSE coalesce(status, 'RUNNING') END AS status, coalesce(duration, 0.0) AS duration,
+               CASE WHEN ended THEN coalesce(error_message, {S.text(V.UNFINISHED_MESSAGE)}) ELSE error_message END AS error_message,
+               {S.iso('started')} AS started_at, {S.iso('CASE WHEN ended THEN run_end ELSE finished END')} AS finished_at
+        FROM (SELECT *, started_at AS started, finished_at AS finished, status IS NULL AND attempt = max(attempt) OVER (PARTITION BY run_id, test_case) AS ended
+              FROM folded JOIN (SELECT run_id, max(event_time) AS run_end FROM numbered GROUP BY run_id) USING (run_id))
+        WHERE attempt > 0"""),
     "lifecycle_records": lifecycle_sql(f"""
         SELECT run_id, test_case, status, duration, error_message, failure_category, attempts, retry_count, steps, {S.iso('executed_at')} AS execution_date
         FROM records"""),

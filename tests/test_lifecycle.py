@@ -45,6 +45,10 @@ def test_records(events):
 def test_attempts_and_steps(events):
     rows = lifecycle.attempts(lifecycle.fold_attempts(events)).filter("test_case = 'a'").orderBy("attempt").collect()
     assert [(r.attempt_number, r.status, r.steps, r.error_message) for r in rows] == [(1, "FAILED", 1, "Timeout"), (2, "PASSED", 2, None)]
+    (b,) = lifecycle.attempts(lifecycle.fold_attempts(events)).filter("test_case = 'b'").collect()
+    assert (b.status, b.error_message, b.finished_at) == ("FAILED", "Test did not complete before report generation.", datetime(2024, 1, 1) + timedelta(minutes=2000))
+    (b,) = lifecycle.attempts(lifecycle.fold_attempts(events), finished=False).filter("test_case = 'b'").collect()
+    assert (b.status, b.error_message, b.finished_at) == ("RUNNING", None, None)
     steps = lifecycle.step_numbers(events).filter("test_case = 'a'").orderBy("seq").collect()
     assert [r.step_no for r in steps] == [1, 2, 3]
 
