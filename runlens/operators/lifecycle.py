@@ -9,24 +9,30 @@ from runlens.fixed_values import TOP_LIST_SIZE, UNFINISHED_MESSAGE
 from runlens.functions import failures as rules
 from runlens.functions.numbers import rate
 from runlens.functions.text import clean_message
+from runlens.session import written
 
 TEST_KEY = ("run_id", "test_case")
 TEST_EVENTS = ("test_start", "step", "complete")
 
 
-def running_count(events: DataFrame, keys: tuple[str, ...], flag: Column, name: str) -> DataFrame:
+def sliced_events(events: DataFrame, keys: tuple[str, ...], slices: int | None = None) -> DataFrame:
+    """Events written in range slices of (key, time), with their slice number: a key with very many rows lies in many slices."""
+    number = slices or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(events.repartitionByRange(number, *keys, "event_time", "seq").withColumn("slice", F.spark_partition_id()))
+
+
+def running_count(events: DataFrame, keys: tuple[str, ...], flag: Column, name: str, slices: int | None = None) -> DataFrame:
     """Add the number of flagged rows of the key up to and including each row, in time order.
 
-    Rows are counted within the hours of a key and the hours are added up afterwards, so a key with very
-    many rows is spread over many tasks.
+    Rows are counted within the slices of a key and the slices are added up afterwards, so no key is one task.
     """
-    hourly = events.withColumn("hour", F.date_trunc("HOUR", "event_time")).withColumn("flag", F.when(flag, 1).otherwise(0).cast("bigint"))
-    in_hour = Window.partitionBy(*keys, "hour").orderBy("event_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hourly.groupBy(*keys, "hour").agg(F.sum("flag").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    counted = hourly.withColumn("here", F.sum("flag").over(in_hour))
-    joined = counted.join(offsets.select(*keys, "hour", "offset"), [*keys, "hour"])
-    return joined.withColumn(name, F.col("here") + F.col("offset")).drop("here", "offset", "flag", "hour")
+    sliced = sliced_events(events.withColumn("flag", F.when(flag, 1).otherwise(0).cast("bigint")), keys, slices)
+    in_slice = Window.partitionBy(*keys, "slice").orderBy("event_time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(*keys, "slice").agg(F.sum("flag").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counted = sliced.withColumn("here", F.sum("flag").over(in_slice))
+    joined = counted.join(offsets.select(*keys, "slice", "offset"), [*keys, "slice"])
+    return joined.withColumn(name, F.col("here") + F.col("offset")).drop("here", "offset", "flag", "slice")
 
 
 def _last(value: Column, when: Column) -> Column:

@@ -128,3 +128,12 @@ def test_ingest_publishes_each_file_once(spark, tmp_path):
     ledger = str(tmp_path / "ledger2")
     take("progress2")
     assert outcomes()[0] == ("a.json", "migrated") and spark.read.parquet(f"{store}/summaries").count() == 1
+
+
+def test_a_hot_test_is_counted_in_many_slices(spark):
+    rows = spark.sql("""SELECT 'r' AS run_id, IF(id < 400, 'hot', concat('t', id % 50)) AS test_case, timestamp_millis(1700000000000 + (id * 7919) % 3600000) AS event_time,
+                        id AS seq FROM range(1200)""")
+    sizes = [r["count"] for r in lifecycle.sliced_events(rows, lifecycle.TEST_KEY, 12).filter("test_case = 'hot'").groupBy("slice").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 200
+    counted = lifecycle.running_count(rows, lifecycle.TEST_KEY, F.lit(True), "n", 12).filter("test_case = 'hot'").orderBy("event_time", "seq").collect()
+    assert [r.n for r in counted] == list(range(1, 401))
