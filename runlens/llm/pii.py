@@ -95,15 +95,16 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     stops = [(a, b) for a, _, b in spans]
     k = 0
     for m in _SHOWN.finditer(text):
-        shown = m.group()
-        if len(shown) > 2 * LONGEST:
-            continue
-        a = m.start() + len(shown) - len(shown.lstrip(".,;:!?\"'[]<>"))
-        b = m.end() - (len(shown) - len(shown.rstrip(".,;:!?\"'[]<>")))
-        while k < len(stops) and stops[k][1] <= a:
-            k += 1
-        if a < b <= a + LONGEST and not any(s < b and a < e for s, e in stops[k : k + 4]):
-            found.append((a, b, -1, text[a:b].lower(), patterns(text, a, b)))
+        # Neighbouring tokens are one instance, unless they are too long together.
+        whole = m.end() - m.start() <= LONGEST
+        for part in [m] if whole else _NEAR.finditer(text, m.start(), m.end()):
+            shown = part.group()
+            a = part.start() + len(shown) - len(shown.lstrip(".,;:!?\"'[]<>"))
+            b = part.end() - (len(shown) - len(shown.rstrip(".,;:!?\"'[]<>")))
+            while k < len(stops) and stops[k][1] <= a:
+                k += 1
+            if a < b <= a + LONGEST and not any(s < b and a < e for s, e in stops[k : k + 4]):
+                found.append((a, b, -1, text[a:b].lower(), patterns(text, a, b)))
     return found
 
 
