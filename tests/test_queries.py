@@ -9,17 +9,19 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from runlens.plans.catalog import ORACLES, QUERIES
 from runlens.plans.check import TABLES, compare, connect
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("failure_groups", "impacted_suites", "root_cause_clusters", "run_summary", "metrics_by_browser", "trend_month", "history_warnings",
-          "manifest_audit", "lifecycle_records", "api_activity", "step_names")
+          "manifest_audit", "lifecycle_records", "api_activity", "step_names", "append_outcomes", "metrics_categories_by_project", "trend_warnings")
 SKEWED = ("failure_top_groups", "impacted_suites", "failure_insights", "root_cause_members", "slowest_tests", "trace_lookup")
-ALL = sorted(contract.queries())
+ALL = sorted(QUERIES)
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(ALL)
+    assert set(ORACLES) == set(ALL)
+    assert set(ALL) <= set(contract.queries()) and set(ALL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ALL if os.environ.get("RUNLENS_ALL") else SAMPLE)
