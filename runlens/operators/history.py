@@ -389,8 +389,12 @@ def legacy_outcomes(sources: DataFrame, state: DataFrame, history: DataFrame) ->
 
 
 def manifest_entries(files: DataFrame) -> DataFrame:
-    """Manifest rows from preserved files (run_key, type, path, file, size, sha256): size of each path, hash of single files."""
+    """Manifest rows from preserved files (run_key, type, path, file, size, sha256): size of each path, hash of single files.
+
+    The rows are what ``audit_manifests`` takes.
+    """
     return files.groupBy("run_key", "type", "path").agg(
+        F.lit(True).alias("availability"),
         F.sum("size").alias("size"),
         F.count("*").alias("files"),
         F.when(F.bool_and(F.col("file") == F.col("path")), F.concat(F.lit("sha256:"), F.max("sha256"))).alias("checksum"),

@@ -429,7 +429,7 @@ ORACLES = {
           SELECT run_key, size, unnest(list_transform(range(1, len(parts)), lambda d: array_to_string(parts[1:d], '/'))) AS directory
           FROM (SELECT *, string_split(path, '/') AS parts FROM files)) GROUP BY ALL""", files=_FILES),
     "artifact_manifest": S.with_ctes((), """
-        SELECT run_key, type, entry AS path, CAST(sum(size) AS BIGINT) AS size, count(*) AS files,
+        SELECT run_key, type, entry AS path, TRUE AS availability, CAST(sum(size) AS BIGINT) AS size, count(*) AS files,
                max(CASE WHEN type IN ('trace', 'pdf') THEN 'sha256:' || sha256 END) AS checksum
         FROM (SELECT *, CASE WHEN path LIKE '%/traces/%' THEN 'trace' WHEN path LIKE '%/evidence/%' THEN 'evidence' WHEN path LIKE '%/reports/%' THEN 'pdf' ELSE 'dashboard' END AS type,
                      CASE WHEN path LIKE '%/traces/%' OR path LIKE '%/reports/%' THEN path ELSE 'artifacts/' || split_part(path, '/', 2) END AS entry FROM files)

@@ -96,9 +96,14 @@ def read_steps(executions: DataFrame) -> DataFrame:
     )
 
 
-def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """Metadata of all runs; a missing or empty field gets its default."""
+def read_metadata(spark: SparkSession, root: str, runs: DataFrame | None = None) -> DataFrame:
+    """Metadata of all runs; a missing or empty field gets its default.
+
+    With ``runs`` (run_id) each of them has a row, whether it has a file or not.
+    """
     texts = _texts(spark, root, "metadata.json").withColumnRenamed("folder", "run_id")
+    if runs is not None:
+        texts = runs.select("run_id").distinct().join(texts, "run_id", "left")
     parsed = texts.select("run_id", _parse_or_fail(F.col("value"), METADATA_SCHEMA).alias("m"))
     fields = {"project": "project", "feature": "feature", "environment": "environment", "browser": "browser",
               "automation_tool": "automationTool", "executed_by": "executedBy"}

@@ -174,6 +174,8 @@ def test_file_readers(spark, tmp_path):
     assert [(r.step_no, r.name) for r in store.read_steps(records).collect()] == [(1, "s")]
     meta = store.read_metadata(spark, str(root)).first()
     assert (meta.project, meta.browser, meta.environment, meta.executed_by) == ("Shop", "chromium", "QA", "Automation Framework")
+    both = store.read_metadata(spark, str(root), spark.createDataFrame([("r1",), ("r9",)], "run_id string"))
+    assert {r.run_id: (r.project == "Shop", r.browser, r.run_status) for r in both.collect()} == {"r1": (True, "chromium", None), "r9": (False, "chromium", None)}
     calls = store.read_api_logs(spark, str(root))
     assert calls.count() == 2
     store.save_api_logs(calls, str(tmp_path / "out"))
