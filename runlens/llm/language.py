@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.texts import BATCH_ROWS, Memo, by_batch, text_of
+from runlens.llm.texts import BATCH_ROWS, by_batch, text_of
 from runlens.session import written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,9 @@ LEAST_SCORE = 0.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RENEW = 32
+#: Words that are summed at a time, characters of the longest of them, and words whose sums a worker remembers.
+TOGETHER, LONGEST_TOGETHER, MOST_SUMS = 4096, 48, 250_000
+_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
@@ -63,7 +66,52 @@ class Pieces:
             lengths[i] = 1 if piece[0] == "\x00" else len(piece)
         self.table = (table * SCALE ** lengths[:, None]).tolist()
         self.width = table.shape[1]
-        self.memo = Memo(self.logs)
+        self.memo: dict[str, bytes] = {}
+        # Pieces by the hash of their characters; a bit field tells most other character runs apart before the search.
+        plain = sorted((self._hash(p), i) for p, i in numbers.items() if p[0] != "\x00")
+        self.hashes = np.array([h for h, _ in plain], np.uint64)
+        self.rows = np.concatenate([np.array([table[i] * SCALE ** lengths[i] for _, i in plain]), np.zeros((1, self.width))])
+        self.field = np.zeros(1 << 22, bool)
+        self.field[self.hashes * _SPREAD >> np.uint64(42)] = True
+        self.single = {p for p in numbers if len(p) == 1}
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        value = 0
+        for c in reversed(text):
+            value = (ord(c) + value * int(_BASE)) & ((1 << 64) - 1)
+        return value
+
+    def logs_of(self, words: list[str]) -> None:
+        """Remembers the sums of words, those of like length together; others one by one."""
+        short = sorted((w for w in words if len(w) < LONGEST_TOGETHER and self.single.issuperset(w)), key=len)
+        memo = self.memo
+        for w in set(words).difference(short):
+            memo[w] = self.logs(w)
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            sizes = np.array([len(w) + 1 for w in part])
+            most = int(sizes[-1])
+            # Padding is no character, so no piece reaches into it.
+            codes = np.frombuffer("".join(["\u2581" + w + "\x01" * (most - 1 - len(w)) for w in part]).encode("utf-32-le"), np.uint32)
+            codes = codes.reshape(len(part), most).astype(np.uint64)
+            sums = np.zeros((most + 1, len(part), self.width))
+            sums[0] = 1.0
+            found, runs = [], np.zeros((len(part), most + 1), np.uint64)
+            for size in range(1, min(self.longest, most) + 1):
+                runs = codes[:, : most - size + 1] + _BASE * runs[:, 1 : most - size + 2]
+                known = self.field[runs * _SPREAD >> np.uint64(42)]
+                place = np.full(runs.shape, len(self.hashes))
+                asked = runs[known]
+                near = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+                place[known] = np.where(self.hashes[near] == asked, near, len(self.hashes))
+                found.append(place)
+            for end in range(1, most + 1):
+                for size in range(1, min(self.longest, end) + 1):
+                    sums[end] += sums[end - size] * self.rows[found[size - 1][:, end - size]]
+            logs = np.log(sums[sizes, np.arange(len(part))]) - (sizes * math.log(SCALE))[:, None]
+            data, width = logs.tobytes(), 8 * self.width
+            memo.update((w, data[k * width : (k + 1) * width]) for k, w in enumerate(part))
 
     def steps(self, word: str) -> list[list[tuple[int, list[int]]]]:
         """For each end the pieces that reach it: their beginnings and numbers. A character without a piece is spelled in bytes."""
@@ -191,14 +239,24 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, path: str = VOCABULARY)
     return names, table
 
 
-def _judge(own: Pieces | None, names: list[str], text: str | None) -> tuple[str, float]:
-    words = words_of(text) if text and own else []
-    if not words:
-        return UNKNOWN, 0.0
-    memo = own.memo
-    logs = np.frombuffer(b"".join([memo[w] for w in words])).reshape(-1, len(names)).sum(axis=0)
-    best = int(logs.argmax())
-    return names[best], float(1 / np.exp(logs - logs[best]).sum())
+def _judge(own: Pieces | None, names: list[str], texts: list[str | None]) -> list[tuple[str, float]]:
+    if own is None:
+        return [(UNKNOWN, 0.0)] * len(texts)
+    rows, memo = [words_of(t) if t else [] for t in texts], own.memo
+    new = {w for words in rows for w in words if w not in memo}
+    if len(memo) + len(new) > MOST_SUMS:
+        memo.clear()
+        new = {w for words in rows for w in words}
+    own.logs_of(list(new))
+    out = []
+    for words in rows:
+        if not words:
+            out.append((UNKNOWN, 0.0))
+            continue
+        logs = np.frombuffer(b"".join([memo[w] for w in words])).reshape(-1, len(names)).sum(axis=0)
+        best = int(logs.argmax())
+        out.append((names[best], float(1 / np.exp(logs - logs[best]).sum())))
+    return out
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -223,7 +281,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VO
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = _model(path, sent, number) if names else None
-        found = [_judge(own, names, t) for t in batch.column(1).to_pylist()]
+        found = _judge(own, names, batch.column(1).to_pylist())
         columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score"])
 
@@ -241,7 +299,7 @@ def known_language(docs: DataFrame, least: float = LEAST_SCORE, path: str = VOCA
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = _model(path, sent, number)
-        found = [_judge(own, names, t) for t in batch.column(at).to_pylist()]
+        found = _judge(own, names, batch.column(at).to_pylist())
         yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
     return by_batch(docs, run, docs.schema)
