@@ -32,7 +32,7 @@ PASSES, SMOOTHING, SCALE = 2, 0.02, 1024.0
 #: Different words whose counts a task gathers before it hands them on.
 MOST_WORDS = 300_000
 #: Documents with a lower score are rejected by ``known_language``.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RENEW = 32
