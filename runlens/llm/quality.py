@@ -108,7 +108,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` of each row: kept unless a base rule fails or its host is condemned."""
     measured = written(measures(docs))
-    hosts = host_rates(measured).groupBy("source").agg((F.max("rate") > limit).alias("condemned"))
+    # Written, so that the join below can be split where a host has very many documents, or be a broadcast where hosts are few.
+    hosts = written(host_rates(measured).groupBy("source").agg((F.max("rate") > limit).alias("condemned")))
     joined = measured.join(hosts, "source", "left")
     return joined.select(
         "doc_id", *MEASURES, base_failed().alias("base_failed"),
