@@ -42,8 +42,9 @@ class WordIds:
     new only in these. Both memories have a bound.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 800_000):
-        encode = Tokenizer.from_file(path).encode
+    def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000):
+        self.tokenizer = Tokenizer.from_file(path)
+        encode = self.tokenizer.encode
         self.cores = Memo(lambda c: array("I", encode(c.decode(), add_special_tokens=False).ids).tobytes(), most_cores)
         self.words = Memo(self._word, most_words)
 
@@ -61,10 +62,35 @@ class WordIds:
         core, stops = self.core(word)
         return self.cores[core] + self.cores[stops] if stops else self.cores[core]
 
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        words = self.words
-        return b"".join([words[w] for w in text.split()])
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encodes the new cores of many texts that are letters alone, which the tokenizer keeps apart at spaces, some hundreds at a time."""
+        known, cores = self.words, self.cores
+        split = {w: self.core(w) for w in set().union(*texts) if w not in known and len(w) <= known.longest}
+        new = [c for c in {c for c, _ in split.values()} if c not in cores and self._letters(c)]
+        if len(cores) + len(new) > cores.most:
+            cores.clear()
+        for at in range(0, len(new), 500):
+            part = new[at : at + 500]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            data, begin = array("I", found.ids).tobytes(), 0
+            ends = 4 * np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right")
+            for core, end in zip(part, ends.tolist()):
+                cores[core] = data[begin:end]
+                begin = end
+        if len(known) + len(split) > known.most:
+            known.clear()
+        known.update((w, cores[c] + cores[s] if s else cores[c]) for w, (c, s) in split.items())
+
+    @staticmethod
+    def _letters(core: bytes) -> bool:
+        """Whether a core is one run of Latin letters. The one letter whose lower case is two characters does not count."""
+        text = core.decode()
+        return text.isalpha() and (core.isascii() or (max(text) < "\u0250" and "\u0130" not in text))
+
+    def encode(self, words: list[bytes]) -> bytes:
+        """Little-endian 32-bit ids of the words of a text."""
+        known = self.words
+        return b"".join([known[w] for w in words])
 
 
 @cache
@@ -82,7 +108,9 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         words, task, seen = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in parts:
             rows, number, lengths, ranks, ids = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            texts = [t.split() for t in batch.column(1).to_pylist()]
+            words.learn(texts)
+            for row, text in enumerate(texts):
                 data = words.encode(text) + end
                 for at in range(0, len(data), 4 * capacity):
                     own = data[at : at + 4 * capacity]
