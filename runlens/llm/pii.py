@@ -1,7 +1,7 @@
 """Personal data: plain rules first, then identifiers of unseen form that are found by their contexts.
 
-Spans of the plain rules are seeds. The words around a seed make lexical patterns, and every token with a digit or an at sign is an
-instance that a pattern may point at. Patterns and instances form a graph that Spark scores in turns: a pattern is worth the share
+Spans of the plain rules are seeds. The words around a seed make lexical patterns. An instance that a pattern may point at is every
+token with a digit or an at sign, and every stretch of text that has the look of a kind. Patterns and instances form a graph that Spark scores in turns: a pattern is worth the share
 of its instances that are known, an instance what its patterns together make likely. Patterns of many seeds and high worth then
 mark instances that look like their kind but follow no rule, such as a phone number without its prefix.
 """
@@ -9,6 +9,7 @@ mark instances that look like their kind but follow no rule, such as a phone num
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,10 @@ from runlens.session import written
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring, different seeds a pattern needs, what a pattern's score and an instance's must reach, and what counts against a pattern.
 TURNS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE, DOUBT = 3, 4, 0.7, 0.7, 1.0
-#: Characters of the longest instance.
+#: Characters up to which neighbouring tokens count as one, and a context word is kept.
 LONGEST = 40
+#: Characters of the longest token, and of the longest number: 15 digits with two characters between any two and one before.
+LONGEST_MAIL, LONGEST_NUMBER = 40, 44
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +36,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SHOWN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: [^\s0-9@]*[0-9@]\S*)*")
 _NEAR = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]<>"
+_OUTER = ".,;:!?\"'[]<>"
+_DIGIT = re.compile(r"[0-9]")
 _LOOKS = (
     re.compile(r"[^\s@]+(?:@|[ ]?[(\[]at[)\]][ ]?)[^\s@]+"),
     re.compile(r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,3}[0-9]{1,3}){3}"),
@@ -75,46 +80,123 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _word(text: str, found: re.Match | None) -> str:
+def _word(text: str) -> str:
+    found = _NEAR.search(text)
     return found.group().strip(_EDGE).lower() if found and len(found.group()) <= LONGEST else ""
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
+def _named(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> str:
+    """A part of a text with the names of kinds in place of spans, as contexts of one identifier hardly recur."""
+    parts, done = [], start
+    for a, kind, b in spans[max(0, bisect_left(spans, (start,)) - 1) :]:
+        if a >= end:
+            break
+        if b > done and b > start:
+            parts += [text[done:a], f" ={KINDS[kind]} "]
+            done = b
+    return "".join([*parts, text[done:end]])
+
+
+def patterns(text: str, start: int, end: int, spans: list[tuple[int, int, int]] = ()) -> list[str]:
     """Two words before a span; one before and one after it. Empty words stand for the borders of the text."""
-    before = text[max(0, start - 3 * LONGEST) : start].split()[-2:]
+    before = _named(text, max(0, start - 3 * LONGEST), start, spans).split()[-2:]
     left = [w.strip(_EDGE).lower()[-LONGEST:] for w in before]
     left = [""] * (2 - len(left)) + left
     # What directly touches the span belongs to it, as in a quoted number.
-    right = _word(text, _NEAR.search(text, end + len(text[end : end + 3]) - len(text[end : end + 3].lstrip(_EDGE)), end + 3 * LONGEST))
+    right = _word(_named(text, end + len(text[end : end + 3]) - len(text[end : end + 3].lstrip(_EDGE)), end + 3 * LONGEST, spans))
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind, instance, patterns) of the spans and of other tokens that hold a digit or an at sign (kind -1)."""
-    found = [(a, b, kind, text[a:b].lower(), patterns(text, a, b)) for a, kind, b in spans if b - a <= LONGEST]
-    stops = [(a, b) for a, _, b in spans]
-    k = 0
+def looks(shown: str) -> list[int]:
+    """Kinds whose look a text has, by its full form."""
+    return [k for k, look in enumerate(_LOOKS) if look.fullmatch(shown.lower())]
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in _OUTER:
+        a += 1
+    while a < b and text[b - 1] in _OUTER:
+        b -= 1
+    return a, b
+
+
+def _disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans with overlapping ones put together; the first names the kind."""
+    out = []
+    for a, kind, b in spans:
+        if out and a < out[-1][2]:
+            out[-1] = (*out[-1][:2], max(out[-1][2], b))
+        else:
+            out.append((a, kind, b))
+    return out
+
+
+def _free(a: int, b: int, stops: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of a part of a text without the spans in it."""
+    out = []
+    for s, _, e in stops[max(0, bisect_left(stops, (a,)) - 1) :]:
+        if s >= b:
+            break
+        if e > a:
+            if s > a:
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
+def _stretches(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts that start with the token at ``start``, end with one before ``end``, and have the look of a number."""
+    for m in _NEAR.finditer(text, start, min(end, start + LONGEST_NUMBER + 8)):
+        # A token that the limit cuts off is no token; letters stand in no number.
+        if m.end() < end and not text[m.end()].isspace() or any(map(str.isalpha, m.group())):
+            return
+        a, b = _trimmed(text, start, m.end())
+        if b - a > LONGEST_NUMBER:
+            return
+        if any(look.fullmatch(text, a, b) for look in _LOOKS[1:]):
+            yield a, b
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
+    """(start, end, kind, instance, digits, looks, patterns) of the spans and of what else may be an identifier.
+
+    Kind -1: tokens that hold a digit or an at sign, neighbours together. Kind -2: other
+    stretches that have a look; they may be marked, but do not count against a pattern, as most overlap one that does.
+    """
+    places, stops = {}, _disjoint(spans)
     for m in _SHOWN.finditer(text):
-        # Neighbouring tokens are one instance, unless they are too long together.
-        whole = m.end() - m.start() <= LONGEST
-        for part in [m] if whole else _NEAR.finditer(text, m.start(), m.end()):
-            shown = part.group()
-            a = part.start() + len(shown) - len(shown.lstrip(".,;:!?\"'[]<>"))
-            b = part.end() - (len(shown) - len(shown.rstrip(".,;:!?\"'[]<>")))
-            while k < len(stops) and stops[k][1] <= a:
-                k += 1
-            if a < b <= a + LONGEST and not any(s < b and a < e for s, e in stops[k : k + 4]):
-                found.append((a, b, -1, text[a:b].lower(), patterns(text, a, b)))
-    return found
+        for low, high in _free(m.start(), m.end(), stops):
+            # Neighbouring tokens are one instance, unless they are too long together.
+            parts = [(low, high)] if high - low <= LONGEST else [p.span() for p in _NEAR.finditer(text, low, high)]
+            for start, stop in parts:
+                while start < stop and text[start].isspace():
+                    start += 1
+                while start < stop and text[stop - 1].isspace():
+                    stop -= 1
+                a, b = _trimmed(text, start, stop)
+                whole = (start == 0 or text[start - 1].isspace()) and (stop == len(text) or text[stop].isspace())
+                if a < b <= a + LONGEST_MAIL and (whole or any(c in "0123456789@" for c in text[a:b])):
+                    places[a, b] = max(places.get((a, b), -2), -1 if whole else -2)
+            for token in _NEAR.finditer(text, low, high):
+                first = _trimmed(text, *token.span())[0]
+                if first < token.end() and text[first] in "0123456789(":
+                    after = bisect_left(stops, (first,))
+                    for place in _stretches(text, first, stops[after][0] if after < len(stops) else len(text)):
+                        places.setdefault(place, -2)
+    found = [(a, b, kind) for a, kind, b in spans if b - a <= LONGEST_MAIL] + [(*place, kind) for place, kind in places.items()]
+    return [
+        (a, b, kind, text[a:b].lower(), len(_DIGIT.findall(text, a, b)), [] if kind >= 0 else looks(text[a:b]), patterns(text, a, b, stops))
+        for a, b, kind in found
+    ]
 
 
 _SCANNED = (
     "base array<struct<start:int,kind:int,end:int>>, "
-    "mentions array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>"
+    "mentions array<struct<start:int,end:int,kind:int,instance:string,digits:int,looks:array<int>,patterns:array<string>>>"
 )
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _MENTIONS = pa.list_(pa.struct([
-    ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())),
+    ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("instance", pa.string()), ("digits", pa.int32()), ("looks", pa.list_(pa.int32())), ("patterns", pa.list_(pa.string())),
 ]))
 #: A row is known again by its id and the hash of its text; rows equal in both have equal spans.
 _KEY = ("doc_id", "text_key")
@@ -132,38 +214,32 @@ def scan(docs: DataFrame) -> DataFrame:
         found = [mentions(t, s) for t, s in zip(batch.column(2).to_pylist(), base)]
         columns = [
             pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row] for row in base], _BASE),
-            pa.array([[dict(zip(("start", "end", "kind", "instance", "patterns"), x)) for x in row] for row in found], _MENTIONS),
+            pa.array([[dict(zip(("start", "end", "kind", "instance", "digits", "looks", "patterns"), x)) for x in row] for row in found], _MENTIONS),
         ]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "base", "mentions"])
 
     return by_batch(_keyed(docs), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, {_SCANNED}")
 
 
-def _looks_like() -> Column:
-    """Kinds whose look an instance has, by the full form of it."""
-    return F.filter(
-        F.array(*(F.when(F.col("instance").rlike(f"^(?:{look.pattern})$"), F.lit(k)).otherwise(F.lit(-1)) for k, look in enumerate(_LOOKS))),
-        lambda k: k >= 0,
-    )
-
-
 def learn(scanned: DataFrame) -> DataFrame:
-    """``pattern``, ``kind`` and ``score`` of the patterns that may mark instances.
+    """``pattern``, ``kind``, ``score`` and mean ``digits`` of seeds of the patterns that may mark instances.
 
     The graph holds each different pattern and instance pair once. Counts are aggregated before every shuffle.
     """
-    shown = scanned.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", F.explode("m.patterns").alias("pattern"))
+    shown = scanned.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", "m.digits", "m.looks", F.explode("m.patterns").alias("pattern"))
     # A pattern needs seeds, so edges of others fall away at once.
-    edges = shown.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds")).where(f"seeds >= {LEAST_SEEDS}")
+    edges = shown.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("digits").alias("digits"), F.max("looks").alias("looks"))
+    totals = edges.groupBy("pattern").agg(
+        F.count_if(F.col("kind") >= -1).alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds")).where(f"seeds >= {LEAST_SEEDS}")
     graph = written(edges.join(totals.select("pattern", "n"), "pattern"))
     known = graph.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("worth")).distinct()
-    asked = graph.where("kind < 0").select("pattern", "instance", F.explode(_looks_like()).alias("kind"))
+    asked = graph.where("kind < 0").select("pattern", "instance", F.explode("looks").alias("kind"))
+    usual = graph.where("kind >= 0").groupBy("pattern", "kind").agg(F.avg("digits").alias("digits"))
     scores = None
     for turn in range(TURNS):
-        worth = graph.select("pattern", "instance", "n").join(known, "instance")
+        worth = graph.select("pattern", "instance", "n", (F.col("kind") < -1).alias("besides")).join(known, "instance")
         scores = worth.groupBy("pattern", "kind").agg(
-            (F.sum("worth") / (F.first("n") + DOUBT)).alias("score"), F.count_if(F.col("worth") == 1.0).alias("seeds"),
+            (F.sum("worth") / (F.first("n") + F.count_if("besides") + DOUBT)).alias("score"), F.count_if(F.col("worth") == 1.0).alias("seeds"),
         ).where((F.col("seeds") >= LEAST_SEEDS) & (F.col("score") >= LEAST_PATTERN)).select("pattern", "kind", "score")
         scores = written(scores)
         if turn + 1 < TURNS:
@@ -172,18 +248,37 @@ def learn(scanned: DataFrame) -> DataFrame:
                 (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("worth"))
             seeds = graph.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("worth")).distinct()
             known = written(seeds.union(told.where(F.col("worth") >= LEAST_INSTANCE).select("instance", "kind", F.least("worth", F.lit(0.99)))))
-    return scores
+    return scores.join(usual, ["pattern", "kind"])
 
 
 def discovered(scanned: DataFrame, scores: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key`` and the added spans, one of the likeliest kind for each mention."""
+    """``doc_id``, ``text_key`` and the added spans, of those that overlap the likeliest.
+
+    Where they are equally likely, the number of digits nearest to that of the seeds decides, then the smaller one: a country's own
+    form of a number leaves out its prefix.
+    """
     asked = scanned.select(*_KEY, F.explode("mentions").alias("m")).where("m.kind < 0").select(
-        *_KEY, "m.start", "m.end", "m.instance", F.explode("m.patterns").alias("pattern"))
-    asked = asked.withColumn("kind", F.explode(_looks_like()))
+        *_KEY, "m.start", "m.end", F.col("m.digits").alias("own"), F.explode("m.looks").alias("kind"), "m.patterns")
+    asked = asked.select(*_KEY, "start", "end", "own", "kind", F.explode("patterns").alias("pattern"))
     worth = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))
-    hits = asked.join(scores, ["pattern", "kind"]).groupBy(*_KEY, "start", "end", "kind").agg(worth.alias("worth")).where(F.col("worth") >= LEAST_INSTANCE)
-    best = hits.groupBy(*_KEY, "start", "end").agg(F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
-    return best.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "kind", "end")).alias("added"))
+    hits = asked.join(scores, ["pattern", "kind"]).groupBy(*_KEY, "start", "end", "kind", "own").agg(
+        worth.alias("worth"), F.min(F.abs(F.col("own") - F.col("digits"))).alias("off")).where(F.col("worth") >= LEAST_INSTANCE)
+    order = F.struct((-F.col("worth")).alias("less"), F.when(F.col("kind") == 0, 0.0).otherwise(F.col("off")).alias("off"), "own", "kind", "start", "end")
+    listed = hits.groupBy(*_KEY).agg(F.array_sort(F.collect_set(order)).alias("hits"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        added = []
+        for hits in batch.column(2).to_pylist():
+            taken = []
+            for x in hits:
+                at = bisect_left(taken, (x["end"],))  # the first that starts at or after the end
+                if at == 0 or taken[at - 1][2] <= x["start"]:
+                    taken.insert(at, (x["start"], x["kind"], x["end"]))
+            added.append([dict(zip(("start", "kind", "end"), t)) for t in taken])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(added, _BASE)], [*_KEY, "added"])
+
+    name = scanned.schema["doc_id"].dataType.simpleString()
+    return by_batch(listed, run, f"doc_id {name}, text_key long, added array<struct<start:int,kind:int,end:int>>")
 
 
 def _matched(rows: DataFrame, found: DataFrame) -> DataFrame:
