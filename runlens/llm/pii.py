@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,11 @@ from runlens.session import written
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring, different seeds a pattern needs, what a pattern's score and an instance's must reach, and what counts against a pattern.
 TURNS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE, DOUBT = 3, 4, 0.7, 0.7, 1.0
-#: Characters up to which neighbouring tokens count as one, and a context word is kept.
+#: Characters up to which neighbouring tokens count as one, a context word is kept, and an instance stands for itself in the graph.
 LONGEST = 40
-#: Characters of the longest token, and of the longest number: 15 digits with two characters between any two and one before.
-LONGEST_MAIL, LONGEST_NUMBER = 40, 44
+#: Characters of the longest instance: a mail address has 254 at most. Of the other looks the longest is a phone number of 15 digits with two
+#: characters between any two and one before.
+LONGEST_MAIL, LONGEST_NUMBER = 254, 44
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +39,8 @@ _SHOWN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: [^\s0-9@]*[0-9@]\S*)*")
 _NEAR = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]<>"
 _OUTER = ".,;:!?\"'[]<>"
+_AT = re.compile(r"[(\[]at[)\]]", re.IGNORECASE)
+_AFTER = re.compile(r"[ ]?[^\s@]+")
 _DIGIT = re.compile(r"[0-9]")
 _LOOKS = (
     re.compile(r"[^\s@]+(?:@|[ ]?[(\[]at[)\]][ ]?)[^\s@]+"),
@@ -157,10 +161,26 @@ def _stretches(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
+def _written_out(text: str) -> Iterator[tuple[int, int]]:
+    """Mail addresses whose at sign is written out."""
+    for m in _AT.finditer(text):
+        low = max(0, m.start() - LONGEST_MAIL)
+        before = max(low, m.start() - 1) if text[low : m.start()].endswith(" ") else m.start()
+        start = before
+        while start > low and text[start - 1] != "@" and not text[start - 1].isspace():
+            start -= 1
+        after = _AFTER.match(text, m.end(), m.end() + LONGEST_MAIL)
+        if start < before and after:
+            a, b = _trimmed(text, start, after.end())
+            a, b = a + (text[a] == "("), b - (text[b - 1] == ")" and b > m.end() + 1)
+            if a < m.start() and b > m.end() and b - a <= LONGEST_MAIL:
+                yield a, b
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """(start, end, kind, instance, digits, looks, patterns) of the spans and of what else may be an identifier.
 
-    Kind -1: tokens that hold a digit or an at sign, neighbours together. Kind -2: other
+    Kind -1: tokens that hold a digit or an at sign, neighbours together, and addresses with a written-out at sign. Kind -2: other
     stretches that have a look; they may be marked, but do not count against a pattern, as most overlap one that does.
     """
     places, stops = {}, _disjoint(spans)
@@ -183,13 +203,21 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
                     after = bisect_left(stops, (first,))
                     for place in _stretches(text, first, stops[after][0] if after < len(stops) else len(text)):
                         places.setdefault(place, -2)
+    for a, b in _written_out(text):
+        if _free(a, b, stops) == [(a, b)]:
+            places[a, b] = -1
     found = [(a, b, kind) for a, kind, b in spans if b - a <= LONGEST_MAIL] + [(*place, kind) for place, kind in places.items()]
     return [
-        (a, b, kind, text[a:b].lower(), len(_DIGIT.findall(text, a, b)), [] if kind >= 0 else looks(text[a:b]), patterns(text, a, b, stops))
+        (a, b, kind, _instance(text[a:b].lower()), len(_DIGIT.findall(text, a, b)), [] if kind >= 0 else looks(text[a:b]), patterns(text, a, b, stops))
         for a, b, kind in found
     ]
 
 
+def _instance(shown: str) -> str:
+    """What an instance is called in the graph; a long one by its hash."""
+    return shown if len(shown) <= LONGEST else f"#{xxhash.xxh3_128_hexdigest(shown.encode('utf-8', 'surrogatepass'))}"
+
+
 _SCANNED = (
     "base array<struct<start:int,kind:int,end:int>>, "
     "mentions array<struct<start:int,end:int,kind:int,instance:string,digits:int,looks:array<int>,patterns:array<string>>>"
