@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in column expressions alone.
 
-The words of a text are hashed, each run of ``GRAM`` words becomes one rolling hash, and of each ``WINDOW`` neighbouring hashes the
-least is kept, the rightmost of equal ones. Two texts that share ``GRAM + WINDOW - 1`` words in a row share a kept hash, and
+The words of a text are hashed, each run of ``GRAM`` words becomes one hash of its word hashes, computed anew for each run instead of
+rolled on from the last one, and of each ``WINDOW`` neighbouring hashes the least is kept, the rightmost of equal ones. Two texts that share ``GRAM + WINDOW - 1`` words in a row share a kept hash, and
 positions that follow each other are at most ``WINDOW`` apart. Hash and position share one number, hash first, so
 that the least number of a window is at once the least hash and the rightmost place.
 """
