@@ -17,11 +17,12 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.texts import BATCH_ROWS, by_batch, text_of
+from runlens.llm.texts import bounded_batches, by_batch, text_of
 from runlens.session import written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,10 +32,14 @@ TRAIN_DOCS = 2500
 PASSES, SMOOTHING, SCALE = 2, 0.02, 1024.0
 #: Different words whose counts a task gathers before it hands them on.
 MOST_WORDS = 300_000
-#: Documents with a lower score are rejected by ``known_language``.
+#: Labels that are learned, the commonest ones: labels misspelt in their thousands make no table of their own.
+MOST_LANGUAGES = 400
+#: Documents with a lower score are rejected by ``known_language``. The best of a few languages nearly always has more, so with the
+#: usual labels only texts without letters go; a higher value rejects short texts that several languages share.
 LEAST_SCORE = 0.3
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS_ALONE = regex.compile(r"\p{L}+")
 _RENEW = 32
 #: Words that are summed at a time, characters of the longest of them, and words whose sums a worker remembers.
 TOGETHER, LONGEST_TOGETHER, MOST_SUMS = 4096, 48, 250_000
@@ -52,7 +57,9 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters in lower case. Fractions, circled and raised digits are no letters, though they count as word characters."""
+    found = _LETTERS.findall(text.lower())
+    return [x for w in found for x in ([w] if w.isalpha() else _LETTERS_ALONE.findall(w))]
 
 
 class Pieces:
@@ -181,7 +188,7 @@ def held_out() -> Column:
 
 def _word_counts(docs: DataFrame, languages: dict[str, int]) -> DataFrame:
     """``language`` (number), ``word`` and ``n`` of labelled documents."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -207,11 +214,12 @@ def _word_counts(docs: DataFrame, languages: dict[str, int]) -> DataFrame:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages, and the probability of each piece in each of them (pieces by languages).
 
-    Learns from the texts of rows with a language that are not held out; no rows, no languages. Memory grows with the vocabulary
-    times the languages only.
+    Learns from the texts of rows with a language that are not held out, and of the ``MOST_LANGUAGES`` commonest labels; no rows, no
+    languages. Memory grows with the vocabulary times the languages only.
     """
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
-    seen = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    commonest = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    seen = {r["lang"]: r["n"] for r in commonest.collect()}
     names = sorted(seen)
     if not names:
         return [], np.empty((vocabulary(path)[1], 0))
@@ -273,7 +281,8 @@ def _model(path: str, sent, number: str) -> Pieces:
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (its share of the probability) of each row; only the text is looked at.
 
-    A text that is null or has no letter is ``und`` with score 0, as is any where no language was learned.
+    A text that is null or has no letter is ``und`` with score 0, as is any where no language was learned. Of languages with equal sums
+    the first by name is taken.
     """
     names, table = model
     sent = docs.sparkSession.sparkContext.broadcast(table)
@@ -290,7 +299,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VO
 
 
 def known_language(docs: DataFrame, least: float = LEAST_SCORE, path: str = VOCABULARY) -> DataFrame:
-    """Rows, with all their columns, whose language can be told; where no row has a label, all rows."""
+    """Rows, with all their columns, whose text has letters and whose language has a share of ``least``; where no row has a label, all rows."""
     names, table = learn(docs, path=path)
     if not names:
         return docs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm.texts import BATCH_ROWS, Memo, utf8
+from runlens.llm.texts import Memo, bounded_batches, utf8
 from runlens.session import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -101,7 +101,7 @@ def _word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of each row: ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (unsigned 32-bit numbers), and the task and
     the rank among equal lengths of that task. A null text is an empty one, which has the end id alone. Repeated rows stay."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(docs.sparkSession)
     end = array("I", [end_id]).tobytes()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,12 @@ leads on, so that none is tried twice and the work stays linear.
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -35,6 +37,13 @@ CHUNKS = (
 MOST_CHECKS = 500_000
 
 
+def _each_byte(error: UnicodeError) -> tuple[str, int]:
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+codecs.register_error("each_byte", _each_byte)
+
+
 class PieceCodec:
     """Encodes and decodes as the library does for a model of type BPE with byte fallback and without text normalisation."""
 
@@ -52,6 +61,7 @@ class PieceCodec:
             self.spelled[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self.spelled[i] = bytes([byte])
+        self.marked = {i for i in plain if self.spelled[i].startswith(b" ")}
         self.spelled[self.unknown] = " ⁇ ".encode()
         # The finest rule whose borders no piece crosses: before spaces, at line ends, and between letters and other characters.
         self.chunk = next(re.compile(rule) for rule in CHUNKS if all(len(re.findall(rule, p)) == 1 for p in self.pieces))
@@ -156,10 +166,15 @@ class PieceCodec:
         return np.frombuffer(b"".join([memo[c] for c in self.chunk.findall(SPACE + text.replace(" ", SPACE))]), np.int32)
 
     def decode(self, ids: Sequence[int]) -> str:
-        """The text of ids; one space in front belongs to the encoding. Each byte of no valid character becomes U+FFFD."""
+        """The text of ids. The space in front of a first piece belongs to the encoding, that of a byte or an unknown id does not; ids of
+        no text do not count as first. Each byte of no valid character becomes U+FFFD."""
         spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        parts = [spelled[i] for i in ids]
+        # An id of no text parts the bytes beside it.
+        runs = [b"".join(run) for empty, run in groupby(parts, key=lambda p: not p) if not empty] if b"" in parts else [b"".join(parts)]
+        text = "".join([run.decode("utf-8", "each_byte") for run in runs])
+        first = next((i for i in ids if spelled[i]), self.unknown)
+        return text[1:] if first in self.marked else text
 
 
 @cache

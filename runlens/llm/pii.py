@@ -23,7 +23,7 @@ from runlens.session import written
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring, different seeds a pattern needs, what a pattern's score and an instance's must reach, and what counts against a pattern.
 TURNS, LEAST_SEEDS, LEAST_PATTERN, LEAST_INSTANCE, DOUBT = 3, 4, 0.7, 0.7, 1.0
-#: Characters up to which neighbouring tokens count as one, a context word is kept, and an instance stands for itself in the graph.
+#: Characters up to which neighbouring tokens count as one, a context word is told from others, and an instance stands for itself in the graph.
 LONGEST = 40
 #: Characters of the longest instance: a mail address has 254 at most. Of the other looks the longest is a phone number of 15 digits with two
 #: characters between any two and one before.
@@ -86,7 +86,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _word(text: str) -> str:
     found = _NEAR.search(text)
-    return found.group().strip(_EDGE).lower() if found and len(found.group()) <= LONGEST else ""
+    return _context(found.group()) if found else ""
+
+
+def _context(word: str) -> str:
+    """A context word. All of more than ``LONGEST`` characters are one word, which differs from the border of a text."""
+    return word.strip(_EDGE).lower() if len(word) <= LONGEST else "=long"
 
 
 def _named(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> str:
@@ -104,7 +109,7 @@ def _named(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -
 def patterns(text: str, start: int, end: int, spans: list[tuple[int, int, int]] = ()) -> list[str]:
     """Two words before a span; one before and one after it. Empty words stand for the borders of the text."""
     before = _named(text, max(0, start - 3 * LONGEST), start, spans).split()[-2:]
-    left = [w.strip(_EDGE).lower()[-LONGEST:] for w in before]
+    left = [_context(w) for w in before]
     left = [""] * (2 - len(left)) + left
     # What directly touches the span belongs to it, as in a quoted number.
     right = _word(_named(text, end + len(text[end : end + 3]) - len(text[end : end + 3].lstrip(_EDGE)), end + 3 * LONGEST, spans))

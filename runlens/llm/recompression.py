@@ -15,14 +15,16 @@ already decided; so a passage in a third of all documents sends a few rows inste
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runlens.llm.texts import BATCH_ROWS, Memo, text_of
+from runlens.llm.texts import Memo, bounded_batches, text_of
 from runlens.session import written
 
 WINDOW, ROUNDS = 20, 6
@@ -153,10 +155,34 @@ _ANCHORS = "name long, id long, text_key long, low int, n int, known boolean"
 _WINDOWS = "one long, two long, id long, text_key long, low int, n int"
 
 
+@contextmanager
+def _cleared_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a job's shuffle files go once it is over: the next job starts from the table it has written. Then all is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _with_own(docs: DataFrame) -> DataFrame:
+    """Adds ``runlens_own``, a number in the order of the ids. Whole numbers are taken as they are; ids of another type are sorted in
+    ranges, where the number of a row's range and its place in it make one growing number."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return docs.withColumn("runlens_own", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    ids = docs.select(F.col("doc_id").alias("runlens_doc")).where("runlens_doc IS NOT NULL").distinct()
+    number = F.monotonically_increasing_id().alias("runlens_number")
+    ids = written(ids.repartitionByRange("runlens_doc").sortWithinPartitions("runlens_doc").select("runlens_doc", number))
+    joined = docs.join(ids, F.col("doc_id") == F.col("runlens_doc"), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("runlens_number", F.lit(_NO_ID)).alias("runlens_own"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_of()).alias("text_key"), text_of().cast("binary").alias("text"),
-    )
+    own = docs if "runlens_own" in docs.columns else _with_own(docs)
+    return own.select(F.col("runlens_own").alias("id"), F.xxhash64(text_of()).alias("text_key"), text_of().cast("binary").alias("text"))
 
 
 def shared_anchors(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -> DataFrame:
@@ -212,7 +238,7 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -
             yield out.set_column(3, "n", pa.array(np.abs(out.column(3).to_numpy()).astype(np.int32)))
 
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(spark)
     named = _keyed(docs).mapInArrow(parse, _ANCHORS)
     # Rows that ask come first in no order but by name; the others only pass through.
     return named.repartition("name").sortWithinPartitions("name").mapInArrow(share, "id long, text_key long, low int, n int")
@@ -221,10 +247,10 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -
 def repeated_windows(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -> DataFrame:
     """``id``, ``text_key``, ``low`` and ``n`` of windows that stand earlier as well: in a smaller id, or before in the same document."""
     spark = docs.sparkSession
-    # The files of a finished job's shuffle are of no use to the next job, which starts from written tables.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    marked = written(shared_anchors(docs, window, count))
-    by_doc = marked.groupBy("id", "text_key").agg(F.collect_list(F.struct("low", "n")).alias("marks"))
+    with _cleared_shuffles(spark):
+        marked = written(shared_anchors(docs, window, count))
+    # A set, as a row that is repeated brings its marks again.
+    by_doc = marked.groupBy("id", "text_key").agg(F.collect_set(F.struct("low", "n")).alias("marks"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +304,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS)
             out = batch.filter(pa.array(later)).select(["id", "text_key", "low", "n"])
             yield out.set_column(3, "n", pa.array(np.maximum(out.column(3).to_numpy(), 1).astype(np.int32)))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(spark)
     # Rows that repeat id and text are one document.
     marked_docs = _keyed(docs).join(by_doc, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("id", "text_key", "text", "marks")
     windows = marked_docs.mapInArrow(compare, _WINDOWS)
@@ -308,16 +334,19 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _marks(docs: DataFrame, window: int, count: int) -> DataFrame:
-    found = written(repeated_windows(docs, window, count))
+    windows = repeated_windows(docs, window, count)
+    with _cleared_shuffles(docs.sparkSession):
+        found = written(windows)
     return found.groupBy(F.col("id").alias("runlens_id"), F.col("text_key").alias("runlens_key")).agg(F.collect_list(F.struct("low", "n")).alias("runlens_marks"))
 
 
 def _marked(docs: DataFrame, window: int, count: int) -> DataFrame:
     """All rows with the windows to be removed, null where there are none."""
-    marks, own = _marks(docs, window, count), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    joined = docs.withColumn("runlens_own", own).withColumn("runlens_text", F.xxhash64(text_of())).join(
+    own = _with_own(docs)
+    marks = _marks(own, window, count)
+    joined = own.withColumn("runlens_text", F.xxhash64(text_of())).join(
         marks, (F.col("runlens_own") == F.col("runlens_id")) & (F.col("runlens_text") == F.col("runlens_key")), "left")
-    return joined.select(*(docs[c] for c in docs.columns), "runlens_marks")
+    return joined.select(*(own[c] for c in docs.columns), "runlens_marks")
 
 
 def kept_words(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -> DataFrame:

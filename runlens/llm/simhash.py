@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.components import components
-from runlens.llm.texts import by_batch, text_of, utf8
+from runlens.llm.texts import bounded_batches, by_batch, text_of, utf8
 from runlens.session import written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -141,7 +141,7 @@ def _compare(rows: DataFrame, limit: int) -> DataFrame:
             keys, fps, paths = keys[keep], fps[keep], paths[keep]
         yield linked(*_lists(keys, fps))
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    bounded_batches(rows.sparkSession)
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, path int")
 
 

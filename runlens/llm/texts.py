@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without ASCII white space; ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows an Arrow batch may hold; long texts make batches of a few MB.
-BATCH_ROWS = "1000"
+#: Rows and bytes an Arrow batch may hold, the same for every operator; a row that is longer is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = "20000", str(2 << 20)
 
 
 def text_of(column: str = "text") -> Column:
@@ -28,9 +28,15 @@ def size_bytes(column: str = "text") -> Column:
     return F.octet_length(text_of(column)).cast("long")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the bounds of Arrow batches. They hold for whatever runs next, texts and numbers alike, as the bytes are bounded too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def by_batch(frame: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``function`` over Arrow batches of bounded size, one task per partition of ``frame``."""
-    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(frame.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
