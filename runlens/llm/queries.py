@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import language, packing, pieces, pii, quality, recompression, revisits, sharding, simhash, winnowing
+from runlens.llm import alignment, language, mixture, packing, pieces, pii, quality, recompression, revisits, sharding, simhash, tries, winnowing
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,9 @@ QUERIES = {
     "op8_pieces": _over("documents", pieces.digests),
     "op9_pii": _over("documents", pii.digests),
     "op10_quality": _over("documents", quality.verdicts),
+    "op11_mixture": _over("documents", mixture.pack),
+    "op12_alignment": _over("documents", alignment.alignments),
+    "op13_tries": _over("conversations", tries.digests),
 }
 
 ORACLES: dict[str, str] = {

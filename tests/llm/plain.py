@@ -109,7 +109,85 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
 
 
-def winnowed(text: str, gram: int = 3, window: int = 6) -> list[tuple[int, int]]:
-    """(place, number of the gram's first appearance) - the order of hashes is not known here, so only the grams are listed."""
-    words = WORD.findall(text or "")
-    return [tuple(words[i : i + gram]) for i in range(max(1, len(words) - gram + 1))] if words else []
+def byte_tokenizer(special: bool):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = not special
+    return own
+
+
+def served(sizes: list[int], quanta: list[float], portion: int, rounds: int) -> list[list[int]]:
+    """Tokens that deficit round-robin takes from each queue in each round, one round after another."""
+    deficit, left, out = [0.0] * len(sizes), list(sizes), []
+    for k in range(rounds):
+        taken = []
+        for q in range(len(sizes)):
+            deficit[q] += quanta[q]
+            n = min(left[q], int(deficit[q] // portion) * portion)
+            if quanta[q] * (k + 1) >= sizes[q]:
+                n = left[q]
+            deficit[q] -= n
+            left[q] -= n
+            taken.append(n)
+        out.append(taken)
+    return out
+
+
+def aligned(texts: list[str | None]) -> list[tuple]:
+    """Rows of both tokenizers' alignment, by comparing the byte ranges of all tokens."""
+    a_own, b_own = byte_tokenizer(False), pieces()
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    symbol = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in letters)}
+    rows, links = [], []
+    for text in texts:
+        empty = ([], [], [], [])
+        if text:
+            a = a_own.encode(" " + text, add_special_tokens=False).ids
+            b = b_own.encode(text)
+            spelled_a = [bytes(symbol[c] for c in a_own.id_to_token(i)) for i in a]
+            spelled_b = [bytes([int(p[3:5], 16)]) if b_own.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in ((i, b_own.id_to_piece(i)) for i in b)]
+            data = (" " + text).encode()
+            if b"".join(spelled_a) == data and b"".join(spelled_b) == data:
+                empty = (a, b, np.cumsum([len(x) for x in spelled_a]).tolist(), np.cumsum([len(x) for x in spelled_b]).tolist())
+        a, b, ends_a, ends_b = empty
+        starts_a, starts_b = [0, *ends_a], [0, *ends_b]
+        own = [(x, y) for i, x in enumerate(a) for j, y in enumerate(b) if starts_a[i] < ends_b[j] and starts_b[j] < ends_a[i]]
+        groups, common = [], sorted(set(ends_a) & set(ends_b))
+        for low, high in zip([0, *common], common):
+            groups.append(",".join(str(x) for x, e in zip(a, ends_a) if low < e <= high) + "|" + ",".join(str(x) for x, e in zip(b, ends_b) if low < e <= high))
+        links.append(own)
+        rows.append((len(a), len(b), len(groups), len(own), sha(";".join(groups)) if a else ""))
+    counts = Counter(x for own in links for x in own)
+    best: dict[int, int] = {}
+    for (_, y), n in counts.items():
+        best[y] = max(n, best.get(y, 0))
+    return [(*row[:4], sum(counts[x] == best[x[1]] for x in own), sum(counts[x] for x in own), row[4]) for row, own in zip(rows, links)]
+
+
+def trie(rows: list[tuple]) -> list[tuple]:
+    """Nodes of the prefix trie of rebuilt conversations, from rows of conv_id, turn, role and text."""
+    own: dict[int, list] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = tuple(own.get(c - c % 100, [])[:h] + turns[h:])
+    members: dict[tuple, list[int]] = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    children: dict[tuple, list[tuple]] = {}
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        kids = children.get(node, [])
+        leaves[node] = sum(leaves[k] for k in kids) or 1
+        saved[node] = sum(saved[k] for k in kids) + ((len(members[node]) - 1) * len(node[-1][1]) if node else 0)
+    return sorted(
+        (min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(children.get(n, [])), leaves[n], saved[n],
+         sha(",".join(str(c) for c in sorted(m) if len(built[c]) == len(n))))
+        for n, m in members.items())
