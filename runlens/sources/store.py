@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 from runlens.fixed_values import HISTORY_SCHEMA_VERSION, METADATA_DEFAULTS
 from runlens.functions.text import none_if_empty
-from runlens.functions.times import is_run_id
+from runlens.functions.times import is_run_id, parse_timestamp
 from runlens.operators.metrics import contract_violations
 from runlens.operators.reports import api_log
 from runlens.operators.summaries import category_maps, failure_category_counts, run_summaries, unfinished_runs
 from runlens.session import written
+from runlens.sources.folders import read_documents, read_files
 
 STEP_SCHEMA = "name string, action string, target string, status string, duration double, timestamp string, mode string, screenshot string, errorMessage string"
+STEPS = f"array<struct<{STEP_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
 ATTEMPT_SCHEMA = (
-    "attemptNumber int, retry int, repeatEachIndex int, status string, duration double, "
-    f"steps array<struct<{STEP_SCHEMA.replace(' ', ':').replace(',:', ',')}>>, startedAt string, finishedAt string, errorMessage string"
+    "attemptNumber bigint, retry bigint, repeatEachIndex bigint, status string, duration double, "
+    f"steps {STEPS}, startedAt string, finishedAt string, errorMessage string"
 )
 EXECUTION_SCHEMA = (
     "testCase string, status string, duration double, feature string, failureCategory string, errorMessage string, failureScreenshot string, "
-    "traceAvailable boolean, traceFile string, traceSize bigint, retryCount bigint, executionDate string, "
-    f"steps array<struct<{STEP_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
+    "traceAvailable boolean, traceFile string, traceSize bigint, traceModified string, retryCount bigint, currentAttempt bigint, executionDate string, "
+    f"steps {STEPS}, attempts array<struct<{ATTEMPT_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
 )
 API_SCHEMA = "method string, status bigint, duration bigint, url string"
 METADATA_SCHEMA = (
@@ -35,29 +37,11 @@ METADATA_SCHEMA = (
 )
 
 
-def _path_part(pattern: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
-
-
-def _qualified(spark: SparkSession, root: str) -> str:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def _below(spark: SparkSession, root: str, path: Column) -> Column:
-    """The part of a file's path below ``root``, wherever the root's own name occurs again."""
-    return F.substring(path, F.lit(len(_qualified(spark, root)) + 2), F.length(path))
-
-
 def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``folder`` and ``value`` of ``<root>/<folder>/<name>``; no root or no such file is an empty table."""
-    if _is_empty_store(spark, root):
-        return spark.createDataFrame([], "folder string, value string")
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).text(root)
-    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    inside = F.replace(place, F.lit("file:///"), F.lit("file:/"))
-    parts = F.split(_below(spark, root, inside), "/")
-    return texts.select(parts.alias("parts"), "value").where(F.size("parts") == 2).select(F.col("parts")[0].alias("folder"), "value")
+    """``folder`` and ``value`` of ``<root>/<folder>/<name>``; no root or no such file is an empty table, an unreadable file an error."""
+    found = read_documents(spark, root, name).where("read_error IS NULL OR read_error != 'ENOENT'")
+    failed = F.raise_error(F.concat(F.lit("cannot read "), "folder", F.lit(f"/{name}: "), "read_error")).cast("string")
+    return found.select("folder", F.when(F.col("read_error").isNotNull(), failed).otherwise(F.col("content")).alias("value"))
 
 
 def _parse_or_fail(column: Column, schema: str) -> Column:
@@ -71,7 +55,9 @@ def read_executions(spark: SparkSession, root: str) -> DataFrame:
     return records.select(
         "run_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("r.testCase").alias("test_case"), "r.status", "r.duration", "r.feature",
         F.col("r.errorMessage").alias("error_message"), F.col("r.failureCategory").alias("stored_category"), F.col("r.retryCount").alias("retry_count"),
-        F.col("r.traceAvailable").alias("trace_available"), F.col("r.traceFile").alias("trace_file"), F.col("r.traceSize").alias("trace_size"), "r.steps",
+        F.col("r.traceAvailable").alias("trace_available"), F.col("r.traceFile").alias("trace_file"), F.col("r.traceSize").alias("trace_size"),
+        parse_timestamp(F.col("r.traceModified")).alias("trace_modified"), F.col("r.failureScreenshot").alias("failure_screenshot"),
+        parse_timestamp(F.col("r.executionDate")).alias("execution_date"), F.col("r.currentAttempt").alias("current_attempt"), "r.steps", "r.attempts",
     )
 
 
@@ -88,6 +74,16 @@ def _struct(columns: str) -> str:
     return ",".join(out)
 
 
+def read_attempts(executions: DataFrame) -> DataFrame:
+    """Attempts of the records in their order; a record without attempts has none."""
+    return executions.select("run_id", "ordinal", "test_case", F.posexplode("attempts").alias("place", "a")).select(
+        "run_id", "ordinal", "test_case", F.coalesce("a.attemptNumber", (F.col("place") + 1).cast("bigint")).alias("attempt_number"),
+        F.col("a.retry").alias("retry"), F.col("a.repeatEachIndex").alias("repeat_index"), "a.status", "a.duration",
+        F.coalesce(F.size("a.steps"), F.lit(0)).cast("bigint").alias("steps"),
+        parse_timestamp(F.col("a.startedAt")).alias("started_at"), parse_timestamp(F.col("a.finishedAt")).alias("finished_at"), F.col("a.errorMessage").alias("error_message"),
+    )
+
+
 def read_steps(executions: DataFrame) -> DataFrame:
     """Steps of the records, numbered within each record."""
     return executions.select("run_id", "ordinal", "test_case", F.posexplode("steps").alias("step_no", "s")).select(
@@ -116,24 +112,17 @@ def read_metadata(spark: SparkSession, root: str, runs: DataFrame | None = None)
 
 
 def list_run_directories(spark: SparkSession, root: str) -> DataFrame:
-    """Names of the run directories; a missing root is an empty history, any other failure is an error.
-
-    File sources do not show a directory without files, so the one directory level is listed through the
-    file system; names only, one per run.
-    """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [(s.getPath().getName(),) for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
-    return spark.createDataFrame(names, "run_dir string")
+    """Names of the run directories, listed in tasks; a missing root is an empty history, any other failure is an error."""
+    return read_documents(spark, root, "summary.json").select(F.col("folder").alias("run_dir"))
 
 
 def read_summary_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every run directory with its summary text, null when the file is missing: the input of ``scan_history``."""
-    directories = list_run_directories(spark, root)
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "summary.json").option("recursiveFileLookup", True).text(root)
-    found = texts.select(_path_part(r"/([^/]+)/summary\.json$").alias("run_dir"), F.col("value").alias("content"))
-    return directories.join(found, "run_dir", "left").withColumn("read_error", F.lit(None).cast("string"))
+    """Every run directory with its summary text, or with the code of what kept it from being read: the input of ``scan_history``.
+
+    A file of that name further below is an artifact and no summary.
+    """
+    found = read_documents(spark, root, "summary.json").withColumnRenamed("folder", "run_dir")
+    return found.withColumn("read_error", F.expr("nullif(read_error, 'ENOENT')"))
 
 
 def read_api_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -144,42 +133,36 @@ def read_api_logs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_artifact_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below each run directory: run_key, path, size, sha256, modified_at."""
-    if _is_empty_store(spark, root):
-        return spark.createDataFrame([], "run_key string, path string, size bigint, sha256 string, modified_at timestamp")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inside = files.withColumn("inside", _below(spark, root, F.col("path")))
-    return inside.select(
-        F.substring_index("inside", "/", 1).alias("run_key"), F.substring(F.col("inside"), F.locate("/", F.col("inside")) + 1, F.length("inside")).alias("path"),
-        F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"),
-    )
+    """Files below each run directory: run_key, path, size, sha256, modified_at; hashed block by block, whatever their size.
+
+    A file that cannot be read has neither size nor hash.
+    """
+    return read_files(spark, root).select(F.col("folder").alias("run_key"), "path", "size", "sha256", "modified_at")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Manifest entries of all runs; a manifest that cannot be read gives one row without an entry, marked ``CORRUPT_MANIFEST``.
 
-    Run directories with files but without a manifest give one row marked ``MISSING_MANIFEST``.
+    A run directory without a manifest gives one row marked ``MISSING_MANIFEST``.
     """
     entry = "struct<type:string,path:string,availability:boolean,size:bigint,checksum:string>"
-    texts = _texts(spark, root, "manifest.json").withColumnRenamed("folder", "run_key")
-    entries = F.from_json("value", f"artifacts array<{entry}>")["artifacts"]
-    read = texts.select("run_key", entries.alias("entries"))
-    none = F.lit(None).cast(entry)
-    rows = read.select(
-        "run_key", F.explode(F.when(F.col("entries").isNull(), F.array(none)).otherwise(F.col("entries"))).alias("entry"),
-        F.when(F.col("entries").isNull(), "CORRUPT_MANIFEST").alias("manifest_error"),
-    )
-    runs = read_artifact_files(spark, root).where("path != 'manifest.json' AND path != run_key").select("run_key").distinct()
-    missing = runs.join(texts, "run_key", "left_anti").select("run_key", none.alias("entry"), F.lit("MISSING_MANIFEST").alias("manifest_error"))
-    return rows.unionByName(missing).select("run_key", "entry.*", "manifest_error")
+    found = read_documents(spark, root, "manifest.json").withColumnRenamed("folder", "run_key")
+    read = found.withColumn("entries", F.from_json("content", f"artifacts array<{entry}>")["artifacts"])
+    none = F.array(F.lit(None).cast(entry))
+    problem = F.when(F.col("read_error") == "ENOENT", "MISSING_MANIFEST").when(F.col("entries").isNull(), "CORRUPT_MANIFEST")
+    rows = read.select("run_key", F.explode(F.coalesce("entries", none)).alias("entry"), problem.alias("manifest_error"))
+    return rows.select("run_key", "entry.*", "manifest_error")
 
 
 def read_legacy_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Legacy execution files with content and modification time."""
+    """Legacy execution files with content and modification time, under the names they have in the folder; no folder is an empty table."""
+    if _is_empty_store(spark, folder):
+        return spark.createDataFrame([], "name string, content string, modified_at timestamp")
     texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    # The path is a URI: what a name may not hold there is spelled in percent, while a plus sign is itself.
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return texts.select(
-        F.substring_index("_metadata.file_path", "/", -1).alias("name"), F.col("value").alias("content"),
-        F.col("_metadata.file_modification_time").alias("modified_at"),
+        F.substring_index(place, "/", -1).alias("name"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified_at"),
     )
 
 

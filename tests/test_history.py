@@ -1,12 +1,13 @@
 import hashlib
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import history, metrics
 from runlens.operators.metrics import RunQuery
-from runlens.sources import store
+from runlens.sources import folders, store
 
 
 def summary(run_id, **changes):
@@ -48,8 +49,58 @@ def test_five_directories_four_diagnostics(spark, tmp_path):
     assert counters == dict(discovered=5, valid=1, excluded=4, aggregation_excluded=0, matched=1, selected=1)
 
 
+def test_unreadable_summaries_are_rows(spark, tmp_path):
+    root = tmp_path / "runs"
+    write(root, rid(1), "summary.json", summary(rid(1)))
+    # A file of that name among the artifacts is no summary, neither of a run with one nor of a run without.
+    write(root, f"{rid(1)}/artifacts/x", "summary.json", summary(rid(7)))
+    write(root, f"{rid(2)}/artifacts", "summary.json", summary(rid(2)))
+    (root / rid(3) / "summary.json").mkdir(parents=True)
+    (root / rid(4)).mkdir()
+    (root / rid(4) / "summary.json").symlink_to("summary.json")
+    (root / "a file").write_text("x")
+    (root / "caf\u00e9 +%20").mkdir()
+    files = store.read_summary_files(spark, f"file:{root}")
+    scanned = {r.run_dir: (r.code, r.diagnostic and r.diagnostic.error_code) for r in history.scan_history(files).collect()}
+    assert scanned == {rid(1): (None, None), rid(2): ("MISSING_SUMMARY", "ENOENT"), rid(3): ("UNREADABLE_RUN", "EISDIR"), rid(4): ("UNREADABLE_RUN", "UNKNOWN"),
+                       "caf\u00e9 +%20": ("INVALID_SUMMARY", None)}
+
+
+def test_folders_are_shared_out_whole(spark, tmp_path):
+    root = tmp_path / "runs"
+    for k in range(60):
+        write(root, f"r{k}", "summary.json", {"k": k})
+        write(root, f"r0/artifacts/{k % 7}", f"{k}.txt", "x" * k)
+    for shares in (1, 3, 64):
+        found = folders.read_documents(spark, str(root), "summary.json", shares)
+        assert sorted((r.folder, r.content) for r in found.collect()) == sorted((f"r{k}", json.dumps({"k": k})) for k in range(60))
+        sizes = {r.path: r.size for r in folders.read_files(spark, str(root), shares).where("folder = 'r0' AND path LIKE '%.txt'").collect()}
+        assert sizes == {f"artifacts/{k % 7}/{k}.txt": k for k in range(60)}
+
+
+def test_a_large_file_is_hashed_block_by_block(spark, tmp_path):
+    (tmp_path / "r1").mkdir()
+    with open(tmp_path / "r1" / "large.bin", "wb") as file:
+        file.truncate(3 << 30)
+    digest = hashlib.sha256()
+    for _ in range(3 << 6):
+        digest.update(bytes(1 << 24))
+    row = store.read_artifact_files(spark, str(tmp_path)).first()
+    assert (row.path, row.size, row.sha256) == ("large.bin", 3 << 30, digest.hexdigest())
+
+
+def test_files_are_written_inside_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.json", "{}"), ("b/c/y.txt", "\u00e9")], "path string, content string")
+    for _ in range(2):
+        folders.write_files(rows, str(tmp_path))
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["a/x.json", "b/c/y.txt"]
+    assert (tmp_path / "b" / "c" / "y.txt").read_text() == "\u00e9"
+
+
 def test_missing_root_is_an_empty_history(spark, tmp_path):
     assert store.list_run_directories(spark, str(tmp_path / "none")).count() == 0
+    assert store.read_summary_files(spark, str(tmp_path / "none")).count() == 0
+    assert store.read_legacy_files(spark, str(tmp_path / "none")).count() == 0
     files = texts(spark).limit(0)
     assert [r.code for r in history.history_warnings(files).collect()] == ["EMPTY_HISTORY"]
 
@@ -126,6 +177,9 @@ def test_legacy_files(spark, tmp_path):
     (folder / "a.json").write_text(json.dumps([record, dict(record, duration=0.2)]))
     (folder / "b.json").write_text(json.dumps({"execution": [record], "metadata": {"executionStartTime": "2024-01-01T00:00:00Z"}}))
     (folder / "c.json").write_text("{ broken")
+    (folder / "d e%20f+g.json").write_text("[]")
+    assert {r.name for r in store.read_legacy_files(spark, str(folder)).collect()} == {"a.json", "b.json", "c.json", "d e%20f+g.json"}
+    (folder / "d e%20f+g.json").unlink()
     sources = history.legacy_sources(store.read_legacy_files(spark, str(folder)))
     state = spark.createDataFrame([], "name string, content_hash string")
     content = hashlib.sha256((folder / "b.json").read_bytes()).hexdigest()
@@ -172,6 +226,14 @@ def test_file_readers(spark, tmp_path):
     records = store.read_executions(spark, str(root))
     assert [(r.run_id, r.ordinal, r.test_case) for r in records.orderBy("ordinal").collect()] == [("r1", 0, "a"), ("r1", 1, "b")]
     assert [(r.step_no, r.name) for r in store.read_steps(records).collect()] == [(1, "s")]
+    shot = {"testCase": "c", "status": "FAIL", "failureScreenshot": "c.png", "executionDate": "2024-01-01T00:00:00Z", "traceModified": "2024-01-01T00:00:09Z",
+            "attempts": [{"attemptNumber": 1, "retry": 0, "status": "FAIL", "startedAt": "2024-01-01T00:00:01Z", "steps": [{"name": "s"}]}, {"retry": 1, "status": "PASS"}]}
+    write(root, "r3", "execution.json", [shot])
+    again = store.read_executions(spark, str(root)).where("run_id = 'r3'")
+    row = again.first()
+    assert (row.failure_screenshot, row.execution_date, row.trace_modified) == ("c.png", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 9))
+    got = [(r.attempt_number, r.retry, r.status, r.steps, r.started_at) for r in store.read_attempts(again).orderBy("attempt_number").collect()]
+    assert got == [(1, 0, "FAIL", 1, datetime(2024, 1, 1, 0, 0, 1)), (2, 1, "PASS", 0, None)]
     meta = store.read_metadata(spark, str(root)).first()
     assert (meta.project, meta.browser, meta.environment, meta.executed_by) == ("Shop", "chromium", "QA", "Automation Framework")
     both = store.read_metadata(spark, str(root), spark.createDataFrame([("r1",), ("r9",)], "run_id string"))
