@@ -5,12 +5,14 @@ of its own. Two groups are compatible when they share a suite and also share a s
 type, or differ in category.
 
 Records are reduced to distinct (group, kind, token) rows first. Which groups share a token is then kept
-as bit masks over group numbers, so no pair of groups and no set of suites is ever listed; only the
-groups of one run, a handful of rule keys, meet in one row for the final ordered fold.
+as bit masks over group numbers, so no pair of groups and no set of suites is ever listed. At most 63 groups
+of a run meet in one row for the ordered fold; a run with more is taken in rounds over its masks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +100,11 @@ def group_profiles(classified: DataFrame) -> DataFrame:
     )
 
 
-def compatible_earlier(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """For each group, the ascending numbers of the earlier groups of its run it is compatible with."""
+def compatibility(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """``run_id``, ``group_no``, ``word`` and ``compatible``: a bit for each earlier group of the run that a group is compatible with.
+
+    Bit ``k`` of a word stands for group ``63 * word + k``; words without a bit are left out.
+    """
     by_category = groups.select("run_id", "group_no", F.lit("category").alias("kind"), F.col("category").alias("token"))
     shared = tokens.filter(F.col("kind").isin("suite", "stack", "type")).select("run_id", "group_no", "kind", "token")
     placed = shared.unionByName(by_category)
@@ -116,6 +121,18 @@ def compatible_earlier(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     compatible = F.col("suite").bitwiseAND(
         F.col("stack").bitwiseOR(F.col("type")).bitwiseOR(F.bitwise_not(F.col("category")))
     )
+    base = F.col("word") * WORD
+    ahead = F.expr(f"CASE WHEN group_no - word * {WORD} >= {WORD} THEN {(1 << WORD) - 1}L ELSE shiftleft(1L, cast(group_no - word * {WORD} AS int)) - 1 END")
+    earlier = masks.filter(base < F.col("group_no")).withColumn("compatible", compatible.bitwiseAND(ahead))
+    return earlier.filter("compatible != 0").select("run_id", "group_no", "word", "compatible")
+
+
+def compatible_earlier(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+    """For each group, the ascending numbers of the earlier groups of its run it is compatible with."""
+    return _listed(compatibility(tokens, groups))
+
+
+def _listed(masks: DataFrame) -> DataFrame:
     base = F.col("word") * WORD
     places = F.sequence(base, F.least(base + WORD, F.col("group_no")))
     hits = F.filter(
@@ -123,22 +140,61 @@ def compatible_earlier(tokens: DataFrame, groups: DataFrame) -> DataFrame:
         lambda i: (i < F.col("group_no")) & (i < base + WORD)
         & (F.call_function("shiftrightunsigned", F.col("compatible"), i - base).bitwiseAND(1) == 1),
     )
-    return (
-        masks.withColumn("compatible", compatible)
-        .filter(base < F.col("group_no"))
-        .withColumn("earlier", hits)
-        .filter(F.size("earlier") > 0)
-        .groupBy("run_id", "group_no")
-        .agg(F.flatten(F.array_sort(F.collect_list("earlier"))).alias("earlier"))
-    )
+    return masks.withColumn("earlier", hits).groupBy("run_id", "group_no").agg(F.flatten(F.array_sort(F.collect_list("earlier"))).alias("earlier"))
 
 
 def assign_leaders(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """The leader of every group, by an ordered fold over the groups of a run."""
+    """``leader`` of every group, and its ``number`` among the leaders of the run.
+
+    Runs whose groups fit one word of bits are folded in order, each in a row of at most 63 groups. The others are taken in rounds.
+    """
     numbers = groups.select("run_id", "group_no")
+    masks = compatibility(tokens, groups)
+    large = numbers.groupBy("run_id").agg(F.count("*").alias("n")).filter(F.col("n") > WORD).select("run_id")
+    if large.isEmpty():
+        return _by_fold(numbers, masks)
+    masks = written(masks)
+    small = (numbers.join(large, "run_id", "left_anti"), masks.join(large, "run_id", "left_anti"))
+    return _by_fold(*small).unionByName(leaders_in_rounds(numbers.join(large, "run_id"), masks.join(large, "run_id")))
+
+
+def _bits(groups: DataFrame) -> DataFrame:
+    """The groups of each run as bits of words."""
+    return groups.groupBy("run_id", F.floor(F.col("group_no") / WORD).cast("int").alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, group_no % {WORD}))").alias("bits"))
+
+
+def leaders_in_rounds(groups: DataFrame, masks: DataFrame) -> DataFrame:
+    """As the ordered fold, for runs of any number of groups.
+
+    In each round the open groups that are compatible with no earlier open group become leaders, and the groups compatible with them
+    close. A group's leader is chosen at the end, as an earlier one may turn out to be a leader later. Groups meet as bits, so no row
+    holds the groups of a run.
+    """
+    open_, masks, found = written(groups), written(masks), []
+    while not open_.isEmpty():
+        blocked = masks.join(open_, ["run_id", "group_no"], "left_semi").join(_bits(open_), ["run_id", "word"]).filter(
+            F.col("compatible").bitwiseAND(F.col("bits")) != 0).select("run_id", "group_no").distinct()
+        leaders = written(open_.join(blocked, ["run_id", "group_no"], "left_anti"))
+        found.append(leaders)
+        closed = masks.join(_bits(leaders), ["run_id", "word"]).filter(F.col("compatible").bitwiseAND(F.col("bits")) != 0)
+        gone = closed.select("run_id", "group_no").union(leaders).distinct()
+        open_ = written(open_.join(gone, ["run_id", "group_no"], "left_anti"))
+    leaders = reduce(DataFrame.union, found)
+    hits = F.col("compatible").bitwiseAND(F.col("bits"))
+    lowest = F.bit_count(hits.bitwiseAND(-hits) - 1)
+    joined = masks.join(_bits(leaders), ["run_id", "word"]).filter(hits != 0).groupBy("run_id", "group_no").agg(
+        F.min(F.col("word") * WORD + lowest).cast("int").alias("leader"))
+    order = Window.partitionBy("run_id").orderBy("group_no")
+    numbered = leaders.withColumn("number", F.row_number().over(order).cast("bigint")).withColumnRenamed("group_no", "leader")
+    led = groups.join(joined, ["run_id", "group_no"], "left").withColumn("leader", F.coalesce("leader", "group_no"))
+    return led.join(numbered, ["run_id", "leader"]).select("run_id", "group_no", "leader", "number")
+
+
+def _by_fold(numbers: DataFrame, masks: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     listed = (
-        numbers.join(compatible_earlier(tokens, groups), ["run_id", "group_no"], "left")
+        numbers.join(_listed(masks), ["run_id", "group_no"], "left")
         .groupBy("run_id")
         .agg(F.array_sort(F.collect_list(F.struct("group_no", F.coalesce("earlier", none).alias("earlier")))).alias("groups"))
     )

@@ -321,6 +321,29 @@ def get_run(runs: DataFrame, run_key: str) -> DataFrame:
     return runs.filter(test)
 
 
+def oldest_kept(runs: DataFrame, max_runs: int) -> tuple | None:
+    """``started_at`` in microseconds and ``run_key`` of the newest run but ``max_runs - 1``; null where there are no more runs than that.
+
+    Runs are counted by day, those of the day on the border by second, and only the runs of one second are put in order. The driver
+    sees one number for each day, and for each second of one day.
+    """
+    for unit in ("DAY", "SECOND"):
+        start = F.date_trunc(unit, "started_at")
+        counts = runs.groupBy(F.unix_seconds(start).alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("at")).collect()
+        border = None
+        for row in counts:
+            if row["n"] >= max_runs:
+                border = row["at"]
+                break
+            max_runs -= row["n"]
+        else:
+            return None
+        runs = runs.filter(F.unix_seconds(start).eqNullSafe(F.lit(border).cast("bigint")))
+    last = runs.select("started_at", "run_key").orderBy(F.desc_nulls_last("started_at"), F.desc_nulls_last("run_key")).limit(max_runs)
+    row = last.agg(F.min(F.struct(F.unix_micros("started_at").alias("at"), "run_key")).alias("m")).first()["m"]
+    return row["at"], row["run_key"]
+
+
 def retention_plan(runs: DataFrame, max_runs: int | None = None, max_age_days: float | None = None, as_of=None) -> DataFrame:
     """Runs to drop: all but the newest ``max_runs``, and those older than ``max_age_days`` at ``as_of``."""
     if max_runs is not None and (isinstance(max_runs, bool) or not isinstance(max_runs, int) or max_runs < 0):
@@ -331,15 +354,28 @@ def retention_plan(runs: DataFrame, max_runs: int | None = None, max_age_days: f
     if max_runs == 0:
         drop = F.lit(True)
     elif max_runs is not None:
-        kept = runs.select("started_at", "run_key").orderBy(F.desc("started_at"), F.desc("run_key")).limit(max_runs)
-        oldest_kept = kept.agg(F.min(F.struct("started_at", "run_key"))).scalar()
-        drop = F.struct("started_at", "run_key") < oldest_kept
+        oldest = oldest_kept(runs, max_runs)
+        if oldest is not None:
+            drop = F.struct("started_at", "run_key") < F.struct(F.timestamp_micros(F.lit(oldest[0]).cast("bigint")), F.lit(oldest[1]).cast("string"))
     if max_age_days is not None:
         age_ms = int(max_age_days * 86400000)
         drop = drop | (F.unix_millis("started_at") < F.unix_millis(F.lit(as_of).cast("timestamp")) - age_ms)
     return runs.filter(drop)
 
 
+def retention_fates(scanned: DataFrame, max_runs: int | None = None, max_age_days: float | None = None, as_of=None) -> DataFrame:
+    """What retention does with every run directory of ``scan_history``: ``deleted``, ``kept``, or ``skipped`` with the code of what is wrong.
+
+    A run that cannot be read as a valid one is never deleted, and does not count among the newest.
+    """
+    c = F.col
+    valid = scanned.filter(c("code").isNull()).select(c("run_dir").alias("run_key"), parse_stored_timestamp(c("timestamp")).alias("started_at"))
+    dropped = retention_plan(valid, max_runs, max_age_days, as_of).select(c("run_key").alias("dropped"))
+    joined = scanned.select("run_dir", "code").join(dropped, c("run_dir") == c("dropped"), "left")
+    outcome = F.when(c("code").isNotNull(), "skipped").when(c("dropped").isNotNull(), "deleted").otherwise("kept")
+    return joined.select("run_dir", outcome.alias("outcome"), "code")
+
+
 def apply_retention(runs: DataFrame, dropped: DataFrame) -> DataFrame:
     return runs.join(dropped.select("run_key"), "run_key", "left_anti")
 

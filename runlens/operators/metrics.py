@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -283,3 +284,67 @@ def contract_violations(rows: DataFrame) -> DataFrame:
     }
     broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
     return rows.withColumn("rules", broken).filter(F.size("rules") > 0)
+
+
+def _rows_of(broken: DataFrame, level: str, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """One row for each rule that a row breaks: level, key, rule."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in rules.items()]))
+    return broken.select(F.lit(level).alias("level"), key.cast("string").alias("key"), F.explode(names).alias("rule"))
+
+
+def level_violations(groups: DataFrame, source: DataFrame, runs: DataFrame, dimension: str) -> DataFrame:
+    """What contradicts itself or another level of one result: ``level`` (group, total, source), ``key`` and ``rule``.
+
+    ``groups``: rows of ``group_runs`` with their total. ``source``: counters of ``source_counters``, one row. ``runs``: the selected run
+    rows. Runs are added up for all groups and for the whole in one pass, and each sum is compared with the row that states it.
+    """
+    c = F.col
+    safe = lambda *names: F.coalesce(F.least(*names) < 0, F.lit(True)) | (F.greatest(*names) > MAX_SAFE_INTEGER)
+    is_time = check_dimension(dimension) in TIME_DIMENSIONS
+    expected = rate(c("passed"), c("tests"))
+    own = {
+        "COUNT_RANGE": safe("run_count", "tests", "passed"),
+        "PASSED_ABOVE_TESTS": c("passed") > c("tests"),
+        "RATE_WITHOUT_TESTS": (c("tests") == 0) & c("weighted_pass_rate").isNotNull(),
+        "RATE_CONTRADICTS_TOTALS": (c("tests") > 0) & ~c("weighted_pass_rate").eqNullSafe(expected),
+        "AVERAGE_RATE_RANGE": ~c("average_run_pass_rate").between(0, 100),
+    }
+    named = {"LABEL_LENGTH": F.length("label") > 512, "LABEL_MISSING": c("label").isNull()}
+    if is_time:
+        named["START_NOT_BEFORE_END"] = ~F.coalesce(c("start") < c("end_exclusive"), F.lit(False))
+    value = group_value(dimension)
+    summed = runs.withColumn("value", value).groupingSets([["value"], []], "value").agg(
+        F.grouping("value").alias("whole"), F.count("*").alias("r_runs"), F.sum("total").alias("r_tests"), F.sum("passed").alias("r_passed"))
+    key = bucket_key(dimension, c("value")) if is_time else c("value").cast("string")
+    stated = summed.select((c("whole") == 1).alias("r_total"), key.alias("r_key"), "r_runs", "r_tests", "r_passed")
+    met = groups.join(stated, (c("is_total") == c("r_total")) & c("key").eqNullSafe(c("r_key")), "full")
+    differs = {
+        "NO_RUNS_OF_GROUP": c("r_total").isNull() & (c("run_count") > 0),
+        "GROUP_MISSING": c("is_total").isNull() & (c("r_runs") > 0),
+        "DIFFERS_FROM_RUNS": c("is_total").isNotNull() & c("r_total").isNotNull() & (
+            F.struct("run_count", "tests", "passed") != F.struct(c("r_runs"), F.coalesce("r_tests", F.lit(0)).alias("t"), F.coalesce("r_passed", F.lit(0)).alias("p"))),
+    }
+    parts = groups.filter(~c("is_total")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"g_{x}") for x in ("run_count", "tests", "passed")])
+    # Sums of all groups, the total row and the counters are one row each.
+    whole = groups.filter("is_total").select(*[c(x).alias(f"t_{x}") for x in ("run_count", "tests", "passed")])
+    one = parts.unionByName(whole, allowMissingColumns=True).unionByName(source.withColumn("s", F.lit(1)), allowMissingColumns=True)
+    one = one.agg(*[F.max(x).alias(x) for x in one.columns])
+    counters = ("discovered", "valid", "excluded", "aggregation_excluded", "matched", "selected")
+    between = {
+        "TOTAL_DIFFERS_FROM_GROUPS": F.struct("t_run_count", "t_tests", "t_passed") != F.struct("g_run_count", "g_tests", "g_passed"),
+    }
+    sources = {
+        "COUNTER_RANGE": safe(*counters),
+        "DISCOVERED_SUM": c("discovered") != c("valid") + c("excluded"),
+        "AGGREGATION_EXCLUDED_ABOVE_VALID": c("aggregation_excluded") > c("valid"),
+        "SELECTED_ABOVE_MATCHED": c("selected") > c("matched"),
+        "MATCHED_ABOVE_USABLE": c("matched") > c("valid") - c("aggregation_excluded"),
+        "SELECTED_DIFFERS_FROM_GROUPS": c("selected") != c("g_run_count"),
+    }
+    found = [
+        _rows_of(groups.filter(~c("is_total")), "group", c("key"), {**own, **named}),
+        _rows_of(groups.filter("is_total"), "total", F.lit(None), own),
+        _rows_of(met, "runs", F.coalesce("key", "r_key"), differs),
+        _rows_of(one, "total", F.lit(None), between), _rows_of(one, "source", F.lit(None), sources),
+    ]
+    return reduce(DataFrame.union, found)

@@ -92,9 +92,16 @@ def new_run_summaries(spark, sf_dir):
 
 
 def run_lookup(spark, sf_dir):
-    records = tables.executions(spark, sf_dir).filter(F.col("run_id") == 7)
-    runs = tables.runs(spark, sf_dir).filter(F.col("run_id") == 7)
-    return summaries.run_summaries(records, runs).select("run_key", "total", "passed", "total_duration", "project")
+    """All parts of the newest run: its summary, its number of records and the time of its metadata."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
+    keyed = records.join(runs.select("run_id", "run_key"), "run_id").select("run_key", "ordinal", "test_case", "status", "duration")
+    metadata = runs.select("run_key", "project", "feature", "environment", "browser", "executed_by", "ended_at")
+    store.write_run_parts({"summary": store.summary_rows(records, runs), "records": keyed, "metadata": metadata}, path)
+    parts = store.get_run_parts(spark, path, history.latest_run(runs).first()["run_key"])
+    counted = parts["records"].groupBy("run_key").agg(F.count("*").alias("records"))
+    return parts["summary"].select("run_key", "total", "passed", "total_duration", "project").join(counted, "run_key").join(
+        parts["metadata"].select("run_key", times.iso_text(F.col("ended_at")).alias("ended_at")), "run_key")
 
 
 def appended_runs(spark, sf_dir):
@@ -103,7 +110,8 @@ def appended_runs(spark, sf_dir):
     records = records.withColumn("status", F.when(F.col("ordinal") % 1009 == 0, "running").otherwise(F.col("status")))
     store.append_runs(records, runs.filter(F.col("run_id") % 2 == 0), path)
     store.append_runs(records, runs, path)
-    return spark.read.parquet(path).select("run_key", "total", "passed", "pass_rate", F.col("run_month").cast("string").alias("run_month"))
+    table = store.read_summaries(spark, path, store.summary_rows(records, runs).schema)
+    return table.select("run_key", "total", "passed", "pass_rate", "run_month")
 
 
 def append_outcomes(spark, sf_dir):
@@ -379,8 +387,9 @@ ORACLES = {
     "retention_kept": S.with_ctes("runs", "SELECT run_key FROM runs WHERE started_at >= TIMESTAMP '2001-08-01' - to_hours(CAST(730.5 * 24 AS BIGINT))"),
     "new_run_summaries": S.with_ctes("summaries", f"""
         SELECT run_key, total, passed, coalesce({S.rate('passed', 'total')}, 0.0) AS pass_rate FROM summaries WHERE run_id % 3 <> 0"""),
-    "run_lookup": S.with_ctes("summaries", """
-        SELECT run_key, total, passed, CAST(total_duration AS DOUBLE) AS total_duration, project FROM summaries WHERE run_id = 7"""),
+    "run_lookup": S.with_ctes("summaries", f"""
+        SELECT s.run_key, total, passed, CAST(total_duration AS DOUBLE) AS total_duration, s.project, total AS records, {S.iso('r.ended_at')} AS ended_at
+        FROM summaries s JOIN runs r USING (run_id) ORDER BY r.started_at DESC, s.run_key DESC LIMIT 1"""),
     "appended_runs": S.with_ctes("summaries", f"""
         SELECT run_key, total, passed, coalesce({S.rate('passed', 'total')}, 0.0) AS pass_rate, strftime(started_at, '%Y-%m') AS run_month FROM summaries
         WHERE run_id NOT IN (SELECT run_id FROM executions WHERE ordinal % 1009 = 0)"""),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runlens.functions.times import iso_text
 from runlens.plans import sql as S
 from runlens.plans.history_queries import LEGACY_SQL
+from runlens.plans.report_queries import ORACLES as REPORT_ORACLES
 from runlens.plans.report_queries import lifecycle_sql
 from runlens.session import shared_dir
 from runlens.sources import tables
@@ -41,6 +42,23 @@ def stream_test_records(spark, sf_dir):
     return records.withColumn("execution_date", iso_text(F.col("execution_date")))
 
 
+def stream_shuffled_records(spark, sf_dir):
+    """The same events in five micro-batches of any order, so that steps and completions come before the starts they follow."""
+    folder = _folder(spark)
+    events = tables.lifecycle_events(spark, sf_dir)
+    share = F.pmod(F.xxhash64("seq"), F.lit(5))
+    for k in range(5):
+        events.filter(share == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    # A test may be silent for days here: it ends with its run alone.
+    records = stream.stream_test_records(source, folder, idle_ms=100 * 24 * stream.HOUR_MS)
+    return records.withColumn("execution_date", iso_text(F.col("execution_date")))
+
+
+def stream_run_failures(spark, sf_dir):
+    return stream.stream_run_failures(_events(spark, sf_dir), _folder(spark))
+
+
 def _ingested(spark, sf_dir):
     folder = _folder(spark)
     tables.legacy_files(spark, sf_dir).drop("key").write.parquet(f"{folder}/files")
@@ -64,6 +82,8 @@ QUERIES = {
     "stream_coverage": stream_coverage,
     "stream_failure_counts": stream_failure_counts,
     "stream_test_records": stream_test_records,
+    "stream_shuffled_records": stream_shuffled_records,
+    "stream_run_failures": stream_run_failures,
     "stream_legacy_ingest": stream_legacy_ingest,
     "stream_legacy_store": stream_legacy_store,
 }
@@ -87,3 +107,5 @@ ORACLES = {
                CASE WHEN error IS NULL THEN strftime(created_at, '%Y%m%d-%H%M%S-%g') || '-' || right(identity, 8) END AS run_key FROM legacy""",
         legacy=LEGACY_SQL),
 }
+ORACLES["stream_shuffled_records"] = ORACLES["stream_test_records"]
+ORACLES["stream_run_failures"] = REPORT_ORACLES["completion_categories"]

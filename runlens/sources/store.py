@@ -5,16 +5,20 @@ History layout: ``<root>/<run id>/{summary,execution,metadata,manifest}.json`` w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.fixed_values import HISTORY_SCHEMA_VERSION, METADATA_DEFAULTS
 from runlens.functions.text import none_if_empty
 from runlens.functions.times import is_run_id, parse_timestamp
+from runlens.operators.history import retention_plan
 from runlens.operators.metrics import contract_violations
 from runlens.operators.reports import api_log
 from runlens.operators.summaries import category_maps, failure_category_counts, run_summaries, unfinished_runs
 from runlens.session import written
+from runlens.sources import run_table
 from runlens.sources.folders import read_documents, read_files
 
 STEP_SCHEMA = "name string, action string, target string, status string, duration double, timestamp string, mode string, screenshot string, errorMessage string"
@@ -172,9 +176,14 @@ def _is_empty_store(spark: SparkSession, path: str) -> bool:
 
 
 def read_summaries(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The run-summary table, partitioned by start month so that time filters prune it."""
+    """The run-summary table, partitioned by start month so that time filters prune it: what its newest snapshot names.
+
+    A table without snapshots is read as it lies there.
+    """
     if _is_empty_store(spark, path):
         return spark.createDataFrame([], schema)
+    if not _is_empty_store(spark, f"{path}/{run_table.SNAPSHOTS}"):
+        return run_table.read(spark, path, schema)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -189,25 +198,36 @@ def summary_rows(executions: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def _key_months(rows: DataFrame) -> DataFrame:
+    """The months in which runs with these keys may have started: that of the date in the key, the one before and the one after."""
+    dated = rows.filter(is_run_id(F.col("run_key"))).select(F.try_to_timestamp(F.concat(F.substring("run_key", 1, 6), F.lit("01")), F.lit("yyyyMMdd")).alias("month"))
+    near = F.array(*(F.date_format(F.add_months("month", k), "yyyy-MM") for k in (-1, 0, 1)))
+    return dated.select(F.explode(near).alias("run_month")).distinct()
+
+
 def append_outcomes(executions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
     """What becomes of each run that is to be appended: run_id, run_key, outcome, detail.
 
-    ``unfinished``: a record is still running or of unknown status. ``invalid``: no proper key, an end before the start, or counts
-    that contradict each other. ``duplicate``: the table, or a run with a smaller id of the same call, has the key.
-    Only the months of the call are looked up in the table.
+    ``unfinished``: a record is still running or of unknown status. ``invalid``: no proper key, a key whose date is more than a month
+    from the start, an end before the start, or counts that contradict each other. ``duplicate``: the table, or a run with a smaller id
+    of the same call, has the key, whatever its start was then. Only months that may hold the keys are looked up.
     """
-    c = F.col
     rows = summary_rows(executions, runs)
-    stored = read_summaries(executions.sparkSession, path, rows.schema)
-    months = rows.select("run_month").distinct()
-    stored = stored.join(months, "run_month", "left_semi").select("run_key").distinct().withColumn("is_stored", F.lit(True))
+    return _outcomes(rows, unfinished_runs(executions), read_summaries(executions.sparkSession, path, rows.schema))
+
+
+def _outcomes(rows: DataFrame, unfinished: DataFrame, table: DataFrame) -> DataFrame:
+    c = F.col
+    stored = table.join(_key_months(rows), "run_month", "left_semi").select("run_key").distinct().withColumn("is_stored", F.lit(True))
     bad = contract_violations(rows.withColumn("pass_rate", F.when(c("total") > 0, c("pass_rate")))).select("run_id", F.array_join("rules", ",").alias("broken"))
-    unfinished = unfinished_runs(executions).select("run_id", c("first_status"))
+    unfinished = unfinished.select("run_id", c("first_status"))
+    key_month = F.try_to_timestamp(F.concat(F.substring("run_key", 1, 6), F.lit("01")), F.lit("yyyyMMdd"))
     judged = rows.join(bad, "run_id", "left").join(unfinished, "run_id", "left").join(stored, "run_key", "left")
     problem = (
         F.when(~F.coalesce(is_run_id(c("run_key")), F.lit(False)), "RUN_ID")
         .when(c("started_at").isNull() | c("ended_at").isNull(), "TIME")
         .when(c("ended_at") < c("started_at"), "END_BEFORE_START")
+        .when(~F.coalesce(F.abs(F.months_between(key_month, F.date_trunc("MONTH", "started_at"))) <= 1, F.lit(False)), "RUN_ID_MONTH")
         .otherwise(c("broken"))
     )
     judged = judged.withColumn("problem", problem)
@@ -220,16 +240,73 @@ def append_outcomes(executions: DataFrame, runs: DataFrame, path: str) -> DataFr
     return judged.withColumn("outcome", outcome).select("run_id", "run_key", "outcome", F.coalesce("first_status", "problem").alias("detail"))
 
 
-def append_runs(executions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+#: Times an append looks again at a table that other writers keep changing.
+APPEND_TRIES = 50
+
+
+def append_runs(executions: DataFrame, runs: DataFrame, path: str, batch: str | None = None) -> DataFrame:
     """Append the summaries of new, finished and valid runs; returns the outcome of every run, none is left out silently.
 
-    Repeating the call adds nothing, so an interrupted append can be run again.
+    Repeating the call adds nothing, so an interrupted append can be run again. Several writers may append at once: the rows of a call
+    become visible together, when no other writer has changed the table since its keys were looked up; else they are looked up
+    again. A call that is repeated under the name ``batch`` replaces the files that its first run left without becoming visible.
+    """
+    spark = executions.sparkSession
+    # Summaries do not depend on what is stored.
+    rows, unfinished = written(summary_rows(executions, runs)), written(unfinished_runs(executions))
+    own = batch or uuid.uuid4().hex
+    for attempt in range(APPEND_TRIES):
+        number, live = run_table.snapshot(spark, path)
+        table = run_table.read(spark, path, rows.schema, live) if number else read_summaries(spark, path, rows.schema)
+        outcomes = written(_outcomes(rows, unfinished, table))
+        published = outcomes.where("outcome = 'published'").select("run_id", "run_key")
+        if published.isEmpty():
+            return outcomes
+        name = f"{own}-{number}"
+        added = run_table.write_batch(rows.join(published, ["run_id", "run_key"], "left_semi"), path, name)
+        if run_table.commit(spark, path, number + 1, live + added):
+            return outcomes
+        run_table.drop_batch(spark, path, name)
+    raise RuntimeError(f"the table at {path} was changed by others {APPEND_TRIES} times; the append can be repeated")
+
+
+def retain_runs(spark: SparkSession, path: str, schema, max_runs: int | None = None, max_age_days: float | None = None, as_of=None) -> DataFrame:
+    """Delete what ``retention_plan`` drops from the table and return the fate of every run: run_key, outcome (``deleted`` or ``kept``).
+
+    Only months with dropped runs are written anew. Until the new snapshot is there, readers see the old table, whatever happens.
     """
-    outcomes = written(append_outcomes(executions, runs, path))
-    published = outcomes.where("outcome = 'published'").select("run_id", "run_key")
-    fresh = summary_rows(executions, runs).join(published, ["run_id", "run_key"], "left_semi")
-    fresh.write.partitionBy("run_month").mode("append").parquet(path)
-    return outcomes
+    for attempt in range(APPEND_TRIES):
+        table = read_summaries(spark, path, schema)
+        dropped = written(retention_plan(table, max_runs, max_age_days, as_of).select("run_key", "run_month"))
+        fates = written(table.select("run_key").join(dropped.select("run_key", F.lit("deleted").alias("outcome")), "run_key", "left").select(
+            "run_key", F.coalesce("outcome", F.lit("kept")).alias("outcome")))
+        if run_table.rewrite_without(spark, path, table.schema, dropped):
+            return fates
+    raise RuntimeError(f"the table at {path} was changed by others {APPEND_TRIES} times; retention can be repeated")
+
+
+#: Folders that the parts of runs are dealt over by a hash of their key.
+BUCKETS = 64
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_run_parts(parts: dict[str, DataFrame], path: str) -> None:
+    """Write tables that have a ``run_key`` - summaries, records, metadata, manifests - under their names, all dealt by the same hash."""
+    for name, frame in parts.items():
+        dealt = frame.withColumn("bucket", _bucket(F.col("run_key")))
+        dealt.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/{name}")
+
+
+def get_run_parts(spark: SparkSession, path: str, run_key: str) -> dict[str, DataFrame]:
+    """All parts of one run, whatever its month; of each table the one folder is read that may hold the key."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    bucket = spark.range(1).select(_bucket(F.lit(run_key))).first()[0]
+    return {name: spark.read.parquet(f"{path}/{name}").filter((F.col("bucket") == bucket) & (F.col("run_key") == run_key)).drop("bucket") for name in names}
 
 
 def save_api_logs(calls: DataFrame, path: str) -> None:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import clusters, failures, summaries
@@ -107,3 +110,44 @@ def test_summary_of_live_run(spark):
                                  "run_id string, duration double, status string, trace_available boolean")
     row = summaries.current_summaries(data).first()
     assert (row.total, row.passed, row.failed, row.skipped, row.pass_rate, row.total_duration) == (3, 1, 1, 1, "33.33", 1.3)
+
+
+def plain_leaders(tokens):
+    """Leaders by going through the groups in order; tokens: {group: (category, suites, stacks, types)}."""
+    leaders, out = [], {}
+    for g in sorted(tokens):
+        c, suites, stacks, types = tokens[g]
+        fits = [h for h in leaders if suites & tokens[h][1] and (stacks & tokens[h][2] or types & tokens[h][3] or c != tokens[h][0])]
+        out[g] = fits[0] if fits else g
+        leaders += [] if fits else [g]
+    return {g: (leader, leaders.index(leader) + 1) for g, leader in out.items()}
+
+
+def token_rows(run, tokens):
+    return [(run, g, c, f"s{g}", 1, kind, t) for g, (c, *sets) in tokens.items() for kind, values in zip(("suite", "stack", "type"), sets) for t in values]
+
+
+TOKENS = "run_id string, group_no int, category string, signature string, occurrences bigint, kind string, token string"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_in_rounds_are_those_of_the_fold(spark, seed):
+    rng = random.Random(seed)
+
+    def some(name, number, most):
+        return {f"{name}{rng.randint(0, number)}" for _ in range(rng.randint(0, most))}
+
+    runs = {f"r{n}": {g: (rng.choice("abc"), some("u", 6, 2), some("k", 20, 2), some("t", 30, 1) | {f"own{g % 90}"}) for g in range(n)} for n in (3, 40, 63, 64, 150)}
+    tokens = spark.createDataFrame([row for run, own in runs.items() for row in token_rows(run, own)], TOKENS)
+    groups = clusters.groups_of(tokens)
+    expected = {(run, g): found for run, own in runs.items() for g, found in plain_leaders(own).items()}
+    assert {(r.run_id, r.group_no): (r.leader, r.number) for r in clusters.assign_leaders(tokens, groups).collect()} == expected
+    rounds = clusters.leaders_in_rounds(groups.select("run_id", "group_no"), clusters.compatibility(tokens, groups))
+    assert {(r.run_id, r.group_no): (r.leader, r.number) for r in rounds.collect()} == expected
+
+
+def test_a_run_of_thousands_of_foreign_categories(spark):
+    tokens = {g: (f"c{g}", {f"u{g % 700}", f"v{g // 1000}"}, {f"k{g % 50}"}, {f"t{g}"}) for g in range(5000)}
+    frame = spark.createDataFrame(token_rows("r", tokens), TOKENS)
+    found = clusters.assign_leaders(frame, clusters.groups_of(frame))
+    assert {r.group_no: (r.leader, r.number) for r in found.collect()} == plain_leaders(tokens)

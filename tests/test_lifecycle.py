@@ -1,3 +1,5 @@
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -83,15 +85,51 @@ def test_stream_over_several_batches_equals_the_batch_fold(spark, events, tmp_pa
         assert row.closed == ("expired" if name in "bz" else "completed")
 
 
-@pytest.mark.parametrize("order", [(1, 2, 3), (1, 3, 2), (3, 2, 1)])
-def test_stream_does_not_depend_on_the_order_of_batches(spark, order):
-    rows = {1: event(1, "a", "test_start", 0, retry=0), 2: event(2, "a", "complete", 5, status="FAIL", duration=1.0, error_message="Timeout"),
-            3: event(3, "a", "complete", 10, status="PASS", duration=2.0)}
-    state = spark.createDataFrame([], stream.STATE_SCHEMA)
-    for k in order:
-        state = stream.merge_state(state, spark.createDataFrame([rows[k]], SCHEMA))
-    (record,) = stream.closed_records(state).collect()
-    assert (record.status, record.duration, record.error_message, record.failure_category, record.attempt) == ("PASSED", 2.0, "Timeout", "TIMEOUT_FAILURE", 1)
+FIELDS = ("status", "duration", "error_message", "failure_category", "steps", "retry_count", "execution_date")
+
+
+def streamed(spark, batches, folder, **options):
+    """Records of a stream that takes each list of events in a micro-batch of its own."""
+    source = str(folder / "in")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
+    frame = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    rows = stream.stream_test_records(frame, str(folder / "out"), **options).collect()
+    return {(r.test_case, r.execution_date) if options.get("finish") is False else r.test_case: (r.attempt, *(r[f] for f in FIELDS)) for r in rows}
+
+
+def folded(spark, batches):
+    rows = lifecycle.test_records(lifecycle.fold_attempts(spark.createDataFrame([r for b in batches for r in b], SCHEMA))).collect()
+    return {r.test_case: (r.attempts, *(r[f] for f in FIELDS)) for r in rows}
+
+
+LATE = {1: event(1, "a", "test_start", 0, retry=0), 2: event(2, "a", "step", 5, status="PASS"), 3: event(3, "a", "complete", 6, status="FAIL", duration=1.0, error_message="Timeout"),
+        4: event(4, "a", "test_start", 10, retry=1), 5: event(5, "a", "step", 12, status="PASS"), 6: event(6, "a", "step", 12, status="FAIL"),
+        7: event(7, "a", "complete", 20, status="PASS", duration=2.0)}
+
+
+@pytest.mark.parametrize("order", [(1, 2, 3, 4, 5, 6, 7), (7, 6, 5, 4, 3, 2, 1), (5, 1, 7, 2, 6, 3, 4), (2, 5, 6, 1, 3, 7, 4)])
+def test_stream_does_not_depend_on_the_order_of_batches(spark, tmp_path, order):
+    batches = [[LATE[k]] for k in order]
+    (record,) = streamed(spark, batches, tmp_path).values()
+    assert record == folded(spark, batches)["a"] == (2, "PASSED", 2.0, None, "TIMEOUT_FAILURE", 2, 1, record[-1])
+
+
+def test_random_streams_equal_the_batch_fold(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [event(k, rng.choice(["a", "b", "c"]), rng.choice(["test_start", "step", "step", "complete", "run_update"]), rng.randint(0, 30), status=rng.choice(["PASS", "FAIL"]),
+                  duration=float(k), retry=rng.randint(0, 2), error_message=rng.choice([None, "Timeout", "expect(x)"])) for k in range(60)]
+    batches = [rows[k::4] for k in range(4)]
+    assert streamed(spark, batches, tmp_path) == folded(spark, batches)
+
+
+def test_idle_tests_end_by_their_timers(spark, tmp_path):
+    batches = [[event(1, "a", "test_start", 0, retry=0), event(2, "a", "step", 1)], [event(3, "b", "test_start", 9 * 60, retry=0)], [event(4, "c", "test_start", 20 * 60, retry=0)]]
+    ended = streamed(spark, batches, tmp_path, finish=False)
+    assert {k[0]: v[:2] for k, v in ended.items()} == {"a": (1, "FAILED"), "b": (1, "FAILED")}
+    left = {r.test_case: r.steps for r in stream.open_tests(spark, str(tmp_path / "out")).collect()}
+    assert left == {"c": 0}
 
 
 def test_stream_counts_update(spark, events, tmp_path):
