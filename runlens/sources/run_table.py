@@ -28,14 +28,16 @@ def _is_local(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    folder, fs = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
 def snapshot(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    """Number of the newest snapshot and the folders it names; number 0 names none."""
-    folder, fs = _hadoop(spark, f"{path}/{SNAPSHOTS}")
-    if not fs.exists(folder):
-        return 0, []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
+    """Number of the newest snapshot and the folders it names; number 0 stands for the month folders of a table without snapshots."""
+    names = sorted(n for n in _folders(spark, f"{path}/{SNAPSHOTS}") if n.isdigit())
     if not names:
-        return 0, []
+        return 0, sorted(n for n in _folders(spark, path) if n.startswith(f"{MONTH}="))
     file, fs = _hadoop(spark, f"{path}/{SNAPSHOTS}/{names[-1]}")
     stream = fs.open(file)
     try:
@@ -86,9 +88,8 @@ def read(spark: SparkSession, path: str, schema, folders: list[str] | None = Non
 def write_batch(rows: DataFrame, path: str, batch: str) -> list[str]:
     """Write rows as a batch of their own, one folder a month; returns the folders."""
     rows.write.partitionBy(MONTH).mode("overwrite").parquet(f"{path}/batch={batch}")
-    folder, fs = _hadoop(rows.sparkSession, f"{path}/batch={batch}")
     # One name for each month that the batch has.
-    return sorted(f"batch={batch}/{s.getPath().getName()}" for s in fs.listStatus(folder) if s.isDirectory() and not s.getPath().getName().startswith("_"))
+    return sorted(f"batch={batch}/{name}" for name in _folders(rows.sparkSession, f"{path}/batch={batch}") if name.startswith(f"{MONTH}="))
 
 
 def drop_batch(spark: SparkSession, path: str, batch: str) -> None:

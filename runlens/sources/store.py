@@ -178,13 +178,10 @@ def _is_empty_store(spark: SparkSession, path: str) -> bool:
 def read_summaries(spark: SparkSession, path: str, schema) -> DataFrame:
     """The run-summary table, partitioned by start month so that time filters prune it: what its newest snapshot names.
 
-    A table without snapshots is read as it lies there.
+    Of a table without snapshots all months are read.
     """
-    if _is_empty_store(spark, path):
-        return spark.createDataFrame([], schema)
-    if not _is_empty_store(spark, f"{path}/{run_table.SNAPSHOTS}"):
-        return run_table.read(spark, path, schema)
-    return spark.read.schema(schema).parquet(path)
+    return run_table.read(spark, path, schema)
+
 
 
 def summary_rows(executions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -257,8 +254,7 @@ def append_runs(executions: DataFrame, runs: DataFrame, path: str, batch: str |
     own = batch or uuid.uuid4().hex
     for attempt in range(APPEND_TRIES):
         number, live = run_table.snapshot(spark, path)
-        table = run_table.read(spark, path, rows.schema, live) if number else read_summaries(spark, path, rows.schema)
-        outcomes = written(_outcomes(rows, unfinished, table))
+        outcomes = written(_outcomes(rows, unfinished, run_table.read(spark, path, rows.schema, live)))
         published = outcomes.where("outcome = 'published'").select("run_id", "run_key")
         if published.isEmpty():
             return outcomes

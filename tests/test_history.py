@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import history, metrics
 from runlens.operators.metrics import RunQuery
-from runlens.sources import folders, store
+from runlens.sources import folders, run_table, store
 
 
 def summary(run_id, **changes):
@@ -312,3 +312,93 @@ def test_intermediate_tables_can_be_removed(spark):
     assert table.count() == 3 and drop_written(spark) == 1 and drop_written(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(file).count()
+
+
+RUN_KEY = "20240506-100000-000-{:08x}"
+
+
+def run_rows(spark, *numbers, start="2024-05-06 10:00:00"):
+    values = ", ".join(f"({n}, '{RUN_KEY.format(n)}')" for n in numbers)
+    runs = spark.sql(f"SELECT id AS run_id, run_key, timestamp'{start}' AS started_at, timestamp'{start}' + interval 5 seconds AS ended_at, false AS migrated FROM VALUES {values} AS t(id, run_key)")
+    return runs.withColumn("run_id", F.col("run_id").cast("string"))
+
+
+def record_rows(spark, *numbers):
+    return spark.createDataFrame([(str(n), 0, "t", "PASS", 1.0, None, None) for n in numbers],
+                                 "run_id string, ordinal bigint, test_case string, status string, duration double, stored_category string, trace_available boolean")
+
+
+def test_interleaved_appends_store_a_key_once(spark, tmp_path, monkeypatch):
+    path, commit, calls = str(tmp_path / "table"), run_table.commit, []
+
+    def interrupted(*args):
+        if not calls:
+            calls.append(1)
+            # Another writer publishes one of the keys between the look-up and the snapshot.
+            other = store.append_runs(record_rows(spark, 2, 3), run_rows(spark, 2, 3), path)
+            assert {r.run_id: r.outcome for r in other.collect()} == {"2": "published", "3": "published"}
+        return commit(*args)
+
+    monkeypatch.setattr(run_table, "commit", interrupted)
+    mine = store.append_runs(record_rows(spark, 1, 2), run_rows(spark, 1, 2), path)
+    assert {r.run_id: r.outcome for r in mine.collect()} == {"1": "published", "2": "duplicate"}
+    table = store.read_summaries(spark, path, store.summary_rows(record_rows(spark, 1), run_rows(spark, 1)).schema)
+    assert sorted(r.run_key for r in table.collect()) == [RUN_KEY.format(n) for n in (1, 2, 3)]
+    assert run_table.snapshot(spark, path)[0] == 2
+    # What the first try wrote is gone.
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_corrected_start_is_no_second_run(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store.append_runs(record_rows(spark, 1), run_rows(spark, 1), path)
+    moved = store.append_runs(record_rows(spark, 1), run_rows(spark, 1, start="2024-06-02 10:00:00"), path)
+    assert [r.outcome for r in moved.collect()] == ["duplicate"]
+    far = store.append_runs(record_rows(spark, 4), run_rows(spark, 4, start="2024-07-02 10:00:00"), path)
+    assert [(r.outcome, r.detail) for r in far.collect()] == [("invalid", "RUN_ID_MONTH")]
+
+
+def test_retention_rewrites_months_with_dropped_runs_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    for n, month in ((1, 5), (2, 5), (3, 6)):
+        key = f"2024{month:02}06-100000-000-{n:08x}"
+        runs = run_rows(spark, n, start=f"2024-{month:02}-0{n} 10:00:00").withColumn("run_key", F.lit(key))
+        store.append_runs(record_rows(spark, n), runs, path)
+    schema = store.summary_rows(record_rows(spark, 1), run_rows(spark, 1)).schema
+    before, commit = run_table.snapshot(spark, path), run_table.commit
+
+    def keys():
+        return sorted(int(r.run_key[-8:], 16) for r in store.read_summaries(spark, path, schema).collect())
+
+    def lost(*args):
+        raise OSError("the writer is gone")
+
+    monkeypatch.setattr(run_table, "commit", lost)
+    with pytest.raises(OSError):
+        store.retain_runs(spark, path, schema, max_runs=2)
+    assert keys() == [1, 2, 3] and run_table.snapshot(spark, path) == before
+    monkeypatch.setattr(run_table, "commit", commit)
+    fates = {int(r.run_key[-8:], 16): r.outcome for r in store.retain_runs(spark, path, schema, max_runs=2).collect()}
+    assert fates == {1: "deleted", 2: "kept", 3: "kept"} and keys() == [2, 3]
+    untouched = [f for f in before[1] if f.endswith("06")]
+    assert set(untouched) <= set(run_table.snapshot(spark, path)[1])
+
+
+@pytest.mark.parametrize("kept", [0, 1, 7, 40, 99, 100, 500])
+def test_retention_rank_by_counting(spark, kept):
+    rows = spark.sql("SELECT timestamp_millis(1700000000000 + (id * id * 7919) % 400000000 div 3000 * 1000) AS started_at, concat('k', lpad(id, 4, '0')) AS run_key FROM range(100)")
+    order = sorted(((r.started_at, r.run_key) for r in rows.collect()), reverse=True)
+    assert sorted(r.run_key for r in history.retention_plan(rows, max_runs=kept).collect()) == sorted(k for _, k in order[kept:])
+
+
+def test_all_parts_of_a_run_lie_in_one_bucket(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    runs = run_rows(spark, *range(1, 200))
+    store.write_run_parts({"summary": runs, "metadata": runs.select("run_key", "started_at")}, path)
+    parts = store.get_run_parts(spark, path, RUN_KEY.format(77))
+    assert sorted(parts) == ["metadata", "summary"]
+    for frame in parts.values():
+        assert [r.run_key for r in frame.collect()] == [RUN_KEY.format(77)]
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert [f.count() for f in store.get_run_parts(spark, path, "none").values()] == [0, 0]
