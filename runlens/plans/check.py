@@ -61,8 +61,8 @@ def compare(frame, con, sql: str) -> str:
         return f"types {off}"
     if expected == got:
         return ""
-    only_got = [r for r in got if r not in set(expected)][:3]
-    only_sql = [r for r in expected if r not in set(got)][:3]
+    ours, theirs = set(got), set(expected)
+    only_got, only_sql = [r for r in got if r not in theirs][:3], [r for r in expected if r not in ours][:3]
     return f"{len(got)} rows, SQL has {len(expected)}; only ours {only_got}; only SQL {only_sql}"
 
 

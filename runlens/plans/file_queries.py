@@ -166,7 +166,7 @@ QUERIES = {
 
 _BEGIN = "make_timestamp((1700000000000 + l_orderkey * 1000 + l_linenumber * 100) * 1000)"
 _RECORDS = f"""
-    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS ordinal, {_BEGIN} AS begun FROM lineitem"""
+    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'TC' || l_partkey, l_quantity) - 1 AS ordinal, {_BEGIN} AS begun FROM lineitem"""
 _VALID = "SELECT *, row_number() OVER (ORDER BY started_at DESC, run_key DESC) AS n FROM stored WHERE code IS NULL"
 
 ORACLES = {
