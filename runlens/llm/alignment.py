@@ -48,16 +48,18 @@ class Alignment:
     link_b: np.ndarray
 
 
-def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+def gallop(short: np.ndarray, long: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
     """For each of the rising numbers in ``short`` how many of the rising numbers in ``long`` are smaller.
 
-    All searches run side by side. Each begins at its share of the longer list and first doubles its step upward or downward.
+    All searches run side by side. Each begins at ``begin``, by default at its share of the longer list, and first doubles its step
+    upward or downward.
     """
     size = len(long)
     if not len(short) or not size:
         return np.zeros(len(short), np.int64)
-    low = np.arange(len(short), dtype=np.int64) * size // len(short)  # everything before is smaller, once the search has passed
-    high = low.copy()  # nothing from here on is smaller
+    # Everything before the lower bound is smaller, and nothing from the upper one on, once the search has passed.
+    low = np.arange(len(short), dtype=np.int64) * size // len(short) if begin is None else begin
+    high = low.copy()
     up = long[low] < short
     step = 1
     active = np.flatnonzero(up)
@@ -86,11 +88,15 @@ def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return low
 
 
-def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Alignment:
-    """Groups and links of two rising lists of byte ends; where a text ends, both do."""
+def align(ends_a: np.ndarray, ends_b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> Alignment:
+    """Groups and links of two rising lists of byte ends; where a text ends, both do. ``stops``: numbers of tokens after each text."""
     swap = len(ends_a) > len(ends_b)
-    short, long = (ends_b, ends_a) if swap else (ends_a, ends_b)
-    rank = gallop(short, long)
+    short, long, stop, stop_long = (ends_b, ends_a, stops_b, stops_a) if swap else (ends_a, ends_b, stops_a, stops_b)
+    # A search begins at its share of its own text.
+    number, other = np.diff(stop, prepend=0), np.diff(stop_long, prepend=0)
+    share = np.arange(len(short)) - np.repeat(stop - number, number)
+    begin = np.repeat(stop_long - other, number) + share * np.repeat(other, number) // np.repeat(number, number)
+    rank = gallop(short, long, begin)
     common = np.zeros(len(short), bool)
     known = rank < len(long)
     common[known] = long[rank[known]] == short[known]
@@ -148,7 +154,8 @@ def _described(own: Tokens, texts: list[str]) -> tuple[list[tuple], np.ndarray]:
     if not some:
         return [(0, 0, 0, 0, "")] * len(texts), np.empty(0, np.int64)
     a, b = (np.concatenate([pair[k] for pair in some]) for k in (0, 1))
-    found = align(np.cumsum(own.sizes_a[a]), np.cumsum(own.sizes_b[b]))
+    stop_a, stop_b = np.cumsum([len(p[0]) for p in some]), np.cumsum([len(p[1]) for p in some])
+    found = align(np.cumsum(own.sizes_a[a]), np.cumsum(own.sizes_b[b]), stop_a, stop_b)
     links = a[found.link_a] << ID_BITS | b[found.link_b]
     # The ids of all groups as texts in one list: a token of the first list stands behind the second list's tokens of earlier groups.
     size_a, size_b = np.diff(found.group_a, prepend=0), np.diff(found.group_b, prepend=0)
@@ -161,7 +168,6 @@ def _described(own: Tokens, texts: list[str]) -> tuple[list[tuple], np.ndarray]:
     code[place_a] = 2 * a + last_a
     code[place_b] = 2 * b + last_b + len(own.written_a)
     shown = own.written
-    stop_a, stop_b = np.cumsum([len(p[0]) for p in some]), np.cumsum([len(p[1]) for p in some])
     groups = np.searchsorted(found.group_a, stop_a, side="right")
     link_stop = np.searchsorted(found.link_a, stop_a, side="left")
     rows, k, last = [], 0, (0, 0, 0, 0)
