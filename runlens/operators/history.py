@@ -199,7 +199,7 @@ def normalize_history(scanned: DataFrame) -> DataFrame:
 
     return rows.select(
         c("run_dir").alias("run_key"), "usable", c("schemaVersion").alias("schema_version"),
-        parse_stored_timestamp(c("timestamp")).alias("started_at"), start.alias("start_time"), end.alias("end_time"),
+        parse_stored_timestamp(c("timestamp")).alias("started_at"), c("timestamp").alias("started_text"), start.alias("start_time"), end.alias("end_time"),
         (F.unix_millis(end) - F.unix_millis(start)).alias("elapsed_ms"),
         *[count(a).alias(b) for a, b in (("total", "total"), ("passed", "passed"), ("failed", "failed"), ("skipped", "skipped"),
                                         ("timedOut", "timed_out"), ("interrupted", "interrupted"), ("unsuccessful", "unsuccessful"))],

@@ -12,6 +12,7 @@ from runlens.functions.text import clean_message
 from runlens.session import written
 
 TEST_KEY = ("run_id", "test_case")
+RUN_FIELDS = ("project", "feature", "environment", "browser", "executed_by", "run_status")
 TEST_EVENTS = ("test_start", "step", "complete")
 
 
@@ -165,12 +166,21 @@ def top_actions(events: DataFrame, size: int = TOP_LIST_SIZE) -> DataFrame:
 
 
 def run_metadata(events: DataFrame) -> DataFrame:
-    """Run metadata from its updates: the last given value of each field; a reset restarts the clock."""
-    project, browser = F.col("project"), F.col("browser")
-    start = F.coalesce(F.max(F.when(F.col("reset"), F.col("event_time"))), F.min("event_time"))
-    return events.filter(F.col("kind") == "run_update").groupBy("run_id").agg(
-        _last(project, project.isNotNull()).alias("project"), _last(browser, browser.isNotNull()).alias("browser"),
+    """Run metadata from its updates: the last given value of each field that the events have; a reset restarts the clock.
+
+    With a ``run_status`` the time of the last update that ended the run comes along; a run that goes on again has no end.
+    """
+    c = F.col
+    start = F.coalesce(F.max(F.when(c("reset"), c("event_time"))), F.min("event_time"))
+    fields = [c(name) for name in RUN_FIELDS if name in events.columns]
+    names = [name for name in RUN_FIELDS if name in events.columns]
+    found = events.filter(c("kind") == "run_update").groupBy("run_id").agg(
+        *[_last(value, value.isNotNull()).alias(name) for name, value in zip(names, fields)],
         start.alias("execution_start"), F.count("*").alias("updates"),
+        *([F.max(F.when(c("run_status").isNotNull(), c("event_time"))).alias("execution_end")] if "run_status" in names else []),
     )
+    if "run_status" not in names:
+        return found
+    return found.withColumn("execution_end", F.when(c("run_status") != "RUNNING", c("execution_end")))
 
 

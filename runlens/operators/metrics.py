@@ -257,9 +257,11 @@ def category_totals(counts: DataFrame, runs: DataFrame, dimension: str | None, q
 
 
 def date_range(runs: DataFrame, query: RunQuery | None = None) -> DataFrame:
-    """First and last start time of the matching runs; the limit does not count."""
+    """First and last start time of the matching runs, as they were stored where that is known; the limit does not count."""
+    place = F.struct("started_at", "run_key") if "run_key" in runs.columns else F.col("started_at")
+    text = F.col("started_text") if "started_text" in runs.columns else iso_text(F.col("started_at"))
     return matched_runs(runs, query or RunQuery()).agg(
-        iso_text(F.min("started_at")).alias("first_start"), iso_text(F.max("started_at")).alias("last_start"), F.count("*").alias("runs")
+        F.min_by(text, place).alias("first_start"), F.max_by(text, place).alias("last_start"), F.count("*").alias("runs")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.fixed_values import API_INCLUDE, STEP_DESCRIPTIONS, UNKNOWN_CATEGORY
 from runlens.functions import failures as rules
 from runlens.functions.text import duration_text, file_size_text, none_if_empty
+from runlens.functions.times import iso_text
 from runlens.functions.web import api_endpoint, is_api_call, is_included, is_static_resource
 
 
@@ -39,6 +40,9 @@ def test_case_table(executions: DataFrame) -> DataFrame:
         "run_id", "ordinal", "test_case", F.coalesce(none_if_empty(F.col("feature")), F.lit("-")).alias("feature"),
         rules.canonical_status(F.col("status")).alias("status"), duration_text(F.col("duration")).alias("duration"),
         F.coalesce("retry_count", F.lit(0).cast("bigint")).alias("retries"),
+        # What only records from files have.
+        *([F.coalesce(F.size("steps"), F.lit(0)).cast("bigint").alias("steps")] if "steps" in executions.columns else []),
+        *([F.coalesce(iso_text(F.col("execution_date")), F.lit("-")).alias("date")] if "execution_date" in executions.columns else []),
     )
 
 
@@ -47,13 +51,15 @@ def recent_failures(classified: DataFrame) -> DataFrame:
     return classified.filter("failing").select(
         "run_id", "ordinal", "test_case", F.coalesce("failure_category", F.lit(UNKNOWN_CATEGORY)).alias("category"),
         F.coalesce(none_if_empty(F.col("message")), F.lit("No error message captured.")).alias("message"),
+        *(["failure_screenshot"] if "failure_screenshot" in classified.columns else []),
     )
 
 
 def trace_table(executions: DataFrame) -> DataFrame:
     """Records that report a trace, with its size as text."""
     return executions.filter(F.col("trace_available") == F.lit(True)).select(
-        "run_id", "ordinal", "test_case", file_size_text(F.col("trace_size")).alias("size"), F.coalesce("output_dir", F.lit("-")).alias("location")
+        "run_id", "ordinal", "test_case", file_size_text(F.col("trace_size")).alias("size"), F.coalesce("output_dir", F.lit("-")).alias("location"),
+        *(["trace_file"] if "trace_file" in executions.columns else []),
     )
 
 
@@ -66,11 +72,13 @@ def trace_overview(executions: DataFrame) -> DataFrame:
 
 
 def detect_traces(executions: DataFrame, files: DataFrame) -> DataFrame:
-    """Trace archive of each record by its output folder; ``files``: run_id, output_dir, path, size."""
-    found = files.groupBy("run_id", "output_dir").agg(F.max(F.struct("path", "size")).alias("trace"))
+    """Trace archive of each record by its output folder; ``files``: run_id, output_dir, path, size and, if known, modified_at."""
+    facts = ["path", "size", *(["modified_at"] if "modified_at" in files.columns else [])]
+    found = files.groupBy("run_id", "output_dir").agg(F.max(F.struct(*facts)).alias("trace"))
     return executions.select("run_id", "ordinal", "test_case", "output_dir").join(found, ["run_id", "output_dir"], "left").select(
         "run_id", "ordinal", "test_case", F.col("trace").isNotNull().alias("trace_available"),
         F.col("trace.path").alias("trace_file"), F.col("trace.size").alias("trace_size"),
+        *([F.col("trace.modified_at").alias("trace_modified")] if "modified_at" in facts else []),
     )
 
 

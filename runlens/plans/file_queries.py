@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from runlens.functions import times
-from runlens.operators import history, metrics
+from runlens.operators import history, metrics, reports
 from runlens.plans import sql as S
 from runlens.plans.history_queries import LEGACY_SQL, _history
-from runlens.session import shared_dir
+from runlens.session import scratch_dir
 from runlens.sources import store, tables
 from runlens.sources.folders import local_path, write_files
 
@@ -20,7 +18,7 @@ NEWEST = 700
 
 
 def _folder(spark):
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "files")
 
 
 def _stored_summaries(spark, sf_dir):
@@ -96,6 +94,11 @@ def stored_records(spark, sf_dir):
         times.iso_text(F.col("trace_modified")).alias("trace_modified"))
 
 
+def stored_test_cases(spark, sf_dir):
+    """The report table of test cases from files, with steps and date."""
+    return reports.test_case_table(_executions(spark, sf_dir))
+
+
 def stored_api_calls(spark, sf_dir):
     """API logs as files of up to a hundred calls."""
     c = F.col
@@ -157,6 +160,7 @@ QUERIES = {
     "retained_runs": retained_runs,
     "stored_attempts": stored_attempts,
     "stored_records": stored_records,
+    "stored_test_cases": stored_test_cases,
     "stored_api_calls": stored_api_calls,
     "artifact_hashes": artifact_hashes,
     "legacy_file_names": legacy_file_names,
@@ -192,6 +196,10 @@ ORACLES = {
                CASE WHEN l_linenumber % 3 > 0 THEN 'shots/' || l_partkey || '.png' END AS failure_screenshot, {S.iso('begun')} AS execution_date,
                CASE WHEN l_linenumber % 4 = 1 THEN {S.iso('begun + to_milliseconds(7)')} END AS trace_modified
         FROM ({_RECORDS})""",
+    "stored_test_cases": f"""
+        SELECT CAST(l_orderkey AS VARCHAR) AS run_id, ordinal, 'TC' || l_partkey AS test_case, '-' AS feature, 'PASSED' AS status,
+               CASE WHEN l_quantity >= 1000 THEN 'long' ELSE CAST(CAST(round(l_quantity) AS BIGINT) AS VARCHAR) || 'ms' END AS duration,
+               CAST(0 AS BIGINT) AS retries, CAST(0 AS BIGINT) AS steps, {S.iso('begun')} AS date FROM ({_RECORDS})""",
     "stored_api_calls": """
         SELECT 'TC ' || (page_id // 100) AS test_case, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) - 1 AS seq,
                'GET' AS method, page_id AS status, page_id * 3 AS duration, url FROM pages""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from runlens import fixed_values as V
@@ -13,7 +11,7 @@ from runlens.operators import history, metrics, summaries
 from runlens.operators.metrics import RunQuery
 from runlens.plans import sql as S
 from runlens.plans.api_sql import CALLS_SQL, KEPT_SQL
-from runlens.session import shared_dir
+from runlens.session import scratch_dir
 from runlens.sources import store, tables
 
 QUERY = RunQuery(start="1996-01-01T00:00:00Z", limit=300)
@@ -61,6 +59,12 @@ def history_metrics_by_month(spark, sf_dir):
     return metrics.group_runs(rows, "month").select("is_total", "key", "run_count", "tests", "passed", "weighted_pass_rate", "total_test_duration_ms")
 
 
+def history_date_range(spark, sf_dir):
+    """The range of stored runs in the texts of their summaries, of which the early ones have no fraction of a second."""
+    files = _files(spark, sf_dir).withColumn("content", F.regexp_replace("content", r'"timestamp":"(199[0-9-]+T[0-9:]+)\.[0-9]+Z"', '"timestamp":"$1Z"'))
+    return metrics.date_range(history.normalize_history(history.scan_history(files)).filter("usable"))
+
+
 def latest_run(spark, sf_dir):
     return history.latest_run(tables.runs(spark, sf_dir).select("run_key", "started_at", "schema_version")).select(
         "run_key", times.iso_text(F.col("started_at")).alias("started_at"), "schema_version"
@@ -93,7 +97,7 @@ def new_run_summaries(spark, sf_dir):
 
 def run_lookup(spark, sf_dir):
     """All parts of the newest run: its summary, its number of records and the time of its metadata."""
-    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "runs")
     records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
     keyed = records.join(runs.select("run_id", "run_key"), "run_id").select("run_key", "ordinal", "test_case", "status", "duration")
     metadata = runs.select("run_key", "project", "feature", "environment", "browser", "executed_by", "ended_at")
@@ -105,7 +109,7 @@ def run_lookup(spark, sf_dir):
 
 
 def appended_runs(spark, sf_dir):
-    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "runs")
     records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
     records = records.withColumn("status", F.when(F.col("ordinal") % 1009 == 0, "running").otherwise(F.col("status")))
     store.append_runs(records, runs.filter(F.col("run_id") % 2 == 0), path)
@@ -116,7 +120,7 @@ def appended_runs(spark, sf_dir):
 
 def append_outcomes(spark, sf_dir):
     """What becomes of runs of which some are stored, open, or share a key with another."""
-    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "runs")
     records, runs = tables.executions(spark, sf_dir), tables.runs(spark, sf_dir)
     records = records.withColumn("status", F.when(F.col("ordinal") % 1009 == 0, "running").otherwise(F.col("status")))
     store.append_runs(records, runs.filter(F.col("run_id") % 2 == 0), path)
@@ -126,7 +130,7 @@ def append_outcomes(spark, sf_dir):
 
 
 def saved_api_log(spark, sf_dir):
-    path = f"{shared_dir(spark)}/api-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, "api")
     store.save_api_logs(tables.api_calls(spark, sf_dir), path)
     return spark.read.schema("seq bigint, url string, test_case string").json(path)
 
@@ -246,6 +250,7 @@ QUERIES = {
     "history_warnings": history_warnings,
     "history_messages": history_messages,
     "history_metrics_by_month": history_metrics_by_month,
+    "history_date_range": history_date_range,
     "latest_run": latest_run,
     "list_runs": list_runs,
     "retention_plan": retention_plan,
@@ -376,6 +381,10 @@ ORACLES = {
                CAST(sum(passed) AS BIGINT) AS passed, {S.rate('sum(passed)', 'sum(total)')} AS weighted_pass_rate,
                CAST(sum(CAST(total_duration AS DECIMAL(19, 3))) AS DOUBLE) AS total_test_duration_ms
         FROM stored_runs GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m')), ())""", stored_runs=_STORED_RUNS),
+    "history_date_range": _history("""
+        SELECT arg_min(shown, (ts, run_key)) AS first_start, arg_max(shown, (ts, run_key)) AS last_start, count(*) AS runs
+        FROM (SELECT *, CASE WHEN started_at LIKE '199%' THEN regexp_replace(started_at, '\.[0-9]+Z$', 'Z') ELSE started_at END AS shown FROM stored_runs)""",
+        stored_runs=_STORED_RUNS),
     "latest_run": S.with_ctes("runs", f"""
         SELECT run_key, {S.iso('r.started_at')} AS started_at, schema_version FROM runs r ORDER BY r.started_at DESC, run_key DESC LIMIT 1"""),
     "list_runs": S.with_ctes("runs", f"""

@@ -45,6 +45,27 @@ def run_metadata(spark, sf_dir):
     return rows.withColumn("execution_start", iso_text(F.col("execution_start")))
 
 
+def run_updates(spark, sf_dir):
+    """All fields of the run metadata, from updates that give one or the other."""
+    c = F.col
+    update, n = c("kind") == "run_update", c("seq")
+    events = (
+        _events(spark, sf_dir).withColumn("feature", F.when(update & (n % 5 == 0), F.concat(F.lit("Area "), (n % 6).cast("string"))))
+        .withColumn("environment", F.when(update & (n % 6 == 0), F.concat(F.lit("Env "), (n % 4).cast("string"))))
+        .withColumn("executed_by", F.when(update & (n % 7 == 0), F.concat(F.lit("agent-"), (n % 9).cast("string"))))
+        .withColumn("run_status", F.when(update & (n % 11 == 0), tables.pick(("RUNNING", "PASSED", "FAILED"), n % 3)))
+    )
+    rows = lifecycle.run_metadata(events)
+    return rows.select("run_id", "feature", "environment", "executed_by", "run_status", iso_text(c("execution_end")).alias("execution_end"), "updates")
+
+
+def trace_times(spark, sf_dir):
+    """Trace archives with the time of their last change."""
+    modified = F.timestamp_millis(F.lit(1700000000000) + F.col("size") * 1000)
+    found = reports.detect_traces(tables.executions(spark, sf_dir), _trace_files(spark, sf_dir).withColumn("modified_at", modified))
+    return found.select("run_id", "ordinal", "trace_file", iso_text(F.col("trace_modified")).alias("trace_modified"))
+
+
 def automation_health(spark, sf_dir):
     events = _events(spark, sf_dir)
     records = lifecycle.test_records(lifecycle.fold_attempts(events)).withColumn("trace_available", F.lit(None).cast("boolean"))
@@ -129,6 +150,8 @@ QUERIES = {
     "capture_coverage": lambda spark, sf_dir: lifecycle.capture_coverage(_events(spark, sf_dir)),
     "capture_top_actions": lambda spark, sf_dir: lifecycle.top_actions(_events(spark, sf_dir)),
     "run_metadata": run_metadata,
+    "run_updates": run_updates,
+    "trace_times": trace_times,
     "automation_health": automation_health,
     "api_log": lambda spark, sf_dir: reports.api_log(tables.api_calls(spark, sf_dir)),
     "api_recorded": lambda spark, sf_dir: reports.recorded_calls(tables.api_calls(spark, sf_dir)).select("seq", "url"),
@@ -267,6 +290,13 @@ ORACLES = {
           SELECT run_id, arg_max(project, seq) FILTER (project IS NOT NULL) AS project, arg_max(browser, seq) FILTER (browser IS NOT NULL) AS browser,
                  coalesce(max(event_time) FILTER (reset), min(event_time)) AS start, count(*) AS updates
           FROM lifecycle WHERE kind = 'run_update' GROUP BY run_id)"""),
+    "run_updates": S.with_ctes("lifecycle", f"""
+        SELECT run_id, feature, environment, executed_by, run_status, CASE WHEN run_status <> 'RUNNING' THEN {S.iso('ended')} END AS execution_end, updates FROM (
+          SELECT run_id, arg_max('Area ' || (seq % 6), seq) FILTER (seq % 5 = 0) AS feature, arg_max('Env ' || (seq % 4), seq) FILTER (seq % 6 = 0) AS environment,
+                 arg_max('agent-' || (seq % 9), seq) FILTER (seq % 7 = 0) AS executed_by,
+                 arg_max({S.pick(('RUNNING', 'PASSED', 'FAILED'), 'seq % 3')}, seq) FILTER (seq % 11 = 0) AS run_status,
+                 max(event_time) FILTER (seq % 11 = 0) AS ended, count(*) AS updates
+          FROM lifecycle WHERE kind = 'run_update' GROUP BY run_id)"""),
     "automation_health": lifecycle_sql(f"""
         SELECT run_id, CASE WHEN failed > passed THEN 'critical' WHEN ok THEN 'healthy' ELSE 'attention' END AS health,
                CASE WHEN failed > passed THEN 'Critical Issues Detected' WHEN ok THEN 'Healthy Run' ELSE 'Attention Required' END AS heading,
@@ -300,6 +330,9 @@ ORACLES = {
     "trace_lookup": S.with_ctes("executions", """
         SELECT e.run_id, e.ordinal, e.test_case, t.path IS NOT NULL AS trace_available, t.path AS trace_file, t.size AS trace_size FROM executions e
         LEFT JOIN (SELECT run_id, output_dir, max(path) AS path, max(size) AS size FROM traces GROUP BY ALL) t USING (run_id, output_dir)""", traces=_TRACES),
+    "trace_times": S.with_ctes("executions", f"""
+        SELECT e.run_id, e.ordinal, t.path AS trace_file, {S.iso('make_timestamp((1700000000000 + t.size * 1000) * 1000)')} AS trace_modified FROM executions e
+        LEFT JOIN (SELECT run_id, output_dir, max(path) AS path, max(size) AS size FROM traces GROUP BY ALL) t USING (run_id, output_dir)""", traces=_TRACES),
     "trace_counts": S.with_ctes("executions", """
         SELECT run_id, reported, coalesce(preserved, 0) AS preserved FROM (SELECT run_id, count(*) FILTER (trace_available) AS reported FROM executions GROUP BY run_id)
         LEFT JOIN (SELECT run_id, count(DISTINCT path) AS preserved FROM traces GROUP BY run_id) USING (run_id)""", traces=_TRACES),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from runlens.functions.times import iso_text
@@ -11,14 +9,14 @@ from runlens.plans import sql as S
 from runlens.plans.history_queries import LEGACY_SQL
 from runlens.plans.report_queries import ORACLES as REPORT_ORACLES
 from runlens.plans.report_queries import lifecycle_sql
-from runlens.session import shared_dir
+from runlens.session import scratch_dir
 from runlens.sources import tables
 from runlens.streaming import ingest
 from runlens.streaming import lifecycle as stream
 
 
 def _folder(spark):
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "stream")
 
 
 def _events(spark, sf_dir):

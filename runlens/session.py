@@ -51,6 +51,13 @@ def written(frame: DataFrame) -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def scratch_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one for tables and files of a query, which ``drop_written`` removes with the others."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def drop_written(spark: SparkSession) -> int:
     """Remove the intermediate tables of a session once all its results are stored; returns how many there were."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
