@@ -237,7 +237,6 @@ STATIC_EXTENSIONS = (
 )
 STATIC_PATHS = ("/static/", "/assets/", "/dist/", "/public/", "/cdn/", "/images/", "/fonts/")
 TELEMETRY_VENDORS = ("google-analytics", "segment", "mixpanel", "newrelic", "sentry")
-API_INCLUDE = ("/api/", "saucedemo.com")
 
 # Patterns that name the element behind a selector, in order.
 SELECTOR_NAME_PATTERNS = (
@@ -264,30 +263,10 @@ TARGET_TYPES = (
     ("getByTitle", "title"),
 )
 
-# Described steps (name, title, action, expected result).
-STEP_DESCRIPTIONS = (
-    ("Step01_Open_Login_Page", "Open Login Page", "Navigate to SauceDemo login page.",
-     "Login page is displayed with username and password fields."),
-    ("Step02_Input_Username", "Input Username", "Enter valid username standard_user into the username field.",
-     "Username is entered successfully."),
-    ("Step03_Input_Password", "Input Password", "Enter valid password secret_sauce into the password field.",
-     "Password is entered successfully."),
-    ("Step04_Click_Login", "Click Login Button", "Click the login button to submit credentials.",
-     "Authentication request is submitted."),
-    ("Step05_Verify_Login_Success", "Verify Login Success", "Verify the user is redirected to the inventory page.",
-     "Inventory page is displayed after successful login."),
-    ("Step02_Input_Invalid_Credentials", "Input Invalid Credentials",
-     "Enter invalid username and password into the login form.", "Invalid credentials are entered successfully."),
-    ("Step03_Click_Login", "Click Login Button", "Click the login button to submit invalid credentials.",
-     "Invalid login request is submitted."),
-    ("Step04_Verify_Error_Message", "Verify Error Message", "Verify the login error message is displayed.",
-     "Error message is visible for invalid credentials."),
-)
 UNFINISHED_MESSAGE = "Test did not complete before report generation."
 
 # History storage contract.
 HISTORY_SCHEMA_VERSION = "1.0.0"
-HISTORY_FORMAT_VERSION = 1
 RUN_ID_PATTERN = r"^\d{8}-\d{6}-\d{3}-[a-f0-9]{8}$"
 SAFE_RUN_ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 SHA256_PATTERN = r"^sha256:[a-f0-9]{64}$"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.fixed_values import API_INCLUDE, STEP_DESCRIPTIONS, UNKNOWN_CATEGORY
+from runlens.fixed_values import UNKNOWN_CATEGORY
 from runlens.functions import failures as rules
 from runlens.functions.text import duration_text, file_size_text, none_if_empty
 from runlens.functions.times import iso_text
@@ -19,9 +19,10 @@ def api_log(calls: DataFrame) -> DataFrame:
     return calls.filter(is_api_call(F.col("url")))
 
 
-def recorded_calls(calls: DataFrame, include: Sequence[str] = API_INCLUDE) -> DataFrame:
-    """Calls the recorder takes: the URL holds a configured text and is no static resource."""
-    return calls.filter(is_included(F.col("url"), include) & ~is_static_resource(F.col("url")))
+def recorded_calls(calls: DataFrame, include: Sequence[str] = ()) -> DataFrame:
+    """Calls the recorder takes: the URL holds one of the texts, if any are given, and is no static resource."""
+    own = calls.filter(~is_static_resource(F.col("url")))
+    return own.filter(is_included(F.col("url"), include)) if include else own
 
 
 def api_activity(executions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -89,9 +90,9 @@ def trace_counts(executions: DataFrame, files: DataFrame) -> DataFrame:
     return reported.join(preserved, "run_id", "left").select("run_id", "reported", F.coalesce("preserved", F.lit(0).cast("bigint")).alias("preserved"))
 
 
-def step_descriptions(spark: SparkSession, more: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
-    """Described steps: name, title, action text, expected result; ``more`` adds to or replaces the fixed ones."""
-    rows = {r[0]: r for r in (*STEP_DESCRIPTIONS, *more)}
+def step_descriptions(spark: SparkSession, described: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """Described steps: name, title, action text, expected result; of two of one name the later one counts."""
+    rows = {r[0]: r for r in described}
     return spark.createDataFrame(list(rows.values()), "name string, title string, action_text string, expected string")
 
 

@@ -11,7 +11,7 @@ CALLS_SQL = f"""
            CAST(length(html) * 3 AS BIGINT) AS duration,
            CASE page_id % 12 WHEN 0 THEN url || '/app.CSS?v=1' WHEN 1 THEN url || '/static/logo' WHEN 2 THEN 'https://www.google-analytics.com/collect?u=' || url
                 WHEN 3 THEN 'not a url ' || url WHEN 4 THEN 'https://api.example.com/api/v1/items/' || page_id || '?from=' || split_part(url, '//', 2)
-                WHEN 5 THEN 'https://www.saucedemo.com' WHEN 6 THEN url || '/Sentry/x' ELSE url END AS url
+                WHEN 5 THEN 'https://www.shop.example' WHEN 6 THEN url || '/Sentry/x' ELSE url END AS url
     FROM pages"""
 _PATH = "split_part(lower(url), '?', 1)"
 STATIC_SQL = "(" + " OR ".join([f"ends_with({_PATH}, '{e}')" for e in V.STATIC_EXTENSIONS] + [f"contains({_PATH}, '{p}')" for p in V.STATIC_PATHS]) + ")"

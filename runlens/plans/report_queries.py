@@ -96,7 +96,7 @@ def trace_counts(spark, sf_dir):
 
 
 def _described(spark, sf_dir):
-    return reports.describe_steps(tables.steps(spark, sf_dir), reports.step_descriptions(spark))
+    return reports.describe_steps(tables.steps(spark, sf_dir), reports.step_descriptions(spark, tables.STEP_DESCRIPTIONS))
 
 
 def failed_test_analysis(spark, sf_dir):
@@ -154,7 +154,7 @@ QUERIES = {
     "trace_times": trace_times,
     "automation_health": automation_health,
     "api_log": lambda spark, sf_dir: reports.api_log(tables.api_calls(spark, sf_dir)),
-    "api_recorded": lambda spark, sf_dir: reports.recorded_calls(tables.api_calls(spark, sf_dir)).select("seq", "url"),
+    "api_recorded": lambda spark, sf_dir: reports.recorded_calls(tables.api_calls(spark, sf_dir), tables.API_INCLUDE).select("seq", "url"),
     "api_activity": api_activity,
     "test_case_table": lambda spark, sf_dir: reports.test_case_table(tables.executions(spark, sf_dir)),
     "slowest_tests": lambda spark, sf_dir: summaries.slowest_tests(tables.executions(spark, sf_dir)),
@@ -217,7 +217,7 @@ _STEPS = f"""
 
 
 def _described_as(index, fallback):
-    return "CASE name " + " ".join(f"WHEN '{r[0]}' THEN {S.text(r[index])}" for r in V.STEP_DESCRIPTIONS) + f" ELSE {fallback} END"
+    return "CASE name " + " ".join(f"WHEN '{r[0]}' THEN {S.text(r[index])}" for r in tables.STEP_DESCRIPTIONS) + f" ELSE {fallback} END"
 
 
 _TITLE = _described_as(1, "plain")
@@ -309,7 +309,7 @@ ORACLES = {
           JOIN (SELECT run_id, {S.rate("count(*) FILTER (phase = 'captured')", 'count(*)')} AS capture_rate FROM lifecycle WHERE action IS NOT NULL GROUP BY run_id) USING (run_id))"""),
     "api_log": S.with_ctes((), f"SELECT * FROM calls WHERE {KEPT_SQL}", calls=CALLS_SQL),
     "api_recorded": S.with_ctes((), f"""
-        SELECT seq, url FROM calls WHERE ({' OR '.join(f"contains(url, '{p}')" for p in V.API_INCLUDE)}) AND NOT {STATIC_SQL}""", calls=CALLS_SQL),
+        SELECT seq, url FROM calls WHERE ({' OR '.join(f"contains(url, '{p}')" for p in tables.API_INCLUDE)}) AND NOT {STATIC_SQL}""", calls=CALLS_SQL),
     "api_activity": S.with_ctes("executions", f"""
         SELECT e.run_id, e.test_case, e.ordinal, k.seq, k.method, k.endpoint, k.http_status, k.time FROM executions e
         LEFT JOIN (SELECT run_id, test_case, seq, method, {_ENDPOINT} AS endpoint, CAST(status AS VARCHAR) AS http_status,

@@ -78,6 +78,15 @@ AUTO_ACTIONS = (
 )
 
 
+#: What the recorder of the test tables takes, and how their steps are described (name, title, action, expected result).
+API_INCLUDE = ("/api/", "shop.example")
+STEP_DESCRIPTIONS = (
+    ("Step01_Open_Login_Page", "Open the form", "The page with the form is opened.", "Both fields can be seen."),
+    ("Step02_Input_Username", "Name", "A known name is typed into its field.", "The field holds the name."),
+    ("Step04_Click_Login", "Send the form", "The button below the form is pressed.", "The form is sent."),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -167,7 +176,7 @@ def api_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("https://www.google-analytics.com/collect?u="), url))
         .when(kind == 3, F.concat(F.lit("not a url "), url))
         .when(kind == 4, F.concat(F.lit("https://api.example.com/api/v1/items/"), c("page_id").cast("string"), F.lit("?from="), F.substring_index(url, "//", -1)))
-        .when(kind == 5, F.lit("https://www.saucedemo.com"))
+        .when(kind == 5, F.lit("https://www.shop.example"))
         .when(kind == 6, F.concat(url, F.lit("/Sentry/x")))
         .otherwise(url)
         .alias("url"),
