@@ -59,7 +59,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def spelled(hashes: Column) -> Column:
-    """A fingerprint as text: its hashes in order, 40 bits of ten hex digits each."""
+    """A fingerprint as text: its hashes of 39 bits in order, ten hex digits each."""
     return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 10, "0")), ""))
 
 

@@ -191,3 +191,43 @@ def trie(rows: list[tuple]) -> list[tuple]:
         (min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(children.get(n, [])), leaves[n], saved[n],
          sha(",".join(str(c) for c in sorted(m) if len(built[c]) == len(n))))
         for n, m in members.items())
+
+
+def winnowed(text: str, gram: int = 3, window: int = 6) -> list[int]:
+    """Kept hashes in order of place, with repeats: each gram hashed from its word hashes, each window's least with the rightmost of ties."""
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    grams = []
+    for i in range(max(1, len(hashes) - gram + 1) if hashes else 0):
+        mixed = 42
+        for h in hashes[i : i + gram]:
+            mixed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), mixed)
+        grams.append(mixed >> 25)
+    places = []
+    for i in range(max(1, len(grams) - window + 1) if grams else 0):
+        own = range(i, min(i + window, len(grams)))
+        place = min(own, key=lambda k: (grams[k], -k))
+        if place not in places[-1:]:
+            places.append(place)
+    return [grams[k] for k in places]
+
+
+def ring_walk(rows: list[tuple[int, str]], places: list[tuple[int, int]], shards: int) -> Counter:
+    """Rows for each arc and shard, row by row: every row asks the shards clockwise of its hash, all rows their first one first."""
+    arcs = []
+    for doc_id, text in rows:
+        h = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42))
+        h -= (h >> 63) << 64
+        arcs.append(sum(p < h for p, _ in places) % len(places))
+    free = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    waiting, placed, asked = sorted(arcs), Counter(), 0
+    while waiting:
+        left = []
+        for arc in waiting:
+            order = list(dict.fromkeys(places[(arc + k) % len(places)][1] for k in range(len(places))))
+            if free[order[asked]]:
+                free[order[asked]] -= 1
+                placed[arc, order[asked]] += 1
+            else:
+                left.append(arc)
+        waiting, asked = left, asked + 1
+    return placed

@@ -1,11 +1,12 @@
 """Odd rows and settings of the operators."""
 
 import random
+from collections import Counter
 
 import plain
 import pytest
 
-from runlens.llm import language, pieces, pii, recompression, simhash
+from runlens.llm import language, pieces, pii, recompression, sharding, simhash, winnowing
 
 
 @pytest.mark.parametrize("text", ["½", "²³", "① ②", "12 ½ _", "...", ""])
@@ -76,3 +77,55 @@ def test_long_context_words_are_no_borders():
     text = f"call {long} 555-777-8899 {long} end"
     assert pii.patterns(text, start, start + 12) == ["call =long _", "=long _ =long"]
     assert pii.patterns("555-777-8899", 0, 12) == ["  _", " _ "]
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
+    rows = {r["doc_id"]: r for r in winnowing.digests(frame).collect()}
+    order = sorted(texts, reverse=True)
+
+    def spelled(hashes):
+        return "".join(f"{h:010x}" for h in dict.fromkeys(hashes))
+
+    def likeness(one, other):
+        one, other = set(one), set(other)
+        return len(one & other) / len(one | other) if one | other else 1.0
+
+    for d, following in zip(order, order[1:] + order[:1]):
+        half = len(texts[d]) // 2
+        own, edited = plain.winnowed(texts[d]), plain.winnowed(texts[d][: len(texts[d]) - half] + texts[following][:half])
+        r = rows[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (spelled(own), spelled(edited))
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((likeness(own, edited), likeness(own, plain.winnowed(texts[following]))))
+
+
+def test_rows_walk_the_ring(spark):
+    rng = random.Random(3)
+    docs = [(k, f"text {rng.randint(0, 10**6)}") for k in range(3000)]
+    places = sharding.ring(24)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["shard"] for r in sharding.shards(frame).collect()}
+    expected = plain.ring_walk(docs, places, 24)
+    got = Counter()
+    for d, t in docs:
+        (arc, _), = plain.ring_walk([(d, t)], [(p, 0) for p, _ in places], 1)
+        got[arc, found[d]] += 1
+    assert got == expected
+    more = {r["doc_id"]: r["shard"] for r in sharding.shards(frame, 25).collect()}
+    # The new shard's share is 1/25; bounded loads may move as many again.
+    assert sum(found[d] != more[d] for d in found) < 2 / 25 * len(docs)
+
+
+def test_scores_of_a_small_graph(spark):
+    """A pattern of some seeds and one unknown instance: what it is worth makes the instance known in part, and that the pattern better."""
+    for seeds in (3, 4, 8):
+        mentions = [(f"+1555000{k:04}", 3, 11, [], ["call now _"]) for k in range(seeds)] + [("555-777-8899", -1, 10, [3], ["call now _"])]
+        frame = spark.createDataFrame([([m],) for m in mentions], "mentions array<struct<instance:string,kind:int,digits:int,looks:array<int>,patterns:array<string>>>")
+        score = worth = 0.0
+        for _ in range(pii.TURNS):
+            score = (seeds + worth) / (seeds + 1 + pii.DOUBT)
+            worth = score if score >= pii.LEAST_INSTANCE else 0.0
+        expected = {("call now _", 3): pytest.approx(score)} if seeds >= pii.LEAST_SEEDS and score >= pii.LEAST_PATTERN else {}
+        assert {(r["pattern"], r["kind"]): r["score"] for r in pii.learn(frame).collect()} == expected
+        assert bool(expected) == (seeds == 8)
