@@ -383,7 +383,7 @@ ORACLES = {
         FROM stored_runs GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m')), ())""", stored_runs=_STORED_RUNS),
     "history_date_range": _history("""
         SELECT arg_min(shown, (ts, run_key)) AS first_start, arg_max(shown, (ts, run_key)) AS last_start, count(*) AS runs
-        FROM (SELECT *, CASE WHEN started_at LIKE '199%' THEN regexp_replace(started_at, '\.[0-9]+Z$', 'Z') ELSE started_at END AS shown FROM stored_runs)""",
+        FROM (SELECT *, CASE WHEN started_at LIKE '199%' THEN regexp_replace(started_at, '[.][0-9]+Z$', 'Z') ELSE started_at END AS shown FROM stored_runs)""",
         stored_runs=_STORED_RUNS),
     "latest_run": S.with_ctes("runs", f"""
         SELECT run_key, {S.iso('r.started_at')} AS started_at, schema_version FROM runs r ORDER BY r.started_at DESC, run_key DESC LIMIT 1"""),
