@@ -3,19 +3,27 @@
 A Spark file source lists every name on the driver, shows no directory without files, and fails as a whole where one file cannot be
 read. Here each task lists the folder for itself and takes its share of the names, one at a time; what goes wrong with a file is a
 column of its row.
+
+Millions of small files take a block and a folder each. ``write_archives`` therefore puts the files of many folders into archives
+beside the folders, and the readers see what is in them as if it lay below the root.
 """
 
 from __future__ import annotations
 
 import errno
 import hashlib
+import io
 import os
 import stat
+import tarfile
+import time
 import uuid
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 from zlib import crc32
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -23,9 +31,13 @@ from pyspark.sql.types import StructType
 FORMAT = "run_folder"
 #: Bytes of a file that are held at once.
 BLOCK = 1 << 20
+#: Name and size, in files, of the archives that lie in a root; they are tar files compressed as a whole.
+ARCHIVE, ARCHIVED = ".tar.zst", 4096
+EPOCH = datetime.fromtimestamp(0, timezone.utc)
 SCHEMAS = {
     "documents": "folder string, content string, read_error string",
     "files": "folder string, path string, size bigint, sha256 string, modified_at timestamp, read_error string",
+    "plain": "name string, content binary, modified_at timestamp",
 }
 
 
@@ -77,7 +89,7 @@ class StoreFolder:
         return found.size, found.mtime_ns / 1e9
 
 
-def _is_local(root: str) -> bool:
+def is_local(root: str) -> bool:
     return "://" not in root or root.startswith("file:")
 
 
@@ -87,7 +99,7 @@ def local_path(root: str) -> str:
 
 
 def folder_of(root: str) -> LocalFolder | StoreFolder:
-    return LocalFolder(local_path(root)) if _is_local(root) else StoreFolder(root)
+    return LocalFolder(local_path(root)) if is_local(root) else StoreFolder(root)
 
 
 def _code(error: OSError) -> str:
@@ -103,6 +115,25 @@ def _walk(folder: LocalFolder | StoreFolder, below: str) -> Iterator[str]:
             yield path
 
 
+@contextmanager
+def _packed(target: str) -> Iterator[tarfile.TarFile]:
+    import pyarrow as pa
+
+    with pa.CompressedOutputStream(target, "zstd") as out, tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT) as archive:
+        yield archive
+
+
+def _members(folder: LocalFolder | StoreFolder, name: str) -> Iterator[tuple[tarfile.TarInfo, io.BufferedIOBase]]:
+    """The files of an archive one after another, each with its opened content."""
+    import pyarrow as pa
+
+    with folder.open(name) as file, pa.CompressedInputStream(file, "zstd") as plain, tarfile.open(fileobj=plain, mode="r|") as archive:
+        for member in archive:
+            yield member, archive.extractfile(member)
+            # What was read is not kept.
+            archive.members = []
+
+
 class _Share(InputPartition):
     pass
 
@@ -117,8 +148,14 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         folder = folder_of(self.root)
+        if self.what == "plain":
+            yield from self._plain(folder, partition.value)
+            return
+        archives = []
         for name, is_folder in folder.names():
             if not is_folder:
+                if name.endswith(ARCHIVE):
+                    archives.append(name)
                 continue
             if self.what == "documents":
                 if crc32(name.encode()) % self.shares == partition.value:
@@ -129,6 +166,48 @@ class _Reader(DataSourceReader):
                 if crc32(path.encode()) % self.shares == partition.value:
                     yield (name, path[len(name) + 1 :], *self._file(folder, path))
 
+        for name in sorted(archives)[partition.value :: self.shares]:
+            yield from self._archived(folder, name)
+
+    def _archived(self, folder, name: str) -> Iterator[tuple]:
+        """As of folders. All files of a folder lie in one archive."""
+        with_file: dict[str, bool] = {}
+        for member, file in _members(folder, name):
+            own, _, path = member.name.partition("/")
+            if not path:
+                continue
+            if self.what == "documents":
+                with_file.setdefault(own, False)
+                if path == self.name:
+                    with_file[own] = True
+                    yield own, file.read().decode("utf-8", "replace"), None
+                continue
+            digest = hashlib.sha256()
+            while block := file.read(BLOCK):
+                digest.update(block)
+            yield own, path, member.size, digest.hexdigest(), datetime.fromtimestamp(member.mtime, timezone.utc), None
+        for own, has in with_file.items():
+            if not has:
+                yield own, None, _code(FileNotFoundError(errno.ENOENT, self.name))
+
+    def _plain(self, folder, share: int) -> Iterator[tuple]:
+        """Files of the root itself whose name ends as asked, but for hidden and empty ones; one that cannot be read is an error."""
+        archives = []
+        for name, is_folder in folder.names():
+            if is_folder or name.startswith((".", "_")):
+                continue
+            if name.endswith(ARCHIVE):
+                archives.append(name)
+            elif name.endswith(self.name) and crc32(name.encode()) % self.shares == share:
+                size, modified = folder.facts(name)
+                if size:
+                    with folder.open(name) as file:
+                        yield name, file.read(), EPOCH + timedelta(milliseconds=int(modified * 1000))
+        for archive in sorted(archives)[share :: self.shares]:
+            for member, file in _members(folder, archive):
+                if "/" not in member.name and member.name.endswith(self.name) and member.size:
+                    yield member.name, file.read(), datetime.fromtimestamp(member.mtime, timezone.utc)
+
     def _document(self, folder, path: str) -> tuple[str | None, str | None]:
         try:
             with folder.open(path) as file:
@@ -150,7 +229,8 @@ class _Reader(DataSourceReader):
 
 class RunFolder(DataSource):
     """``what=documents``: the file ``name`` of each direct subfolder, with its text or the code of the error. ``what=files``: all
-    files below the direct subfolders with size and hash, read block by block. ``shares``: how many tasks take part."""
+    files below the direct subfolders with size and hash, read block by block. ``what=plain``: the files of the root itself whose name
+    ends with ``name``. Archives in the root count as what they hold. ``shares``: how many tasks take part."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,12 +262,49 @@ def read_files(spark: SparkSession, root: str, shares: int | None = None) -> Dat
     return _read(spark, root, shares, what="files")
 
 
+def read_plain(spark: SparkSession, root: str, ending: str, shares: int | None = None) -> DataFrame:
+    """``name``, ``content`` (binary) and ``modified_at`` of the files of a root itself whose name ends with ``ending``."""
+    return _read(spark, root, shares, what="plain", name=ending)
+
+
+def write_archives(files: DataFrame, root: str) -> None:
+    """As ``write_files``, with the files in archives that the readers look into: one for each ``ARCHIVED`` rows of a partition.
+
+    The files of one folder must be next to each other in one partition; they share an archive. A task that is run again replaces
+    the archives of its first run.
+    """
+    if not is_local(root):
+        raise ValueError("files can be written below a local or mounted root only")
+    base, call = local_path(root), uuid.uuid4().hex
+
+    def run(rows: Iterator) -> None:
+        os.makedirs(base, exist_ok=True)
+        row, number = next(rows, None), 0
+        while row is not None:
+            target = os.path.join(base, f"{call}-{TaskContext.get().partitionId():06}-{number:06}{ARCHIVE}")
+            part, taken, folder = f"{target}.part", 0, None
+            with _packed(part) as archive:
+                while row is not None and (taken < ARCHIVED or ("/" in row["path"] and row["path"].partition("/")[0] == folder)):
+                    data = row["content"]
+                    data = data.encode() if isinstance(data, str) else bytes(data)
+                    member = tarfile.TarInfo(row["path"])
+                    member.size, member.mtime = len(data), int(time.time())
+                    archive.addfile(member, io.BytesIO(data))
+                    archive.members = []
+                    taken, folder = taken + 1, row["path"].partition("/")[0]
+                    row = next(rows, None)
+            os.replace(part, target)
+            number += 1
+
+    files.select("path", "content").foreachPartition(run)
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Write ``content`` (text or binary) of each row as the file ``path`` below a local or mounted root, inside tasks.
 
     A file appears under its name when it is whole, so a task that is run again leaves what the first one did.
     """
-    if not _is_local(root):
+    if not is_local(root):
         raise ValueError("files can be written below a local or mounted root only")
     base = local_path(root)
 

@@ -19,7 +19,7 @@ from runlens.operators.reports import api_log
 from runlens.operators.summaries import category_maps, failure_category_counts, run_summaries, unfinished_runs
 from runlens.session import written
 from runlens.sources import run_table
-from runlens.sources.folders import read_documents, read_files
+from runlens.sources.folders import is_local, read_documents, read_files, read_plain
 
 STEP_SCHEMA = "name string, action string, target string, status string, duration double, timestamp string, mode string, screenshot string, errorMessage string"
 STEPS = f"array<struct<{STEP_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"
@@ -159,7 +159,12 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_legacy_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Legacy execution files with content and modification time, under the names they have in the folder; no folder is an empty table."""
+    """Legacy execution files with content and modification time, under the names they have in the folder; no folder is an empty table.
+
+    A local folder is listed in tasks, as it may hold millions of files, and may hold archives of them.
+    """
+    if is_local(folder):
+        return read_plain(spark, folder, ".json").select("name", F.col("content").cast("string").alias("content"), "modified_at")
     if _is_empty_store(spark, folder):
         return spark.createDataFrame([], "name string, content string, modified_at timestamp")
     texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
