@@ -42,12 +42,11 @@ def stream_test_records(spark, sf_dir):
 
 def stream_shuffled_records(spark, sf_dir):
     """The same events in five micro-batches of any order, so that steps and completions come before the starts they follow."""
-    folder = _folder(spark)
+    folder, files = _folder(spark), spark.sparkContext.defaultParallelism
     events = tables.lifecycle_events(spark, sf_dir)
-    share = F.pmod(F.xxhash64("seq"), F.lit(5))
-    for k in range(5):
-        events.filter(share == k).coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    # Files are dealt by a hash, so those of any micro-batch have events of all times.
+    events.repartition(5 * files, "seq").write.parquet(f"{folder}/events")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/events")
     # A test may be silent for days here: it ends with its run alone.
     records = stream.stream_test_records(source, folder, idle_ms=100 * 24 * stream.HOUR_MS)
     return records.withColumn("execution_date", iso_text(F.col("execution_date")))
