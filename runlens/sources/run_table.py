@@ -87,7 +87,8 @@ def read(spark: SparkSession, path: str, schema, folders: list[str] | None = Non
 
 def write_batch(rows: DataFrame, path: str, batch: str) -> list[str]:
     """Write rows as a batch of their own, one folder a month; returns the folders."""
-    rows.write.partitionBy(MONTH).mode("overwrite").parquet(f"{path}/batch={batch}")
+    # Without this each task has a file for each month; large months are split by size.
+    rows.hint("rebalance", MONTH).write.partitionBy(MONTH).mode("overwrite").parquet(f"{path}/batch={batch}")
     # One name for each month that the batch has.
     return sorted(f"batch={batch}/{name}" for name in _folders(rows.sparkSession, f"{path}/batch={batch}") if name.startswith(f"{MONTH}="))
 
