@@ -55,20 +55,25 @@ def group_tokens(classified: DataFrame) -> DataFrame:
     members = group_tests(classified)
     message, lower = F.col("record.message"), F.col("folded")
 
-    def token(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("token"))
-
-    tokens = F.array(
-        token("suite", none_if_empty(F.col("record.feature"))),
-        token("stack", rules.stack_origin(message, lower)),
-        token("type", rules.error_type(message, lower)),
-        token("auth", F.when(rules.mentions_auth(message, lower), "yes")),
-        token("url", F.when(rules.mentions_url_check(message, lower), "yes")),
-    )
-    return (
+    tokens = {
+        "suite": none_if_empty(F.col("record.feature")),
+        "stack": rules.stack_origin(message, lower),
+        "type": rules.error_type(message, lower),
+        "auth": F.when(rules.mentions_auth(message, lower), "yes"),
+        "url": F.when(rules.mentions_url_check(message, lower), "yes"),
+    }
+    # Tests of a group that have all tokens in common become one row first, which then travels once and not once for each token.
+    alike = (
         members.join(first, same_test)
         .withColumn("folded", rules.folded(message))
-        .select(*GROUP_KEY, "ordinal", "failures", F.explode(tokens).alias("t"))
+        .select(*GROUP_KEY, "ordinal", "failures", *(value.alias(f"{kind}_token") for kind, value in tokens.items()))
+        .groupBy(*GROUP_KEY, *(f"{kind}_token" for kind in tokens))
+        .agg(F.min("ordinal").alias("ordinal"), F.sum("failures").alias("failures"))
+        .repartition(*GROUP_KEY)
+    )
+    listed = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_token").alias("token")) for kind in tokens))
+    return (
+        alike.select(*GROUP_KEY, "ordinal", "failures", F.explode(listed).alias("t"))
         .filter(F.col("t.token").isNotNull())
         .groupBy(*GROUP_KEY, F.col("t.kind").alias("kind"), F.col("t.token").alias("token"))
         .agg(F.min("ordinal").alias("first_seen"), F.sum("failures").alias("token_failures"))
@@ -108,22 +113,41 @@ def compatibility(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     by_category = groups.select("run_id", "group_no", F.lit("category").alias("kind"), F.col("category").alias("token"))
     shared = tokens.filter(F.col("kind").isin("suite", "stack", "type")).select("run_id", "group_no", "kind", "token")
     placed = shared.unionByName(by_category)
+    # Numbers have no gaps, so only runs with more groups than a word has bits have a number beyond it.
+    large = groups.filter(F.col("group_no") >= WORD).select("run_id").distinct()
+    if large.isEmpty():
+        return _within_a_word(placed)
+    large = written(large)
+    return _within_a_word(placed.join(large, "run_id", "left_anti")).unionByName(_over_words(placed.join(large, "run_id")))
+
+
+def _compatible() -> Column:
+    return F.col("suite").bitwiseAND(F.col("stack").bitwiseOR(F.col("type")).bitwiseOR(F.bitwise_not(F.col("category"))))
+
+
+def _kinds(mask: Column) -> list[Column]:
+    return [F.coalesce(F.bit_or(F.when(F.col("kind") == k, mask)), F.lit(0).cast("bigint")).alias(k) for k in ("suite", "stack", "type", "category")]
+
+
+def _within_a_word(placed: DataFrame) -> DataFrame:
+    """For runs of at most 63 groups: the mask of a token lists the groups that have it, so it need not be joined to them."""
+    masks = placed.groupBy("run_id", "kind", "token").agg(F.expr("bit_or(shiftleft(1L, group_no))").alias("mask"))
+    holders = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("mask"), i).bitwiseAND(1) == 1)
+    # A token that one group has, and the first group of a token, say nothing about earlier groups.
+    met = masks.filter(F.bit_count("mask") > 1).select("run_id", "kind", "mask", F.explode(holders).alias("group_no"))
+    ahead = met.withColumn("mask", F.expr("mask & (shiftleft(1L, group_no) - 1)")).filter("mask != 0")
+    found = ahead.groupBy("run_id", "group_no").agg(*_kinds(F.col("mask"))).withColumn("compatible", _compatible())
+    return found.filter("compatible != 0").select("run_id", "group_no", F.lit(0).alias("word"), "compatible")
+
+
+def _over_words(placed: DataFrame) -> DataFrame:
     token_masks = placed.groupBy("run_id", "kind", "token", F.floor(F.col("group_no") / WORD).cast("int").alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, group_no % {WORD}))").alias("mask")
     )
-    kind = F.col("kind")
-    masks = (
-        placed.join(token_masks, ["run_id", "kind", "token"])
-        .groupBy("run_id", "group_no", "word")
-        .agg(*[F.coalesce(F.bit_or(F.when(kind == k, F.col("mask"))), F.lit(0).cast("bigint")).alias(k)
-               for k in ("suite", "stack", "type", "category")])
-    )
-    compatible = F.col("suite").bitwiseAND(
-        F.col("stack").bitwiseOR(F.col("type")).bitwiseOR(F.bitwise_not(F.col("category")))
-    )
+    masks = placed.join(token_masks, ["run_id", "kind", "token"]).groupBy("run_id", "group_no", "word").agg(*_kinds(F.col("mask")))
     base = F.col("word") * WORD
     ahead = F.expr(f"CASE WHEN group_no - word * {WORD} >= {WORD} THEN {(1 << WORD) - 1}L ELSE shiftleft(1L, cast(group_no - word * {WORD} AS int)) - 1 END")
-    earlier = masks.filter(base < F.col("group_no")).withColumn("compatible", compatible.bitwiseAND(ahead))
+    earlier = masks.filter(base < F.col("group_no")).withColumn("compatible", _compatible().bitwiseAND(ahead))
     return earlier.filter("compatible != 0").select("run_id", "group_no", "word", "compatible")
 
 
@@ -150,10 +174,10 @@ def assign_leaders(tokens: DataFrame, groups: DataFrame) -> DataFrame:
     """
     numbers = groups.select("run_id", "group_no")
     masks = compatibility(tokens, groups)
-    large = numbers.groupBy("run_id").agg(F.count("*").alias("n")).filter(F.col("n") > WORD).select("run_id")
+    large = numbers.filter(F.col("group_no") >= WORD).select("run_id").distinct()
     if large.isEmpty():
         return _by_fold(numbers, masks)
-    masks = written(masks)
+    masks, large = written(masks), written(large)
     small = (numbers.join(large, "run_id", "left_anti"), masks.join(large, "run_id", "left_anti"))
     return _by_fold(*small).unionByName(leaders_in_rounds(numbers.join(large, "run_id"), masks.join(large, "run_id")))
 
@@ -192,25 +216,24 @@ def leaders_in_rounds(groups: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def _by_fold(numbers: DataFrame, masks: DataFrame) -> DataFrame:
-    none = F.array().cast("array<int>")
-    listed = (
-        numbers.join(_listed(masks), ["run_id", "group_no"], "left")
-        .groupBy("run_id")
-        .agg(F.array_sort(F.collect_list(F.struct("group_no", F.coalesce("earlier", none).alias("earlier")))).alias("groups"))
-    )
-    leaders = F.aggregate(
-        "groups",
-        none,
-        lambda led, g: F.array_append(
-            led,
-            F.coalesce(
-                F.array_min(F.filter(g["earlier"], lambda i: F.element_at(led, i + 1) == i)), g["group_no"]
-            ),
-        ),
+    """The fold over the bits of at most 63 groups of a run; ``masks`` have the word 0 alone."""
+    zero = F.lit(0).cast("bigint")
+    entries = numbers.select("run_id", "group_no", zero.alias("compatible")).unionByName(masks.select("run_id", "group_no", "compatible"))
+    listed = entries.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("compatible") == 0, F.col("group_no")))).alias("groups"),
+        F.map_from_entries(F.collect_list(F.when(F.col("compatible") != 0, F.struct("group_no", "compatible")))).alias("masks"),
     )
+    begin = F.struct(zero.alias("bits"), F.array().cast("array<int>").alias("leaders"))
+
+    def step(done, g):
+        hits = F.coalesce(F.try_element_at(F.col("masks"), g), zero).bitwiseAND(done["bits"])
+        lowest = F.bit_count(hits.bitwiseAND(-hits) - 1).cast("int")
+        bits = F.when(hits != 0, done["bits"]).otherwise(done["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), g)))
+        return F.struct(bits.alias("bits"), F.array_append(done["leaders"], F.when(hits != 0, lowest).otherwise(g)).alias("leaders"))
+
     ordered = F.array_sort(F.array_distinct("leaders"))
     return (
-        listed.withColumn("leaders", leaders)
+        listed.select("run_id", F.aggregate("groups", begin, step)["leaders"].alias("leaders"))
         .select("run_id", ordered.alias("ordered"), F.posexplode("leaders").alias("group_no", "leader"))
         .select("run_id", "group_no", "leader", F.array_position("ordered", F.col("leader")).alias("number"))
     )
@@ -251,7 +274,7 @@ def confidence_label(score: Column) -> Column:
 def _clustered(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups with their leader, and the distinct tokens of each cluster in order of appearance."""
     tokens = numbered_tokens(classified)
-    groups = groups_of(tokens)
+    groups = written(groups_of(tokens))
     assigned = written(assign_leaders(tokens, groups))
     led = groups.join(assigned, ["run_id", "group_no"])
     cluster_tokens = (

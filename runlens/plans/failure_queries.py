@@ -9,6 +9,7 @@ from runlens.functions import failures as rules
 from runlens.functions.text import clean_message
 from runlens.operators import clusters, failures
 from runlens.plans import sql as S
+from runlens.session import written
 from runlens.sources import tables
 
 
@@ -81,7 +82,7 @@ def failure_group_totals(spark, sf_dir):
 
 def group_compatibility(spark, sf_dir):
     tokens = clusters.numbered_tokens(_classified(spark, sf_dir))
-    return clusters.compatible_earlier(tokens, clusters.groups_of(tokens)).select(
+    return clusters.compatible_earlier(tokens, written(clusters.groups_of(tokens))).select(
         "run_id", F.col("group_no").cast("bigint").alias("group_no"), F.array_join(F.col("earlier").cast("array<string>"), ",").alias("earlier")
     )
 

@@ -146,6 +146,23 @@ def test_leaders_in_rounds_are_those_of_the_fold(spark, seed):
     assert {(r.run_id, r.group_no): (r.leader, r.number) for r in rounds.collect()} == expected
 
 
+def test_groups_of_small_runs_meet_without_a_join(spark):
+    tokens = {g: (f"c{g % 2}", {f"u{g % 3}"}, {f"k{g % 4}"}, {f"t{g}"}) for g in range(63)}
+    frame = spark.createDataFrame(token_rows("r", tokens), TOKENS)
+    masks = clusters.compatibility(frame, clusters.groups_of(frame))
+    assert "Join" not in masks._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.group_no: r.compatible for r in masks.collect()}
+    want = {g: sum(1 << k for k in range(g) if (g - k) % 3 == 0 and ((g - k) % 4 == 0 or (g - k) % 2)) for g in range(63)}
+    assert got == {g: m for g, m in want.items() if m}
+
+
+def test_tokens_travel_in_one_row(spark):
+    frame = spark.sql("SELECT 'r' AS run_id, id AS ordinal, concat('t', id % 4) AS test_case, 'FAILED' AS status, concat('F', id % 2) AS feature, "
+                      "'fetch failed at a.js:1' AS error_message, 'API_FAILURE' AS stored_category FROM range(8)")
+    plan = clusters.group_tokens(failures.classify_failures(frame))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression")
+
+
 def test_a_run_of_thousands_of_foreign_categories(spark):
     tokens = {g: (f"c{g}", {f"u{g % 700}", f"v{g // 1000}"}, {f"k{g % 50}"}, {f"t{g}"}) for g in range(5000)}
     frame = spark.createDataFrame(token_rows("r", tokens), TOKENS)
