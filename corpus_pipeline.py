@@ -20,7 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that similarities of 0.8 and more between sets of five-word shingles join."""
+    """One document of each group of near copies stays. SimHash fingerprints within four bits, and bands of least hashes for those
+    further apart, propose pairs; similarities of 0.8 and more between sets of five-word shingles join them."""
     return similarity.one_of_each(docs)
 
 

@@ -1,6 +1,6 @@
 """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Bands of least hashes propose pairs and the sets themselves decide. Two sets of similarity ``s`` share a band of three with
+Near fingerprints (``simhash``) and bands of least hashes propose pairs and the sets themselves decide. Two sets of similarity ``s`` share a band of three with
 probability ``s**3``, so a pair at exactly 0.8 escapes all twenty bands with probability 0.488**20, less than one in a million.
 
 No list is cut and none makes a square of pairs. All sets of a list are compared with its leaders first; what these join needs no
@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm import simhash
 from runlens.llm.components import components
 from runlens.llm.texts import by_batch, text_of, utf8
 from runlens.session import written
@@ -75,22 +76,24 @@ def _sketch(least: np.ndarray) -> list[int]:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key``, ``node`` (a 128-bit hash of the set), its size ``n``, ``bands`` and ``sketch`` of each row."""
+    """``doc_id``, ``text_key``, ``node`` (a 128-bit hash of the set), its size ``n``, ``bands``, ``sketch`` and fingerprint ``fp`` of each row."""
     keyed = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), utf8().alias("text"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingles(t) for t in batch.column(2).to_pylist()]
+        texts = batch.column(2).to_pylist()
+        sets = [shingles(t) for t in texts]
         least = [_least(s) for s in sets]
         columns = [
             pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
             pa.array([len(s) for s in sets], pa.int32()),
             pa.array([_keys(x) if len(s) else [] for s, x in zip(sets, least)], pa.list_(pa.int64())),
             pa.array([_sketch(x) for x in least], pa.list_(pa.int64())),
+            pa.array([simhash.fingerprint(t) for t in texts], pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "n", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_key", "node", "n", "bands", "sketch", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(keyed, run, f"doc_id {kind}, text_key long, node string, n int, bands array<long>, sketch array<long>")
+    return by_batch(keyed, run, f"doc_id {kind}, text_key long, node string, n int, bands array<long>, sketch array<long>, fp long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -193,16 +196,26 @@ def _apart(sets: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     return links.union(_between_roots(_links(sets, _pairs(pairs)), nodes))
 
 
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs of ``node`` structs ``x`` and ``y``: each with the least of its fingerprint, and those least ones of fingerprints that are linked."""
+    least = written(nodes.groupBy("fp").agg(F.min("x").alias("y")))
+    linked = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(
+        least.select(F.col("fp").alias("b"), "y"), "b")
+    return nodes.join(least, "fp").select("x", "y").union(linked.select("x", "y"))
+
+
 def _alike(docs: DataFrame, distinct: DataFrame, limit: int) -> DataFrame:
     """Links that join all nodes whose sets are alike enough."""
-    plain = distinct.select("node", "n", "bands", *(F.col("sketch")[k].alias(name) for k, name in enumerate(SKETCH)))
+    plain = distinct.select("node", "n", "bands", "fp", *(F.col("sketch")[k].alias(name) for k, name in enumerate(SKETCH)))
     postings = plain.select(F.struct("node", "n", *SKETCH).alias("x"), F.explode("bands").alias("key"))
     leaders = [F.min(F.struct(F.xxhash64("x.node", F.lit(k)).alias("by"), "x"))["x"] for k in range(LEADERS)]
     lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.array(*leaders).alias("leaders")).where("size > 1")
     lists = lists.withColumn("leaders", F.when(F.col("size") > limit, F.col("leaders")).otherwise(F.slice("leaders", 1, 1)))
     listed = written(postings.join(lists, "key").select("key", "size", "x", "leaders"))
-    sets = written(_sets(docs, distinct.join(listed.select("x.node").distinct(), "node")))
-    links = _links(sets, _pairs(listed.select("x", F.explode("leaders").alias("y"))))
+    near = written(_near_fingerprints(plain.where("n > 0").select("fp", F.struct("node", "n", *SKETCH).alias("x"))).where("x.node != y.node"))
+    wanted = listed.select("x.node").union(near.select("x.node")).union(near.select("y.node")).distinct()
+    sets = written(_sets(docs, distinct.join(wanted, "node")))
+    links = _links(sets, _pairs(near.union(listed.select("x", F.explode("leaders").alias("y")))))
     rooted = written(_rooted(listed.select("key", "size", "x", F.col("x.node").alias("node")), links))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key")
     open_ = written(rooted.join(mixed, "key").select("key", "size", F.struct("x.*", "root").alias("x")))
@@ -224,7 +237,7 @@ def one_of_each(docs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     distinct = written(_scanned(docs).groupBy("node").agg(
-        first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+        first, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")))
     rooted = _rooted(distinct.select("node", "first"), _alike(docs, distinct, limit))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("runlens_id"), F.col("first.text_key").alias("runlens_key"))

@@ -112,3 +112,17 @@ def test_columns_stay_and_odd_rows_count_once(spark):
     assert sorted((r["doc_id"] or 0, r["more"]) for r in rows) == [(0, 8), (1, 7), (3, 7), (5, 9)]
     empty = similarity.one_of_each(spark.createDataFrame([], schema))
     assert empty.schema.simpleString() == frame.schema.simpleString() and empty.count() == 0
+
+
+def test_near_fingerprints_propose_pairs(spark):
+    """Sets whose bands never meet are compared where their fingerprints are within four bits, and the sets still decide."""
+    nodes = spark.createDataFrame([("a", 0b111, 1), ("b", 0b111, 1), ("c", 0b100, 1), ("d", -1, 1)], "node string, fp long, n int").selectExpr("fp", "struct(node, n) AS x")
+    pairs = {frozenset((r.x.node, r.y.node)) for r in similarity._near_fingerprints(nodes).collect() if r.x.node != r.y.node}
+    assert pairs == {frozenset("ab"), frozenset("ac")}
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["z"])), (3, "other words " * 9)], "doc_id long, text string")
+    found = similarity._scanned(docs).collect()
+    assert bin((found[0].fp ^ found[1].fp) & (1 << 64) - 1).count("1") <= 4
+    plain_ = similarity._scanned(docs).withColumn("first", similarity.F.struct("doc_id", "text_key")).withColumn("bands", similarity.F.array().cast("array<long>"))
+    links = similarity._alike(docs, similarity.written(plain_), 16).collect()
+    assert [{r.a, r.b} for r in links] == [{r.node for r in found if r.doc_id < 3}]
