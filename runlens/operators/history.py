@@ -411,7 +411,9 @@ def legacy_outcomes(sources: DataFrame, state: DataFrame, history: DataFrame) ->
 
     ``state`` holds (name, content_hash) of finished files, ``history`` (migration_identity, run_key) of stored runs.
     """
-    pending = sources.join(state.select("name", "content_hash"), ["name", "content_hash"], "left_anti")
+    # The identity stands for name and content, so that both joins need the sources dealt once.
+    done = state.select(migration_identity(F.col("name"), F.col("content_hash")).alias("identity"))
+    pending = sources.join(done, "identity", "left_anti")
     stored = history.filter(F.col("migration_identity").isNotNull()).groupBy(F.col("migration_identity").alias("identity")).agg(
         F.min("run_key").alias("stored_key")
     )
@@ -459,10 +461,13 @@ def audit_manifests(entries: DataFrame, files: DataFrame) -> DataFrame:
     """
     c = F.col
     target = normalized_path(c("path"))
-    listed = files.select(
-        "run_key", c("path").alias("target"), "is_directory", c("size").alias("file_size"), F.concat(F.lit("sha256:"), "sha256").alias("file_checksum")
-    )
-    joined = entries.withColumn("target", target).join(listed, ["run_key", "target"], "left")
+    listed = files.select("run_key", c("path").alias("target"), "is_directory", c("size").alias("file_size"), "sha256")
+    # A proper checksum goes through the join as its 32 bytes.
+    proper = c("checksum").rlike(SHA256_PATTERN)
+    compact = entries.withColumn("target", target).withColumn("proper", proper).withColumn(
+        "digest", F.when(proper & (F.length("checksum") == 71), F.unhex(F.substring("checksum", 8, 64)))).drop("checksum")
+    joined = compact.join(listed, ["run_key", "target"], "left")
+    same = F.when(c("digest").isNull() & c("sha256").isNotNull(), False).otherwise(F.lower(F.hex("digest")) == c("sha256"))
     known_type = F.coalesce(c("type").isin(*ARTIFACT_TYPES), F.lit(False))
     unread = c("manifest_error") if "manifest_error" in entries.columns else F.lit(None).cast("string")
     broken = (
@@ -473,9 +478,9 @@ def audit_manifests(entries: DataFrame, files: DataFrame) -> DataFrame:
         .when(~c("availability"), None)
         .when(c("file_size").isNull(), "MISSING_FILE")
         .when(~c("size").eqNullSafe(c("file_size")), "SIZE_MISMATCH")
-        .when(c("is_directory") & c("checksum").isNotNull(), "DIRECTORY_CHECKSUM")
-        .when(c("checksum").isNotNull() & ~c("checksum").rlike(SHA256_PATTERN), "CHECKSUM_FORMAT")
-        .when(c("checksum").isNotNull() & (c("checksum") != c("file_checksum")), "CHECKSUM_MISMATCH")
+        .when(c("is_directory") & c("proper").isNotNull(), "DIRECTORY_CHECKSUM")
+        .when(~c("proper"), "CHECKSUM_FORMAT")
+        .when(c("proper") & ~same, "CHECKSUM_MISMATCH")
     )
     return joined.withColumn("violation", broken).filter(c("violation").isNotNull()).select("run_key", "type", "path", "violation")
 
