@@ -97,6 +97,66 @@ def test_files_are_written_inside_tasks(spark, tmp_path):
     assert (tmp_path / "b" / "c" / "y.txt").read_text() == "\u00e9"
 
 
+def test_archives_count_as_the_files_they_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "ARCHIVED", 7)
+    root = str(tmp_path / "runs")
+    rows = [(f"r{k}/{name}", f"{k} \u00e9") for k in range(40) for name in (("summary.json", "a/b.txt") if k % 2 else ("a/b.txt",))]
+    folders.write_archives(spark.createDataFrame(rows, "path string, content string").coalesce(2), root)
+    write(tmp_path / "runs", "plain", "summary.json", {})
+    assert len(list((tmp_path / "runs").iterdir())) < 15
+    found = {r.folder: (r.content, r.read_error) for r in folders.read_documents(spark, root, "summary.json", 3).collect()}
+    assert found == {f"r{k}": (f"{k} \u00e9", None) if k % 2 else (None, "ENOENT") for k in range(40)} | {"plain": ("{}", None)}
+    files = {(r.folder, r.path): (r.size, r.sha256) for r in folders.read_files(spark, root, 3).collect() if r.folder != "plain"}
+    assert files == {tuple(p.split("/", 1)): (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for p, t in rows}
+
+
+def test_runs_and_legacy_files_of_a_query_lie_in_archives(spark, tmp_path, monkeypatch):
+    from runlens.plans import file_queries
+
+    monkeypatch.setattr(file_queries, "_folder", lambda spark: str(tmp_path / "files"))
+    records = file_queries.stored_records(spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "files").rglob("*"))) < 100 < records.select("run_id").distinct().count()
+    monkeypatch.setattr(file_queries, "_folder", lambda spark: str(tmp_path / "legacy"))
+    names = file_queries.legacy_file_names(spark, "/root/testdata/sf0.001")
+    assert len(list((tmp_path / "legacy").iterdir())) < 100 < names.count()
+
+
+def test_legacy_files_of_a_local_folder_are_listed_in_tasks(spark, tmp_path):
+    for name, text in (("a.json", b"\xff"), ("b c+%20.json", b"[]"), ("empty.json", b""), ("_x.json", b"[]"), (".y.json", b"[]"), ("z.txt", b"[]")):
+        (tmp_path / name).write_bytes(text)
+    read = store.read_legacy_files(spark, f"file:{tmp_path}")
+    assert not read.inputFiles()
+    hashes = {r.name: r.h for r in read.select("name", F.sha2("content", 256).alias("h")).collect()}
+    assert hashes == {"a.json": hashlib.sha256(b"\xff").hexdigest(), "b c+%20.json": hashlib.sha256(b"[]").hexdigest()}
+
+
+def test_a_batch_of_runs_has_one_file_a_month(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id", "concat('2024-0', 1 + id % 5) AS run_month").repartition(8)
+    assert len(run_table.write_batch(rows, str(tmp_path), "b")) == 5
+    assert len(list(tmp_path.rglob("*.parquet"))) == 5
+
+
+def test_legacy_outcomes_deal_the_sources_once(spark):
+    files = spark.createDataFrame([(f"{k}.json", "[]", datetime(2024, 1, 1)) for k in range(6)], "name string, content string, modified_at timestamp")
+    sources = history.legacy_sources(files)
+    state = history.legacy_sources(files.filter("name = '1.json'")).select("name", "content_hash")
+    told = history.legacy_outcomes(sources, state, state.limit(0).selectExpr("name AS migration_identity", "name AS run_key"))
+    assert sorted(r.name for r in told.collect()) == ["0.json", "2.json", "3.json", "4.json", "5.json"]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    anti = [line for line in plan.splitlines() if "Join LeftAnti" in line]
+    assert anti and all("identity" in line and "content_hash" not in line for line in anti)
+
+
+def test_checksums_are_joined_as_bytes(spark):
+    good = "sha256:" + "ab" * 32
+    entries = spark.createDataFrame([("r", "pdf", f"{k}", True, 1, v) for k, v in enumerate((good, good + "\n", "sha256:" + "AB" * 32, None, "sha256:" + "cd" * 32))],
+                                    "run_key string, type string, path string, availability boolean, size bigint, checksum string")
+    files = spark.createDataFrame([("r", f"{k}", False, 1, "ab" * 32) for k in range(5)], "run_key string, path string, is_directory boolean, size bigint, sha256 string")
+    audit = history.audit_manifests(entries, files)
+    assert {r.path: r.violation for r in audit.collect()} == {"1": "CHECKSUM_MISMATCH", "2": "CHECKSUM_FORMAT", "4": "CHECKSUM_MISMATCH"}
+    assert "digest" in audit._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_missing_root_is_an_empty_history(spark, tmp_path):
     assert store.list_run_directories(spark, str(tmp_path / "none")).count() == 0
     assert store.read_summary_files(spark, str(tmp_path / "none")).count() == 0

@@ -175,3 +175,14 @@ def test_a_hot_test_is_counted_in_many_slices(spark):
     assert sum(sizes) == 400 and max(sizes) <= 200
     counted = lifecycle.running_count(rows, lifecycle.TEST_KEY, F.lit(True), "n", 12).filter("test_case = 'hot'").orderBy("event_time", "seq").collect()
     assert [r.n for r in counted] == list(range(1, 401))
+
+
+def test_shuffled_events_come_in_five_batches_of_many_files(spark, tmp_path, monkeypatch):
+    from runlens.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "_folder", lambda spark: str(tmp_path))
+    stream_queries.stream_shuffled_records(spark, "/root/testdata/sf0.001")
+    files = len(list((tmp_path / "events").glob("*.parquet")))
+    assert files == 5 * spark.sparkContext.defaultParallelism
+    sources = [p for p in (tmp_path / "progress" / "sources" / "0").iterdir() if p.name.isdigit()]
+    assert len(sources) == 5
