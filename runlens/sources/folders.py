@@ -270,7 +270,7 @@ def read_plain(spark: SparkSession, root: str, ending: str, shares: int | None =
 def write_archives(files: DataFrame, root: str) -> None:
     """As ``write_files``, with the files in archives that the readers look into: one for each ``ARCHIVED`` rows of a partition.
 
-    The files of one folder must be next to each other in one partition; they share an archive. A task that is run again replaces
+    Paths must differ, and the files of one folder must be next to each other in one partition; they share an archive. A task that is run again replaces
     the archives of its first run.
     """
     if not is_local(root):
