@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +122,11 @@ def scan_history(files: DataFrame) -> DataFrame:
     ``files`` has run_dir, content (null when the file is missing) and read_error.
     """
     c = F.col
-    # The texts are parsed once, into a typed table; the rules then read plain columns.
-    fields = written(read_fields(files)).withColumn(
-        "violations", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in summary_rules().items()]))
-    )
+    # The texts are parsed once, into a typed table; the rules then read plain columns. Only a summary that breaks a rule gets a list.
+    rules = summary_rules()
+    broken = reduce(or_, rules.values())
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    fields = written(read_fields(files)).withColumn("violations", F.when(broken, names).otherwise(F.array().cast("array<string>")))
     bad_dir = ~F.coalesce(is_run_id(c("run_dir")), F.lit(False))
     missing = (c("read_error") == "ENOENT") | (~c("has_content") & c("read_error").isNull())
     unsupported = c("schemaVersion").isNotNull() & (c("schemaVersion") != HISTORY_SCHEMA_VERSION)
@@ -133,7 +136,7 @@ def scan_history(files: DataFrame) -> DataFrame:
         .when(c("read_error").isNotNull(), "UNREADABLE_RUN")
         .when(c("is_object").isNull(), "CORRUPT_SUMMARY")
         .when(unsupported, "UNSUPPORTED_SCHEMA")
-        .when(F.size("violations") > 0, "INVALID_SUMMARY")
+        .when(broken, "INVALID_SUMMARY")
     )
     io_code = F.when(c("read_error").isin(*IO_ERROR_CODES), c("read_error")).otherwise("UNKNOWN")
     return fields.withColumn("code", code).withColumn(

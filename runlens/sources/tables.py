@@ -137,7 +137,7 @@ def runs(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFr
     c = F.col
     start_ms = F.unix_millis(c("o_orderdate").cast("timestamp")) + c("o_orderkey") % 86400000
     start = F.timestamp_millis(start_ms)
-    serial = F.lower(F.hex(F.floor(c("o_orderkey") / F.lit(86400000)).cast("bigint")))
+    serial = F.translate(F.hex(F.floor(c("o_orderkey") / F.lit(86400000)).cast("bigint")), "ABCDEF", "abcdef")
     return table(spark, sf_dir, "orders").select(
         c("o_orderkey").alias("run_id"),
         F.concat(run_id_prefix(start), F.lit("-"), F.lpad(serial, 8, "0")).alias("run_key"),

@@ -462,3 +462,12 @@ def test_all_parts_of_a_run_lie_in_one_bucket(spark, tmp_path):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert [f.count() for f in store.get_run_parts(spark, path, "none").values()] == [0, 0]
+
+
+def test_codes_are_found_without_lists_of_rules(spark):
+    """A list for each summary, of which only the size counts, took most of the time of the codes."""
+    scanned = history.scan_history(texts(spark, summary(rid(1)), summary(rid(2), passed=2, unsuccessful=2)))
+    assert [(r.code, r.violations) for r in scanned.orderBy("run_dir").collect()] == [
+        (None, []), ("INVALID_SUMMARY", ["STATUS_SUM", "UNSUCCESSFUL_SUM"])]
+    plan = scanned.filter("code IS NOT NULL").groupBy("code").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "INVALID_SUMMARY" in plan and "UNSUCCESSFUL_SUM" not in plan
