@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.texts import bounded_batches, by_batch, text_of
+from runlens.llm.texts import bounded_batches, by_batch, only, remembers, text_of
 from runlens.session import written
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -189,8 +189,10 @@ def held_out() -> Column:
 def _word_counts(docs: DataFrame, languages: dict[str, int]) -> DataFrame:
     """``language`` (number), ``word`` and ``n`` of labelled documents."""
     bounded_batches(docs.sparkSession)
+    owner = __name__
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         counts: Counter = Counter()
 
         def told():
@@ -268,6 +270,7 @@ def _judge(own: Pieces | None, names: list[str], texts: list[str | None]) -> lis
 
 
 _MODELS: dict[str, Pieces] = {}
+remembers(__name__, _MODELS.clear)
 
 
 def _model(path: str, sent, number: str) -> Pieces:

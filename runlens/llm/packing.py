@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runlens.llm.texts import Memo, bounded_batches, utf8
+from runlens.llm.texts import Memo, bounded_batches, only, remembers, utf8
 from runlens.session import written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -98,13 +98,17 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembers(__name__, _word_ids.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of each row: ``doc_id``, ``piece``, ``start``, ``length``, ``ids`` (unsigned 32-bit numbers), and the task and
     the rank among equal lengths of that task. A null text is an empty one, which has the end id alone. Repeated rows stay."""
     bounded_batches(docs.sparkSession)
-    end = array("I", [end_id]).tobytes()
+    end, owner = array("I", [end_id]).tobytes(), __name__
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         words, task, seen = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in parts:
             rows, number, lengths, ranks, ids = [], [], [], [], []

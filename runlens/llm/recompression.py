@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.texts import Memo, bounded_batches, text_of
+from runlens.llm.texts import Memo, bounded_batches, only, remembers, text_of
 from runlens.session import written
 
 WINDOW, ROUNDS = 20, 6
@@ -59,6 +59,7 @@ class Hashes:
 
 
 _WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w).to_bytes(8, "little"))
+remembers(__name__, _WORDS.clear)
 
 
 def word_hashes(texts: list[list[bytes]]) -> np.ndarray:
@@ -188,7 +189,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def shared_anchors(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS) -> DataFrame:
     """``id``, ``text_key``, ``low`` and ``n`` of windows whose anchors occur more than once."""
 
+    owner = __name__
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.split() for t in batch.column(2).to_pylist()]
@@ -252,7 +256,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, count: int = ROUNDS)
     # A set, as a row that is repeated brings its marks again.
     by_doc = marked.groupBy("id", "text_key").agg(F.collect_set(F.struct("low", "n")).alias("marks"))
 
+    owner = __name__
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts, marks = [t.split() for t in batch.column(2).to_pylist()], batch.column(3)

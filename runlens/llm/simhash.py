@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.components import components
-from runlens.llm.texts import bounded_batches, by_batch, text_of, utf8
+from runlens.llm.texts import bounded_batches, by_batch, only, text_of, utf8
 from runlens.session import written
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -113,8 +113,10 @@ def _lists(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(rows: DataFrame, limit: int) -> DataFrame:
     """Links of all posting lists; rows of lists over ``limit`` come back as they are. Columns ``a``, ``b``, ``path`` (null: a link)."""
+    owner = __name__
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
         names, long = ["a", "b", "path"], None  # long: the key of the list that has passed the limit
         keys, fps, paths = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 

@@ -4,6 +4,8 @@ import corpus_pipeline
 import plain
 import test_similarity
 
+from runlens.llm import language, packing, recompression, texts
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -41,3 +43,17 @@ def test_stages_one_after_another(spark):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    memories = {language: language._MODELS, recompression: recompression._WORDS}
+    for own in memories:
+        language._MODELS["model"] = None
+        recompression._WORDS[b"word"]
+        packing._word_ids(packing.TOKENIZER)
+        texts.only(own.__name__)
+        assert [bool(memory) for memory in memories.values()] == [module is own for module in memories]
+        assert packing._word_ids.cache_info().currsize == 0
+    packing._word_ids(packing.TOKENIZER)
+    texts.only(packing.__name__)
+    assert packing._word_ids.cache_info().currsize == 1 and not recompression._WORDS
