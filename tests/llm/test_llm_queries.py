@@ -16,4 +16,4 @@ def test_query_equals_sql(spark, name):
 
 def test_names_are_registered():
     assert {"pipeline", *QUERIES} <= set(contract.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))

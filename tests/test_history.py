@@ -466,7 +466,7 @@ def test_all_parts_of_a_run_lie_in_one_bucket(spark, tmp_path):
 
 def test_codes_are_found_without_lists_of_rules(spark):
     """A list for each summary, of which only the size counts, took most of the time of the codes."""
-    scanned = history.scan_history(texts(spark, summary(rid(1)), summary(rid(2), passed=2, unsuccessful=2)))
+    scanned = history.scan_history(texts(spark, summary(rid(0)), summary(rid(1), passed=2, unsuccessful=2)))
     assert [(r.code, r.violations) for r in scanned.orderBy("run_dir").collect()] == [
         (None, []), ("INVALID_SUMMARY", ["STATUS_SUM", "UNSUCCESSFUL_SUM"])]
     plan = scanned.filter("code IS NOT NULL").groupBy("code").count()._jdf.queryExecution().optimizedPlan().toString()
