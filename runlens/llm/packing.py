@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runlens.llm.texts import Memo, bounded_batches, only, remembers, utf8
+from runlens.llm.word_tokens import TOKENIZER, MergedIds
 from runlens.session import written
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
 #: Weight rounds in a phase, phases, and how far from the best a configuration may be to count as an answer of its round.
@@ -36,7 +35,8 @@ Configuration = tuple[tuple[int, ...], int]
 
 
 class WordIds:
-    """Ids of texts, word by word: no token of this tokenizer crosses ASCII white space.
+    """Ids of texts: by compiled ranks where these know all characters, otherwise word by word, as no token of this tokenizer
+    crosses ASCII white space.
 
     Words are remembered, and below them their cores - without last stops and, in ASCII, in lower case - as most new words are
     new only in these. Both memories have a bound.
@@ -44,6 +44,7 @@ class WordIds:
 
     def __init__(self, path: str, most_words: int = 700_000, most_cores: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merged = MergedIds(self.tokenizer) if path == TOKENIZER else None
         encode = self.tokenizer.encode
         self.cores = Memo(lambda c: array("I", encode(c.decode(), add_special_tokens=False).ids).tobytes(), most_cores)
         self.words = Memo(self._word, most_words)
@@ -92,6 +93,15 @@ class WordIds:
         known = self.words
         return b"".join([known[w] for w in words])
 
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        plain = [self.merged is not None and self.merged.knows(t) for t in texts]
+        merged = iter(self.merged.encode([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        others = [t.split() for t, p in zip(texts, plain) if not p]
+        self.learn(others)
+        rest = map(self.encode, others)
+        return [next(merged if p else rest) for p in plain]
+
 
 @cache
 def _word_ids(path: str) -> WordIds:
@@ -112,10 +122,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         words, task, seen = _word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in parts:
             rows, number, lengths, ranks, ids = [], [], [], [], []
-            texts = [t.split() for t in batch.column(1).to_pylist()]
-            words.learn(texts)
-            for row, text in enumerate(texts):
-                data = words.encode(text) + end
+            for row, text in enumerate(words.texts(batch.column(1).to_pylist())):
+                data = text + end
                 for at in range(0, len(data), 4 * capacity):
                     own = data[at : at + 4 * capacity]
                     size = len(own) // 4
