@@ -6,25 +6,27 @@ column of its row.
 
 Millions of small files take a block and a folder each. ``write_archives`` therefore puts the files of many folders into archives
 beside the folders, and the readers see what is in them as if it lay below the root.
+
+The headers of archives are written here in one form, and a header in that form is read here; ``tarfile``, which takes many times as long,
+writes and reads what does not fit it.
 """
 
 from __future__ import annotations
 
 import errno
 import hashlib
-import io
 import os
 import stat
 import tarfile
 import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 from zlib import crc32
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -33,6 +35,11 @@ FORMAT = "run_folder"
 BLOCK = 1 << 20
 #: Name and size, in files, of the archives that lie in a root; they are tar files compressed as a whole.
 ARCHIVE, ARCHIVED = ".tar.zst", 4096
+#: Kinds of members of an archive: a file, a folder, and a link that leads to itself and so can not be followed.
+FILE, DIRECTORY, LINK = tarfile.REGTYPE, tarfile.DIRTYPE, tarfile.SYMTYPE
+KINDS = {None: FILE, "file": FILE, "folder": DIRECTORY, "loop": LINK}
+#: Rows of a batch of texts, which holds ``BLOCK`` bytes or one text more.
+BATCH = 4096
 EPOCH = datetime.fromtimestamp(0, timezone.utc)
 SCHEMAS = {
     "documents": "folder string, content string, read_error string",
@@ -115,25 +122,156 @@ def _walk(folder: LocalFolder | StoreFolder, below: str) -> Iterator[str]:
             yield path
 
 
-@contextmanager
-def _packed(target: str) -> Iterator[tarfile.TarFile]:
-    import pyarrow as pa
+_OWNER, _REST, _END = b"0000644\x00" + b"0000000\x00" * 2, b"ustar\x0000" + bytes(247), bytes(tarfile.BLOCKSIZE)
+_SUM = sum(_OWNER) + sum(_REST) + 8 * ord(" ")
+
+
+def _header(name: bytes, size: int, modified: int, kind: bytes = FILE, link: bytes = b"") -> bytes:
+    """The header of a member whose name has at most 100 bytes."""
+    numbers = b"%011o\x00%011o\x00" % (size, modified)
+    check = b"%06o\x00 " % (_SUM + sum(name) + sum(numbers) + kind[0] + sum(link))
+    return b"".join((name.ljust(100, b"\x00"), _OWNER, numbers, check, kind, link.ljust(100, b"\x00"), _REST))
+
+
+def _headers(name: str, size: int, modified: int, kind: bytes) -> bytes:
+    link = name.rpartition("/")[2] if kind == LINK else ""
+    if name.isascii() and len(name) <= 100 and size < 8**11:
+        return _header(name.encode(), size, modified, kind, link.encode())
+    member = tarfile.TarInfo(name)
+    member.size, member.mtime, member.type, member.linkname = size, modified, kind, link
+    return member.tobuf(tarfile.PAX_FORMAT)
+
+
+class _Archive:
+    """A tar file compressed as a whole, which appears under its name when it is closed."""
+
+    def __init__(self, target: str):
+        import pyarrow as pa
+
+        self.target, self.part = target, f"{target}.part"
+        self.out, self.pieces, self.bytes, self.members = pa.CompressedOutputStream(self.part, "zstd"), [], 0, 0
+
+    def add(self, name: str, data: bytes, kind: bytes) -> None:
+        self.pieces += (_headers(name, len(data), int(time.time()), kind), data, bytes(-len(data) % tarfile.BLOCKSIZE))
+        self.bytes, self.members = self.bytes + len(data) + tarfile.BLOCKSIZE, self.members + 1
+        if self.bytes >= BLOCK:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.out.write(b"".join(self.pieces))
+        self.pieces, self.bytes = [], 0
+
+    def close(self) -> None:
+        self.pieces += (_END, _END)
+        self._flush()
+        self.out.close()
+        os.replace(self.part, self.target)
+
+
+class _Stream:
+    """Bytes of a stream, as many at a time as are asked for."""
+
+    def __init__(self, plain):
+        self.plain, self.held, self.at = plain, b"", 0
+
+    def read(self, size: int) -> bytes:
+        if self.at + size > len(self.held):
+            parts = [self.held[self.at :]]
+            missing = size - len(parts[0])
+            while missing > 0 and (part := self.plain.read(max(missing, BLOCK))):
+                parts.append(part)
+                missing -= len(part)
+            self.held, self.at = b"".join(parts), 0
+        data = self.held[self.at : self.at + size]
+        self.at += len(data)
+        return data
+
+    def back(self, data: bytes) -> None:
+        self.held, self.at = data + self.held[self.at :], 0
+
 
-    with pa.CompressedOutputStream(target, "zstd") as out, tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT) as archive:
-        yield archive
+class _Content:
+    """The content of a member."""
 
+    def __init__(self, stream: _Stream, size: int):
+        self.stream, self.left = stream, size
 
-def _members(folder: LocalFolder | StoreFolder, name: str) -> Iterator[tuple[tarfile.TarInfo, io.BufferedIOBase]]:
-    """The files of an archive one after another, each with its opened content."""
+    def read(self, size: int = -1) -> bytes:
+        size = self.left if size < 0 else min(size, self.left)
+        data = self.stream.read(size)
+        if len(data) < size:
+            raise tarfile.ReadError("unexpected end of data")
+        self.left -= size
+        return data
+
+
+def _members(folder: LocalFolder | StoreFolder, name: str) -> Iterator[tuple]:
+    """Name, kind, target of a link, size, time of modification and opened content of the members of an archive, one after another."""
     import pyarrow as pa
 
-    with folder.open(name) as file, pa.CompressedInputStream(file, "zstd") as plain, tarfile.open(fileobj=plain, mode="r|") as archive:
+    with folder.open(name) as file, pa.CompressedInputStream(file, "zstd") as plain:
+        stream = _Stream(plain)
+        while (header := stream.read(tarfile.BLOCKSIZE)) and header != _END:
+            own, link = header[:100].rstrip(b"\x00"), header[157:257].rstrip(b"\x00")
+            try:
+                size, modified, kind = int(header[124:135], 8), int(header[136:147], 8), header[156:157]
+                plainly = header == _header(own, size, modified, kind, link) and kind in (FILE, DIRECTORY, LINK)
+            except (ValueError, IndexError):
+                plainly = False
+            if not plainly:
+                stream.back(header)
+                yield from _other_members(stream)
+                return
+            content = _Content(stream, size)
+            yield own.decode(), kind, link.decode(), size, modified, content
+            while content.left:
+                content.read(BLOCK)
+            stream.read(-size % tarfile.BLOCKSIZE)
+
+
+def _other_members(stream: _Stream) -> Iterator[tuple]:
+    with tarfile.open(fileobj=stream, mode="r|") as archive:
         for member in archive:
-            yield member, archive.extractfile(member)
+            kind = FILE if member.isreg() else member.type
+            yield member.name, kind, member.linkname, member.size, member.mtime, archive.extractfile(member) if kind == FILE else None
             # What was read is not kept.
             archive.members = []
 
 
+def _unreadable(name: str, kind: bytes, link: str) -> str | None:
+    """The code of the error that opening a member gives; none for a file."""
+    if kind == FILE:
+        return None
+    if kind == DIRECTORY:
+        return _code(IsADirectoryError(errno.EISDIR, name))
+    if kind == LINK and link == name.rpartition("/")[2]:
+        return _code(OSError(errno.ELOOP, name))
+    raise OSError(errno.ENOTSUP, f"neither a file nor a folder nor a link to itself: {name}")
+
+
+def _text_batches(rows: Iterator[tuple[str, bytes | None, str | None]]) -> Iterator:
+    """The rows as Arrow batches; a byte that is no UTF-8 is replaced."""
+    import pyarrow as pa
+
+    def batch() -> pa.RecordBatch:
+        own, contents, errors = zip(*taken, strict=True)
+        try:
+            texts = pa.array(contents, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([None if c is None else c.decode("utf-8", "replace") for c in contents], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), texts, pa.array(errors, pa.string())], names=["folder", "content", "read_error"])
+
+    taken, held = [], 0
+    for row in rows:
+        taken.append(row)
+        held += len(row[1] or b"")
+        if len(taken) >= BATCH or held >= BLOCK:
+            yield batch()
+            taken, held = [], 0
+    if taken:
+        yield batch()
+
+
 class _Share(InputPartition):
     pass
 
@@ -146,11 +284,14 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Share(k) for k in range(self.shares)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator:
         folder = folder_of(self.root)
         if self.what == "plain":
-            yield from self._plain(folder, partition.value)
-            return
+            return self._plain(folder, partition.value)
+        rows = self._folders(folder, partition)
+        return _text_batches(rows) if self.what == "documents" else rows
+
+    def _folders(self, folder, partition: InputPartition) -> Iterator[tuple]:
         archives = []
         for name, is_folder in folder.names():
             if not is_folder:
@@ -172,20 +313,26 @@ class _Reader(DataSourceReader):
     def _archived(self, folder, name: str) -> Iterator[tuple]:
         """As of folders. All files of a folder lie in one archive."""
         with_file: dict[str, bool] = {}
-        for member, file in _members(folder, name):
-            own, _, path = member.name.partition("/")
-            if not path:
+        for path, kind, link, size, modified, file in _members(folder, name):
+            own, _, below = path.partition("/")
+            if not below and kind != DIRECTORY:
                 continue
             if self.what == "documents":
                 with_file.setdefault(own, False)
-                if path == self.name:
+                if below == self.name:
                     with_file[own] = True
-                    yield own, file.read().decode("utf-8", "replace"), None
+                    problem = _unreadable(path, kind, link)
+                    yield own, None if problem else file.read(), problem
+                continue
+            if kind == DIRECTORY:
+                continue
+            if problem := _unreadable(path, kind, link):
+                yield own, below, None, None, None, problem
                 continue
             digest = hashlib.sha256()
             while block := file.read(BLOCK):
                 digest.update(block)
-            yield own, path, member.size, digest.hexdigest(), datetime.fromtimestamp(member.mtime, timezone.utc), None
+            yield own, below, size, digest.hexdigest(), datetime.fromtimestamp(modified, timezone.utc), None
         for own, has in with_file.items():
             if not has:
                 yield own, None, _code(FileNotFoundError(errno.ENOENT, self.name))
@@ -204,14 +351,17 @@ class _Reader(DataSourceReader):
                     with folder.open(name) as file:
                         yield name, file.read(), EPOCH + timedelta(milliseconds=int(modified * 1000))
         for archive in sorted(archives)[share :: self.shares]:
-            for member, file in _members(folder, archive):
-                if "/" not in member.name and member.name.endswith(self.name) and member.size:
-                    yield member.name, file.read(), datetime.fromtimestamp(member.mtime, timezone.utc)
-
-    def _document(self, folder, path: str) -> tuple[str | None, str | None]:
+            for name, kind, link, size, modified, file in _members(folder, archive):
+                if kind != DIRECTORY and "/" not in name and name.endswith(self.name):
+                    if problem := _unreadable(name, kind, link):
+                        raise OSError(getattr(errno, problem), os.strerror(getattr(errno, problem)), name)
+                    if size:
+                        yield name, file.read(), datetime.fromtimestamp(modified, timezone.utc)
+
+    def _document(self, folder, path: str) -> tuple[bytes | None, str | None]:
         try:
             with folder.open(path) as file:
-                return file.read().decode("utf-8", "replace"), None
+                return file.read(), None
         except OSError as error:
             return None, _code(error)
 
@@ -270,33 +420,37 @@ def read_plain(spark: SparkSession, root: str, ending: str, shares: int | None =
 def write_archives(files: DataFrame, root: str) -> None:
     """As ``write_files``, with the files in archives that the readers look into: one for each ``ARCHIVED`` rows of a partition.
 
-    Paths must differ, and the files of one folder must be next to each other in one partition; they share an archive. A task that is run again replaces
-    the archives of its first run.
+    A column ``kind`` tells what is no file: a ``folder``, or a ``loop``, which is a link to itself. Paths must differ, and the files of one
+    folder must be next to each other in one partition; they share an archive. A task that is run again replaces the archives of its
+    first run.
     """
     if not is_local(root):
         raise ValueError("files can be written below a local or mounted root only")
     base, call = local_path(root), uuid.uuid4().hex
 
-    def run(rows: Iterator) -> None:
-        os.makedirs(base, exist_ok=True)
-        row, number = next(rows, None), 0
-        while row is not None:
-            target = os.path.join(base, f"{call}-{TaskContext.get().partitionId():06}-{number:06}{ARCHIVE}")
-            part, taken, folder = f"{target}.part", 0, None
-            with _packed(part) as archive:
-                while row is not None and (taken < ARCHIVED or ("/" in row["path"] and row["path"].partition("/")[0] == folder)):
-                    data = row["content"]
-                    data = data.encode() if isinstance(data, str) else bytes(data)
-                    member = tarfile.TarInfo(row["path"])
-                    member.size, member.mtime = len(data), int(time.time())
-                    archive.addfile(member, io.BytesIO(data))
-                    archive.members = []
-                    taken, folder = taken + 1, row["path"].partition("/")[0]
-                    row = next(rows, None)
-            os.replace(part, target)
-            number += 1
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    files.select("path", "content").foreachPartition(run)
+        os.makedirs(base, exist_ok=True)
+        archive, number, folder, total = None, 0, None, 0
+        for batch in batches:
+            for path, data, kind in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own, below, _ = path.partition("/")
+                if archive is not None and archive.members >= ARCHIVED and not (below and own == folder):
+                    archive.close()
+                    archive, number = None, number + 1
+                archive = archive or _Archive(os.path.join(base, f"{call}-{TaskContext.get().partitionId():06}-{number:06}{ARCHIVE}"))
+                member = KINDS[kind]
+                if member == FILE and data is None:
+                    raise TypeError(f"a file without content: {path}")
+                archive.add(path, data if member == FILE else b"", member)
+                folder, total = own, total + 1
+        if archive is not None:
+            archive.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([total], pa.int64())})
+
+    kind = "kind" if "kind" in files.columns else F.lit(None).cast("string")
+    files.select("path", "content", kind).mapInArrow(run, "files bigint").write.format("noop").mode("overwrite").save()
 
 
 def write_files(files: DataFrame, root: str) -> None:

@@ -132,15 +132,24 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
+def _start_ms() -> Column:
+    return F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400000
+
+
+def _run_key() -> Column:
+    serial = F.translate(F.hex(F.floor(F.col("o_orderkey") / F.lit(86400000)).cast("bigint")), "ABCDEF", "abcdef")
+    return F.concat(run_id_prefix(F.timestamp_millis(_start_ms())), F.lit("-"), F.lpad(serial, 8, "0"))
+
+
+def runs(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = (), orders: DataFrame | None = None) -> DataFrame:
     """Run metadata: run_id, run_key, start and end, five metadata texts, migration and artifact flags, and ``more`` columns of the order."""
     c = F.col
-    start_ms = F.unix_millis(c("o_orderdate").cast("timestamp")) + c("o_orderkey") % 86400000
+    start_ms = _start_ms()
     start = F.timestamp_millis(start_ms)
-    serial = F.translate(F.hex(F.floor(c("o_orderkey") / F.lit(86400000)).cast("bigint")), "ABCDEF", "abcdef")
-    return table(spark, sf_dir, "orders").select(
+    source = table(spark, sf_dir, "orders") if orders is None else orders
+    return source.select(
         c("o_orderkey").alias("run_id"),
-        F.concat(run_id_prefix(start), F.lit("-"), F.lpad(serial, 8, "0")).alias("run_key"),
+        _run_key().alias("run_key"),
         start.alias("started_at"),
         F.timestamp_millis(start_ms + (c("o_custkey") % 7200) * 1000 + c("o_orderkey") % 1000).alias("ended_at"),
         F.when(c("o_custkey") % 29 != 0, c("o_orderpriority")).alias("project"),
@@ -242,12 +251,21 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_VARIANTS = 40
 
 
-def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _summary_dir(key: str, run_key: Column) -> Column:
+    return F.when(F.col(key) % SUMMARY_VARIANTS == 4, F.concat(F.lit("bad "), run_key)).otherwise(run_key)
+
+
+def orders_by_summary_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of the orders of each ``run_dir`` of ``summary_files``."""
+    return table(spark, sf_dir, "orders").withColumn("dir", _summary_dir("o_orderkey", _run_key())).dropDuplicates(["dir"])
+
+
+def summary_files(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Stored summary texts (run_dir, content, read_error), one per order; the key decides what is wrong with each."""
     c = F.col
     r = c("run_id") % SUMMARY_VARIANTS
     base = (
-        runs(spark, sf_dir, ("o_custkey",)).withColumn("passed", c("o_custkey") % 7)
+        runs(spark, sf_dir, ("o_custkey",), orders).withColumn("passed", c("o_custkey") % 7)
         .withColumn("failed", c("run_id") % 3)
         .withColumn("skipped", c("o_custkey") % 2)
         .withColumn("timed_out", F.floor(c("run_id") / 3).cast("bigint") % 2)
@@ -311,9 +329,8 @@ def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(r == 31, F.regexp_replace(text, r'"schemaVersion":"1.0.0"', '"schemaVersion":5'))
         .otherwise(text)
     )
-    run_dir = at(4, F.concat(F.lit("bad "), c("run_key")), c("run_key"))
     error = F.when(r == 10, F.when(c("run_id") % 80 == 10, "EACCES").otherwise("ESTRANGE"))
-    return base.select(run_dir.alias("run_dir"), content.alias("content"), error.alias("read_error"), "run_id")
+    return base.select(_summary_dir("run_id", c("run_key")).alias("run_dir"), content.alias("content"), error.alias("read_error"), "run_id")
 
 
 def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:

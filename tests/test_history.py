@@ -1,13 +1,18 @@
 import hashlib
 import json
+import tarfile
 from datetime import datetime
+from pathlib import Path
+from zlib import crc32
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import history, metrics
 from runlens.operators.metrics import RunQuery
-from runlens.sources import folders, run_table, store
+from runlens.sources import folders, run_table, store, tables
+from runlens.sources.folders import local_path
 
 
 def summary(run_id, **changes):
@@ -110,6 +115,52 @@ def test_archives_count_as_the_files_they_hold(spark, tmp_path, monkeypatch):
     assert files == {tuple(p.split("/", 1)): (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for p, t in rows}
 
 
+def test_archives_hold_folders_and_links_to_themselves(spark, tmp_path):
+    rows = [("a", None, "folder"), ("b/summary.json", None, "folder"), ("c/summary.json", None, "loop"), ("c/x/summary.json", "{}", None), ("d/summary.json", "[]", "file")]
+    root = str(tmp_path)
+    folders.write_archives(spark.createDataFrame(rows, "path string, content string, kind string").coalesce(1), root)
+    assert [p.suffix for p in tmp_path.iterdir()] == [".zst"]
+    found = {r.folder: (r.content, r.read_error) for r in folders.read_documents(spark, root, "summary.json", 2).collect()}
+    assert found == {"a": (None, "ENOENT"), "b": (None, "EISDIR"), "c": (None, "ELOOP"), "d": ("[]", None)}
+    files = {(r.folder, r.path, r.size, r.read_error) for r in folders.read_files(spark, root, 2).collect()}
+    assert files == {("c", "summary.json", None, "ELOOP"), ("c", "x/summary.json", 2, None), ("d", "summary.json", 2, None)}
+
+
+def test_summaries_of_a_query_lie_in_archives(spark, tmp_path):
+    """Directories of all kinds of summaries are few files; one that comes twice is one."""
+    from runlens.plans import file_queries
+
+    days = [(k, k % 9, "O", f"199{k % 7}-03-1{k % 9} 00:00:00", "1-URGENT") for k in range(400)]
+    orders = spark.createDataFrame(days + days[::3], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, day string, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.col("day").cast("timestamp")).drop("day").write.parquet(str(tmp_path / "orders.parquet"))
+    root = file_queries._stored_summaries(spark, str(tmp_path))
+    assert len(list(Path(local_path(root)).rglob("*"))) < 40
+    found = store.read_summary_files(spark, root).collect()
+    assert len(found) == len({r.run_dir for r in found}) == 400
+    files = tables.summary_files(spark, str(tmp_path)).collect()
+    assert {(r.run_dir, r.content) for r in found} == {(r.run_dir, r.content) for r in files}
+    problems = {"EACCES": "EISDIR", "ESTRANGE": "ELOOP", None: None}
+    assert {(r.run_dir, r.read_error) for r in found} == {(r.run_dir, problems[r.read_error]) for r in files}
+    nested = folders.read_files(spark, root).where("path = 'artifacts/dashboard/summary.json'")
+    assert {r.folder for r in nested.collect()} == {r.run_dir for r in files if crc32(r.run_dir.encode()) % 3 == 0}
+
+
+def test_archives_are_written_and_read_without_tarfile(tmp_path, monkeypatch):
+    """Their headers are those of ``tarfile``, which takes many times as long; it reads what else a tar file may hold."""
+    names = ["r1/summary.json", "r1/a.txt", "r2/" + "x" * 150 + "/a.txt", "r2/summary.json"]
+    for name, some in (("own", names[:2]), ("other", names)):
+        archive = folders._Archive(str(tmp_path / f"{name}{folders.ARCHIVE}"))
+        for k, path in enumerate(some):
+            archive.add(path, b"\xff" * 700 * k, folders.FILE)
+        archive.close()
+    with pa.CompressedInputStream(str(tmp_path / f"own{folders.ARCHIVE}"), "zstd") as plain, tarfile.open(fileobj=plain, mode="r|") as archive:
+        assert [(m.name, m.size, m.mode, m.isreg()) for m in archive] == [(names[0], 0, 0o644, True), (names[1], 700, 0o644, True)]
+    folder = folders.folder_of(str(tmp_path))
+    assert [(m[0], m[5].read()) for m in folders._members(folder, f"other{folders.ARCHIVE}")] == [(n, b"\xff" * 700 * k) for k, n in enumerate(names)]
+    monkeypatch.setattr(tarfile, "open", None)
+    assert [(m[0], m[5].read()) for m in folders._members(folder, f"own{folders.ARCHIVE}")] == [(names[0], b""), (names[1], b"\xff" * 700)]
+
+
 def test_runs_and_legacy_files_of_a_query_lie_in_archives(spark, tmp_path, monkeypatch):
     from runlens.plans import file_queries
 
