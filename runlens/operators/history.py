@@ -372,9 +372,11 @@ def retention_fates(scanned: DataFrame, max_runs: int | None = None, max_age_day
     A run that cannot be read as a valid one is never deleted, and does not count among the newest.
     """
     c = F.col
-    valid = scanned.filter(c("code").isNull()).select(c("run_dir").alias("run_key"), parse_stored_timestamp(c("timestamp")).alias("started_at"))
+    # The newest runs are found in several passes, which need a diagnosis only once.
+    judged = written(scanned.select("run_dir", "code", parse_stored_timestamp(c("timestamp")).alias("started_at")))
+    valid = judged.filter(c("code").isNull()).select(c("run_dir").alias("run_key"), "started_at")
     dropped = retention_plan(valid, max_runs, max_age_days, as_of).select(c("run_key").alias("dropped"))
-    joined = scanned.select("run_dir", "code").join(dropped, c("run_dir") == c("dropped"), "left")
+    joined = judged.select("run_dir", "code").join(dropped, c("run_dir") == c("dropped"), "left")
     outcome = F.when(c("code").isNotNull(), "skipped").when(c("dropped").isNotNull(), "deleted").otherwise("kept")
     return joined.select("run_dir", outcome.alias("outcome"), "code")
 

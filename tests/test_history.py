@@ -495,6 +495,17 @@ def test_retention_rewrites_months_with_dropped_runs_only(spark, tmp_path, monke
     assert set(untouched) <= set(run_table.snapshot(spark, path)[1])
 
 
+def test_fates_need_one_diagnosis(spark, monkeypatch):
+    """The passes that find the newest runs read what was judged, and do not judge again."""
+    seen = []
+    plan = history.retention_plan
+    monkeypatch.setattr(history, "retention_plan", lambda runs, *rest: seen.append(runs._jdf.queryExecution().optimizedPlan().toString()) or plan(runs, *rest))
+    files = spark.createDataFrame([(rid(k), json.dumps(summary(rid(k))), None) for k in (1, 2, 3)] + [(rid(4), "[]", None)], "run_dir string, content string, read_error string")
+    fates = {(r.run_dir, r.outcome, r.code) for r in history.retention_fates(history.scan_history(files), max_runs=3).collect()}
+    assert fates == {(rid(k), "kept", None) for k in (1, 2, 3)} | {(rid(4), "skipped", "INVALID_SUMMARY")}
+    assert len(seen) == 1 and "RLIKE" not in seen[0].upper()
+
+
 @pytest.mark.parametrize("kept", [0, 1, 7, 40, 99, 100, 500])
 def test_retention_rank_by_counting(spark, kept):
     rows = spark.sql("SELECT timestamp_millis(1700000000000 + (id * id * 7919) % 400000000 div 3000 * 1000) AS started_at, concat('k', lpad(id, 4, '0')) AS run_key FROM range(100)")
