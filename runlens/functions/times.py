@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from runlens.fixed_values import INPUT_TIMESTAMP_PATTERN, RUN_ID_PATTERN, STORED_TIMESTAMP_PATTERN
 
+#: The part of the input times that ends with the ``Z``, without a line break after it.
+UTC_TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?Z\z"
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -19,12 +21,20 @@ def parse_timestamp(text: Column) -> Column:
     local = F.try_to_timestamp(F.concat(F.substring(text, 1, 19), F.lit("Z")))
     fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), 3, "0").cast("int")
     sign = F.when(F.regexp_extract(text, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
-    hours = F.coalesce(F.regexp_extract(text, r"[+-](\d{2}):\d{2}$", 1).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(text, r"[+-]\d{2}:(\d{2})$", 1).try_cast("int"), F.lit(0))
+    hours = _two_digits(text, r"[+-](\d{2}):\d{2}$")
+    minutes = _two_digits(text, r"[+-]\d{2}:(\d{2})$")
     shifted = F.timestamp_millis(
         F.unix_millis(local) + fraction - (sign * (hours * 60 + minutes)).cast("bigint") * 60000
     )
-    return F.when(text.rlike(INPUT_TIMESTAMP_PATTERN) & (hours <= 23) & (minutes <= 59), shifted)
+    # Most texts are of UTC, which Spark reads by itself.
+    return F.when(text.rlike(UTC_TIMESTAMP_PATTERN), F.try_to_timestamp(text)).when(
+        text.rlike(INPUT_TIMESTAMP_PATTERN) & (hours <= 23) & (minutes <= 59), shifted)
+
+
+def _two_digits(text: Column, pattern: str) -> Column:
+    """The number that a pattern finds, 0 where there is none. An empty text is never cast, as each failing cast costs an exception."""
+    found = F.regexp_extract(text, pattern, 1)
+    return F.coalesce(F.when(found != "", found).cast("int"), F.lit(0))
 
 
 def parse_stored_timestamp(text: Column) -> Column:

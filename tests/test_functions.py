@@ -142,6 +142,15 @@ def test_time_texts(many):
     assert many(lambda x: times.parse_stored_timestamp(x).isNotNull(), stored) == [True, True, False, False, False]
 
 
+def test_time_texts_cost_no_failing_cast(many):
+    """A cast that fails inside makes an exception for each text, which takes longer than all the rest."""
+    given = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5Z", "2024-01-01T00:00:00.123-01:30", "2024-01-01T00:00:00Z\n", "2024-01-01T00:00:00+02:60",
+             "2024-1-1T00:00:00Z", "2024-01-01T00:00:00.1234Z", " 2024-01-01T00:00:00Z", "2024-01-01T00:00:00.Z", "", None]
+    read = ["2024-01-01T00:00:00.000Z", "2024-01-01T00:00:00.500Z", "2024-01-01T01:30:00.123Z", "2024-01-01T00:00:00.000Z", *[None] * 7]
+    assert many(lambda x: times.iso_text(times.parse_timestamp(x)), given) == read
+    assert "try_cast" not in str(times.parse_timestamp(F.col("x"))).lower()
+
+
 def test_urls(many):
     urls = ["https://a.b/app.JS?x=1", "https://a.b/api/x.json", "https://sentry.io/api", "https://a.b/assets/api", None]
     assert many(web.is_api_call, urls) == [False, True, False, False, True]
