@@ -33,25 +33,20 @@ def group_tests(classified: DataFrame) -> DataFrame:
     )
 
 
-def _groups(classified: DataFrame) -> DataFrame:
-    """Group list built on the tests of each group, so that both share one pass over the records."""
-    order = Window.partitionBy("run_id").orderBy(F.desc("occurrences"), "category", "signature")
-    counted = group_tests(classified).groupBy(*GROUP_KEY).agg(
-        F.sum("failures").alias("occurrences"), F.min("ordinal").alias("first_ordinal")
-    )
-    return counted.withColumn("position", F.row_number().over(order).cast("bigint"))
+TOKEN_KINDS = ("suite", "stack", "type", "auth", "url")
 
 
-def group_tokens(classified: DataFrame) -> DataFrame:
-    """Distinct suites, source files, error types and message flags of each group.
+def _alike_tests(classified: DataFrame) -> DataFrame:
+    """Tests of a group that have all tokens in common as one row: least ordinal, failures and a token of each kind.
 
     A test name stands for the first record of that name in the run, whatever its status.
     """
-    first = classified.groupBy(F.col("run_id").alias("first_run"), F.col("test_case").alias("first_test")).agg(
-        F.min_by(F.struct("feature", "message"), F.col("ordinal")).alias("record")
-    )
-    # A plain equality on the name would filter only this copy of the tests, and Spark could not share their exchange.
-    same_test = (F.col("run_id") == F.col("first_run")) & F.col("test_case").eqNullSafe(F.col("first_test"))
+    # Tests are dealt by the parts of a name that equals a missing one as well, so that first records are joined where they were found.
+    named, unnamed = F.coalesce("test_case", F.lit("")), F.col("test_case").isNull()
+    first = classified.groupBy(F.col("run_id").alias("first_run"), named.alias("first_test"), unnamed.alias("first_unnamed")).agg(
+        F.min_by(F.struct("feature", "message"), F.col("ordinal")).alias("record"), F.bool_or(rules.is_failure(F.col("status"))).alias("fails")
+    ).filter("fails")
+    same_test = (F.col("run_id") == F.col("first_run")) & (named == F.col("first_test")) & (unnamed == F.col("first_unnamed"))
     members = group_tests(classified)
     message, lower = F.col("record.message"), F.col("folded")
 
@@ -62,31 +57,42 @@ def group_tokens(classified: DataFrame) -> DataFrame:
         "auth": F.when(rules.mentions_auth(message, lower), "yes"),
         "url": F.when(rules.mentions_url_check(message, lower), "yes"),
     }
-    # Tests of a group that have all tokens in common become one row first, which then travels once and not once for each token.
-    alike = (
+    return (
         members.join(first, same_test)
         .withColumn("folded", rules.folded(message))
         .select(*GROUP_KEY, "ordinal", "failures", *(value.alias(f"{kind}_token") for kind, value in tokens.items()))
         .groupBy(*GROUP_KEY, *(f"{kind}_token" for kind in tokens))
         .agg(F.min("ordinal").alias("ordinal"), F.sum("failures").alias("failures"))
-        .repartition(*GROUP_KEY)
     )
-    listed = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_token").alias("token")) for kind in tokens))
+
+
+def _tokens_of(alike: DataFrame) -> DataFrame:
+    """One row for each token of a group. The rows travel before they are taken apart, once and not once for each token."""
+    listed = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_token").alias("token")) for kind in TOKEN_KINDS))
     return (
-        alike.select(*GROUP_KEY, "ordinal", "failures", F.explode(listed).alias("t"))
+        alike.repartition(*GROUP_KEY).select(*GROUP_KEY, "ordinal", "failures", F.explode(listed).alias("t"))
         .filter(F.col("t.token").isNotNull())
         .groupBy(*GROUP_KEY, F.col("t.kind").alias("kind"), F.col("t.token").alias("token"))
         .agg(F.min("ordinal").alias("first_seen"), F.sum("failures").alias("token_failures"))
     )
 
 
+def group_tokens(classified: DataFrame) -> DataFrame:
+    """Distinct suites, source files, error types and message flags of each group."""
+    return _tokens_of(_alike_tests(classified))
+
+
 def numbered_tokens(classified: DataFrame) -> DataFrame:
     """Tokens with zero-based number and occurrences of their group, written once for all later steps.
 
-    Every group has an error type, so the ``type`` rows also list the groups.
+    Every group has an error type, so the ``type`` rows also list the groups. The tests are written first: what was shuffled to find them
+    is gone when the tokens are.
     """
-    numbered = _groups(classified).withColumn("group_no", (F.col("position") - 1).cast("int"))
-    return written(group_tokens(classified).join(numbered.drop("position"), list(GROUP_KEY)))
+    alike = written(_alike_tests(classified))
+    order = Window.partitionBy("run_id").orderBy(F.desc("occurrences"), "category", "signature")
+    groups = alike.groupBy(*GROUP_KEY).agg(F.sum("failures").alias("occurrences"), F.min("ordinal").alias("first_ordinal"))
+    numbered = groups.withColumn("group_no", (F.row_number().over(order) - 1).cast("int"))
+    return written(_tokens_of(alike).join(numbered, list(GROUP_KEY)))
 
 
 def groups_of(tokens: DataFrame) -> DataFrame:
@@ -272,13 +278,13 @@ def confidence_label(score: Column) -> Column:
 
 
 def _clustered(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups with their leader, and the distinct tokens of each cluster in order of appearance."""
+    """Groups with their leader and the failures of their run, and the distinct tokens of each cluster in order of appearance."""
     tokens = numbered_tokens(classified)
     groups = written(groups_of(tokens))
-    assigned = written(assign_leaders(tokens, groups))
-    led = groups.join(assigned, ["run_id", "group_no"])
+    total = F.sum("occurrences").over(Window.partitionBy("run_id"))
+    led = written(groups.withColumn("total_failed", total).join(assign_leaders(tokens, groups), ["run_id", "group_no"]))
     cluster_tokens = (
-        tokens.join(assigned, ["run_id", "group_no"])
+        tokens.join(led.select("run_id", "group_no", "number"), ["run_id", "group_no"])
         .groupBy("run_id", "number", "kind", "token")
         .agg(F.min(F.struct("group_no", "first_seen")).alias("seen"))
     )
@@ -288,17 +294,17 @@ def _clustered(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
 def root_cause_clusters(classified: DataFrame) -> DataFrame:
     """One row per cluster with cause, confidence and share of the run's failures."""
     led, tokens = _clustered(classified)
-    is_leader = F.col("group_no") == F.col("leader")
     first, last = F.col("first_group"), F.col("last_group")
-    per_cluster = led.groupBy("run_id", "number").agg(
+    # The groups of a cluster meet in one list whatever comes before; as rows they are smaller than as lists of one.
+    per_cluster = led.repartition("run_id", "number").groupBy("run_id", "number").agg(
         F.sum("occurrences").alias("occurrences"),
         F.min_by(F.struct("category", "occurrences", "signature"), "group_no").alias("first_group"),
         F.max_by(F.struct("category", "occurrences"), "group_no").alias("last_group"),
         F.array_distinct(
             F.transform(F.array_sort(F.collect_list(F.struct("group_no", "signature"))), lambda g: g["signature"])
         ).alias("signatures"),
-        F.count_distinct("category").alias("categories"),
-        F.count_if(is_leader).alias("leaders"),
+        F.size(F.collect_set("category")).alias("categories"),
+        F.max("total_failed").alias("total_failed"),
     )
     kind = F.col("kind")
     facts = tokens.groupBy("run_id", "number").agg(
@@ -308,12 +314,10 @@ def root_cause_clusters(classified: DataFrame) -> DataFrame:
         F.bool_or(kind == "auth").alias("auth"),
         F.bool_or(kind == "url").alias("url"),
     )
-    totals = led.groupBy("run_id").agg(F.sum("occurrences").alias("total_failed"))
     labels = F.create_map(*[F.lit(v) for name, label, _ in ROOT_CAUSES for v in (name, label)])
     advice = F.create_map(*[F.lit(v) for name, _, text in ROOT_CAUSES for v in (name, text)])
     return (
         per_cluster.join(facts, ["run_id", "number"])
-        .join(totals, "run_id")
         .withColumn("category", F.when(first["occurrences"] >= last["occurrences"], first["category"]).otherwise(last["category"]))
         .withColumn("root_cause", _root_cause(F.col("category"), first["signature"], F.col("auth"), F.col("url")))
         .withColumn(

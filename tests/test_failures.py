@@ -168,3 +168,28 @@ def test_a_run_of_thousands_of_foreign_categories(spark):
     frame = spark.createDataFrame(token_rows("r", tokens), TOKENS)
     found = clusters.assign_leaders(frame, clusters.groups_of(frame))
     assert {r.group_no: (r.leader, r.number) for r in found.collect()} == plain_leaders(tokens)
+
+
+def test_first_records_are_joined_where_they_were_found(spark):
+    """One shuffle of all records, one of failures, and two of the tests of groups; a missing name is not the empty one."""
+    data = records(spark, [(None, "FAILED", "A", "net::ERR_X"), ("", "passed", "B", None), ("", "FAILED", "C", "net::ERR_X"), (None, "FAILED", "D", "net::ERR_X"),
+                           ("t", "passed", "E", None)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alike = clusters._alike_tests(data)
+        assert alike._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        suites = {(r.token, r.first_seen, r.token_failures) for r in clusters.group_tokens(data).where("kind = 'suite'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert suites == {("A", 0, 2), ("B", 2, 1)}
+    numbered = clusters.numbered_tokens(data).where("kind = 'type'").collect()
+    assert {(r.group_no, r.occurrences, r.first_ordinal) for r in numbered} == {(0, 3, 0)}
+
+
+def test_clusters_count_categories_in_one_shuffle(spark):
+    rows = [("r", i, f"t{i}", "FAILED", "A", "net::ERR_X", c) for i, c in enumerate(["EXTERNAL_FAILURE", "NETWORK_FAILURE", "EXTERNAL_FAILURE"])]
+    data = failures.classify_failures(spark.createDataFrame(rows, SCHEMA + ", stored_category string"))
+    found = clusters.root_cause_clusters(data)
+    assert [(r.occurrences, r.percentage, r.suite_count) for r in found.collect()] == [(3, 100.0, 1)]
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import tarfile
+import time
 from datetime import datetime
 from pathlib import Path
 from zlib import crc32
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import history, metrics
 from runlens.operators.metrics import RunQuery
+from runlens.session import SHUFFLE_CLEANUP, written
 from runlens.sources import folders, run_table, store, tables
 from runlens.sources.folders import local_path
 
@@ -415,6 +417,22 @@ def test_numbers_json_cannot_carry(spark):
         store.as_json(spark.sql("SELECT 9007199254740993L AS a")).collect()
 
 
+def test_shuffles_of_a_written_table_are_removed(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(b) for b in (manager.getAllBlocks().apply(k) for k in range(manager.getAllBlocks().size())) if str(b).startswith("shuffle_")}
+
+    before = shuffled()
+    table = written(spark.range(1000).repartition(5, "id"))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and table.count() == 1000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
 def test_intermediate_tables_can_be_removed(spark):
     from runlens.session import drop_written, written
     drop_written(spark)
